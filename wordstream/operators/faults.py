@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ticks import RAW_LIMIT, hit_time
-from ..session import checkpoint, shuffle_partitions
+from ..session import checkpoint, ship, shuffle_partitions
 
 #: Fixed values of the fault rules.
 TOP, RUN, LEAST, TIMES = 255, 20, 100, 12
@@ -251,6 +251,7 @@ def faulty_hits(hits: DataFrame) -> DataFrame:
     columns are ignored.
     """
     spark = hits.sparkSession
+    ship(spark)
     key = [F.col("iog").cast("int").alias("iog"), F.col("seq").cast("bigint").alias("seq"), F.col("word_idx").cast("int").alias("word_idx")]
     impossible = hits.where(_impossible()).select(*key).dropDuplicates().withColumn("fault", F.lit("impossible"))
     t = hit_time(F.col("timestamp"), F.col("receipt_timestamp"), F.col("message_seconds"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ticks import R, div, hit_time
+from ..session import ship
 
 #: Arrival positions (frames) of one key in one block.
 BLOCK = 1 << 14
@@ -138,6 +139,7 @@ PERIODS = pa.schema([("iog", pa.int32()), ("period", pa.int64()), ("n", pa.int64
 
 def _blocks(hits: DataFrame, block: int) -> DataFrame:
     """Rows of hits by (iog, block of arrival), with the frontier of the earlier blocks as one more row of each block."""
+    ship(hits.sparkSession)
     t = hit_time(F.col("timestamp"), F.col("receipt_timestamp"), F.col("message_seconds"))
     clock = F.greatest(F.coalesce(F.col("message_seconds").cast("bigint"), F.lit(0)), F.lit(0))
     rows = hits.where("iog IS NOT NULL AND seq IS NOT NULL").select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and cut its lineage; partitioning and row order within partitions stay."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that Python tasks can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_wordstream_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="spark-"))
+    shutil.copytree(here, folder / "tree" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(folder / here.name), "zip", folder / "tree"))
+    sc._wordstream_shipped = True
