@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Pattern that splits a text into words before the merges; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words a worker remembers before it starts over.
@@ -150,12 +152,14 @@ def encode_texts(documents: DataFrame, path: str | None = None) -> DataFrame:
     One row a row; an empty list for empty and null texts; repeated rows stay repeated; a word of any length is merged
     as a whole; an empty table gives no rows; other columns are ignored.
     """
+    ship(documents.sparkSession)
     rows = documents.select("doc_id", F.col("text").cast("string"))
     return rows.mapInArrow(_encoder(path or vocabulary_path(), False), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """The kept columns and ``tokens``, the number of token ids of text."""
+    ship(documents.sparkSession)
     rows = documents.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_encoder(path or vocabulary_path(), True), f"{schema}, tokens bigint")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ticks import HIT_TIME_SQL, TRIGGER_TIME_SQL
 from ..sources.tables import table
-from . import bpe, nearest, percentiles
+from . import bpe, mixing, nearest, percentiles, sentences
 
 SOURCE = ["iog", "chip", "channel"]
 
@@ -52,6 +52,18 @@ def token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"))
 
 
+def mixed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_documents(*(table(spark, folder, t) for t in ("documents", "mixes", "mix_targets")))
+
+
+def mixed_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_shares(*(table(spark, folder, t) for t in ("documents", "mixes", "mix_targets")))
+
+
+def sentence_units(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_source_percentiles": source_percentiles,
@@ -60,6 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": nearest_matches,
         "p6_nearest": nearest_all,
         "p7_ids": token_ids,
+        "p8_mix": mixed_documents,
+        "p8_shares": mixed_shares,
+        "p9_found": sentence_units,
     }
 
 
