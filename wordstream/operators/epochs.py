@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Timing
 from ..functions.prefix import running
+from ..session import checkpoint
 from .timing import with_epochs
 
 #: Seconds after which an alignment without observations is stale; a fixed value.
@@ -39,14 +40,15 @@ def align(observations: DataFrame, now: Column | None = None, cfg: Timing = Timi
     """
     at = F.coalesce(now if now is not None else F.col("second").cast("double"), F.lit(0.0))
     o = observations.withColumn("now", at).withColumn("candidate", F.when(F.col("usable"), F.col("second") * cfg.period - F.col("tick")))
+    o = checkpoint(o)  # one row a sync word; each running value reads its input twice
     label = F.when(F.col("usable"), F.struct("tick", "second"))
     o = running(o, {"last": ("last", label)})
     ordered = F.col("usable") & (F.col("last").isNull() | ((F.col("tick") > F.col("last")["tick"]) & (F.col("second") > F.col("last")["second"])))
-    o = o.withColumn("ordered", ordered)
+    o = checkpoint(o.withColumn("ordered", ordered))
     # the observation before, whatever it was, and the last one that refreshed the clock
     o = running(o, {"before": ("last", F.struct("ordered", "candidate")), "fresh": ("last", F.when(F.col("ordered"), F.col("now"))), "stored": ("last", F.when(F.col("ordered"), F.col("candidate")))})
     follows = F.col("ordered") & F.coalesce(F.col("before")["ordered"] & (F.col("before")["candidate"] == F.col("candidate")), F.lit(False)) & F.coalesce(F.col("now") - F.col("fresh") <= FRESH, F.lit(False))
-    o = o.withColumn("follows", follows)
+    o = checkpoint(o.withColumn("follows", follows))
     first = F.min_by("candidate", F.struct("seq", "word_idx"))
     pinned = o.where("follows").groupBy("iog").agg(first.alias("pinned"), F.min(F.struct("seq", "word_idx")).alias("since"))
     o = o.join(pinned, "iog", "left")

@@ -49,7 +49,7 @@ def offsets(s: SparkSession, d: str) -> DataFrame:
 
 def routed(s: SparkSession, d: str) -> DataFrame:
     w = stream(s, d)
-    t = triggers.accepted(triggers.project_triggers(w, CFG), WIN.types)
+    t = checkpoint(triggers.accepted(triggers.project_triggers(w, CFG), WIN.types))  # one row a trigger word
     a = checkpoint(aligned(s, d))  # one row a sync word
     offs = epochs.alignment_counters(a).where("offset_ticks IS NOT NULL").select("iog", "offset_ticks")
     q = epochs.qualified(t, a, w.where("kind = 'T'")).where("offset_at_word IS NOT NULL").drop("offset_at_word", "header_second")
