@@ -62,11 +62,13 @@ class PeriodLog:
         known = ~np.isnan(self.value[cut:])
         sums = np.add.reduceat(np.where(known, self.value[cut:], 0.0), start)
         with_value = np.add.reduceat(known.astype(np.int64), start)
+        changed = []
         for p, k, s, v in zip(periods.tolist(), n.tolist(), sums.tolist(), with_value.tolist()):
             if self.out.get(p) != (k, s, v):
                 self.out[p] = (k, s, v)
                 self.revision[p] = self.revision.get(p, -1) + 1
-        return periods.tolist()
+                changed.append(p)
+        return changed
 
     def _snapshot(self, frontier: int) -> None:
         """Position of the first period that the frontier has not passed; older snapshots than ``keep`` are dropped."""
