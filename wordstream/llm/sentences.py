@@ -98,16 +98,20 @@ class Splitter:
     def _pairs(self, text: str, a: int, b: int, last: bool) -> list[tuple[int, int, str]]:
         """Outermost pairs of marks in a stretch: (opening, closing, opening mark); in the last stretch one may stay open."""
         stack: list[tuple[int, str]] = []
+        waits: Counter = Counter()  # marks that would close something
         found: list[tuple[int, int, str]] = []
         for m in regex.finditer(r"[“”„«»‹›「」『』《》〈〉()（）\[\]【】\"]", text, pos=a, endpos=b):
             i, c = m.start(), m[0]
-            hit = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS[stack[k][1]]), None)
+            hit = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS[stack[k][1]]), None) if waits[c] else None
             if hit is not None:
                 # a bracket inside a quotation that was never closed does not keep it open
                 found.append((stack[hit][0], i, stack[hit][1]))
+                for _, o in stack[hit:]:
+                    waits.subtract(PAIRS[o])
                 del stack[hit:]
             elif c in PAIRS and not (c == '"' and (i + 1 >= b or text[i + 1].isspace())):
                 stack.append((i, c))
+                waits.update(PAIRS[c])
         if last:
             for i, c in stack[:1]:
                 found.append((i, b, c))
@@ -120,6 +124,7 @@ class Splitter:
 
     def _paragraph(self, text: str, a: int, b: int, last: bool) -> Iterator[tuple[int, int]]:
         pairs = self._pairs(text, a, b, last)
+        closed, opened = {p[1]: p for p in pairs}, {p[0]: p for p in pairs}
         cuts: list[int] = []
         start = a
         k = 0
@@ -141,10 +146,9 @@ class Splitter:
             if inside:
                 continue
             if kind == "close":
-                pair = next(p for p in pairs if p[1] == s)
-                cut = self._after_pair(text, start, pair, b)
+                cut = self._after_pair(text, start, closed[s], b)
             elif kind == "gap":
-                cut = s if self._thai_gap(text, start, s, e, b, pairs) else -1
+                cut = s if self._thai_gap(text, start, s, e, b, opened) else -1
             else:
                 cut = self._after_mark(text, start, s, e, b)
             if cut >= 0:
@@ -185,8 +189,7 @@ class Splitter:
         if rest >= b:
             return tail  # the end of the stretch
         nxt, spaced = text[rest], rest > tail
-        before = text[start:s]
-        if not before.strip():
+        if s <= start:
             return -1
         if mark[0] in ".…．":
             if len(mark) > 1 or mark == "…":  # an ellipsis goes on unless a new sentence clearly begins
@@ -212,12 +215,14 @@ class Splitter:
         nxt, spaced = text[rest], rest > tail
         prev = text[s - 1]
         token = TOKEN.search(text, max(start, s - 40), s)[0].lstrip("'’")
+        if (latin := regex.search(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$", token)) is not None:
+            token = latin[0]  # scripts without spaces
         low = token.lower()
         if nxt.islower() or nxt in ",;:،，、）)":
             return False
         if nxt in "—–" and self._lower_after(text, rest + 1, b):
             return False
-        if LIST_NUMBER.match(text[start : s + 1].strip()):
+        if s - start < 9 and LIST_NUMBER.match(text[start : s + 1].strip()):
             return False  # the number of a list item
         following = WORD.match(text, rest)
         word = following[0] if following else ""
@@ -262,11 +267,11 @@ class Splitter:
     def _after_pair(self, text: str, start: int, pair: tuple[int, int, str], b: int) -> int:
         """Where the sentence ends after a closed pair, or -1."""
         p, q, c = pair
-        inner = text[p + 1 : q].rstrip()
+        inner = text[max(p + 1, q - 40) : q].rstrip()
         if not inner:
             return -1
         closed = inner[-1] in ENDERS + ".…．" or bool(regex.search(rf"[{regex.escape(ENDERS)}.]\s*{EMOJI}$", inner))
-        opens = not text[start:p].strip() or bool(LIST_START.match(text[start : p + 1].strip()))
+        opens = p <= start or p - start < 12 and (not text[start:p].strip() or bool(LIST_START.match(text[start : p + 1].strip())))
         thai = bool(regex.search(r"\p{Thai}", inner))
         tail = AFTER.match(text, q + 1, b).end()
         rest = tail
@@ -276,7 +281,7 @@ class Splitter:
             return -1  # the end of the stretch ends it anyway
         nxt = text[rest]
         if c in BRACKETS:
-            if not opens or inner.isdigit():
+            if not opens or (q - p < 6 and inner.isdigit()):
                 return -1
             if thai and not closed:
                 return -1  # left to the gap after it
@@ -293,7 +298,7 @@ class Splitter:
             stop = regex.search(rf"[{regex.escape(ENDERS)}.\n“„«「\"]", text, pos=rest, endpos=b)
             clause = text[rest : stop.start() if stop else b]
             return -1 if SAYING.search(clause) else tail
-        lead = text[start:p].rstrip()
+        lead = text[max(start, p - 8) : p].rstrip()
         if lead[-1:] in ":：,，、" or regex.match(r"\p{Arabic}|\p{Thai}|\p{Devanagari}", nxt):
             return tail
         return -1
@@ -305,14 +310,14 @@ class Splitter:
             return WORD.match(text, i)[0] not in ("ثم", "فقال", "وقال")
         return regex.match(r"\p{Thai}", text[i]) is not None
 
-    def _thai_gap(self, text: str, start: int, s: int, e: int, b: int, pairs: list[tuple[int, int, str]]) -> bool:
+    def _thai_gap(self, text: str, start: int, s: int, e: int, b: int, opened: dict[int, tuple[int, int, str]]) -> bool:
         """Whether a space ends a Thai clause."""
-        left = text[start:s]
-        if not left.strip():
+        if s <= start:
             return False
-        prev, nxt = text[s - 1], text[e]
+        left = text[max(start, s - 200) : s]
+        nxt = text[e]
         word = regex.match(r"\S+", text, pos=e, endpos=b)[0]
-        if LIST_NUMBER.match(left.strip()):
+        if len(left) < 9 and LIST_NUMBER.match(left.strip()):
             return False
         if not regex.search(r"\p{Thai}", left) and not regex.match(r"\p{Thai}", nxt):
             return False
@@ -326,7 +331,7 @@ class Splitter:
         if nxt in "“\"«‘":
             return not left.endswith("ว่า") and not left.endswith(":") and regex.search(r"\p{Thai}|[\d”»)]$", last) is not None
         if nxt in "([":
-            return bool(regex.match(r"[(\[]\p{Thai}", word)) and self._whole_bracket(text, e, pairs)
+            return bool(regex.match(r"[(\[]\p{Thai}", word)) and e in opened and opened[e][1] - e > 15
         if not regex.match(r"\p{Thai}", nxt):
             return False
         if word in THAI_ATTACHED or word.rstrip(".") in THAI_ATTACHED:
@@ -340,11 +345,6 @@ class Splitter:
             return last.rstrip(".") not in ("ดร", "น", "นพ", "รศ", "ผศ", "ม", "พ.ศ", "ค.ศ")
         return last not in THAI_ATTACHED or last in ("เมตร", "ฯลฯ")
 
-    @staticmethod
-    def _whole_bracket(text: str, e: int, pairs: list[tuple[int, int, str]]) -> bool:
-        pair = next((p for p in pairs if p[0] == e), None)
-        return pair is not None and pair[1] - pair[0] > 15
-
 
 COUNTED = "token string, kind string, n bigint"
 
