@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Timing
 from ..functions.prefix import running
 from ..session import checkpoint
-from .timing import with_epochs
+from .timing import sync_steps, with_epochs
 
 #: Seconds after which an alignment without observations is stale; a fixed value.
 FRESH = 2.5
@@ -23,7 +23,8 @@ def pps_observations(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
 
     A word is unusable if its step is implausible, it has no positive second, or its frame holds another one.
     """
-    s = with_epochs(stream, cfg, "S").where((F.col("kind") == "S") & (F.col("io") == cfg.sync_type))
+    s = with_epochs(stream.where(F.col("io") == cfg.sync_type), cfg, "S")
+    s = sync_steps(s, cfg)
     many = F.count(F.lit(1)).over(Window.partitionBy("iog", "seq")) > 1
     tick = F.col("offset") + F.col("step")
     usable = F.coalesce(tick.isNotNull() & ~many & (F.col("header_second") > 0) & (tick % cfg.period == 0), F.lit(False))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Timing
-from ..functions.prefix import running
+from ..functions.prefix import BLOCK, running
+from ..functions.ticks import div
+from ..session import checkpoint
 
 
 def sync_steps(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
@@ -18,14 +20,33 @@ def sync_steps(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     return stream.where("kind = 'S'").withColumn("selected", F.coalesce(selected, F.lit(False))).withColumn("step", F.when(selected & plausible, step))
 
 
-def with_epochs(stream: DataFrame, cfg: Timing = Timing(), kinds: str = "") -> DataFrame:
-    """All words, or S words and those of ``kinds``, with ``step`` and, from the syncs strictly before them, ``offset`` (their sum) and ``prev`` (the last one)."""
-    p = cfg.period
-    if kinds:  # before the running sums, so that other words are never read
-        stream = stream.where(F.col("kind").isin("S", *kinds))
-    step = F.rint(F.col("aux") / p).cast("bigint") * p
-    ok = (F.col("kind") == "S") & (F.col("io") == cfg.sync_type) & (step > 0) & (F.abs(F.col("aux") - step) <= max(1, p // 20))
-    return running(stream.withColumn("step", F.when(ok, step)), {"offset": ("sum", F.col("step")), "prev": ("last", F.col("step"))})
+def sync_epochs(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+    """(iog, seq, word_idx, step, after): plausible syncs with the sum of steps up to each; about one row a second and source."""
+    s = sync_steps(stream.where("kind = 'S'").dropDuplicates(), cfg).where("step IS NOT NULL").select("iog", "seq", "word_idx", "step")
+    return checkpoint(running(s, {"after": ("sum", F.col("step"))}, inclusive=True))
+
+
+def with_epochs(stream: DataFrame, cfg: Timing = Timing(), kinds: str = "D", block: int = BLOCK) -> DataFrame:
+    """Words of ``kinds`` with, from the syncs strictly before them, ``offset`` (sum of steps) and ``prev`` (last step).
+
+    Syncs are rare, so their running sums are made first. The words are then shuffled once, by source and block of
+    arrival, together with the syncs of the block and the last sync before it; repeated rows count once.
+    """
+    at = div(F.col("seq").cast("bigint"), block)
+    epochs = sync_epochs(stream, cfg)
+    rows = stream.where(F.col("kind").isin(*kinds)).where("iog IS NOT NULL AND seq IS NOT NULL").withColumn("__block", at)
+    ends = rows.groupBy("iog").agg(F.max("__block").alias("top"))
+    # the last sync of each block is what later blocks start from, up to the block of the next one
+    last = epochs.groupBy("iog", at.alias("b")).agg(F.max_by(F.struct("after", "step"), F.struct("seq", "word_idx")).alias("v"))
+    nxt = last.join(ends, "iog").withColumn("upto", F.coalesce(F.lead("b").over(Window.partitionBy("iog").orderBy("b")), F.col("top")))
+    carried = nxt.where("upto > b").select("iog", F.explode(F.sequence(F.col("b") + 1, F.col("upto"))).alias("__block"), "v")
+    known = carried.select("iog", "__block", (F.col("__block") * block - 1).alias("seq"), F.lit(-1).alias("word_idx"), "v")
+    known = known.unionByName(epochs.select("iog", at.alias("__block"), "seq", "word_idx", F.struct("after", "step").alias("v")))
+    words = rows.repartition("iog", "__block").dropDuplicates()
+    both = words.unionByName(known.repartition("iog", "__block"), allowMissingColumns=True)
+    before = Window.partitionBy("iog", "__block").orderBy("seq", "word_idx", F.col("v").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("__seen", F.last("v", ignorenulls=True).over(before)).where("v IS NULL")
+    return out.withColumn("offset", F.coalesce(F.col("__seen")["after"], F.lit(0).cast("bigint"))).withColumn("prev", F.col("__seen")["step"]).drop("__seen", "v", "__block")
 
 
 def unroll(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
@@ -38,9 +59,9 @@ def unroll(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     crossed = F.col("receipt") < F.col("raw")
     tick = F.col("raw") % p + F.col("offset") - F.when(crossed, F.coalesce("prev", F.lit(p))).otherwise(0)
     receipt = F.col("offset") + F.col("receipt")
-    d = with_epochs(stream, cfg, "D").where("kind = 'D'").withColumn("crossed", crossed).withColumn("ready", F.col("offset") > 0).withColumn("tick", tick).withColumn("receipt_tick", receipt)
+    d = with_epochs(stream, cfg, "D").withColumn("crossed", crossed).withColumn("ready", F.col("offset") > 0).withColumn("tick", tick).withColumn("receipt_tick", receipt)
     valid = F.col("ready") & (F.col("tick") >= 0) & (F.col("receipt_tick") >= F.col("tick")) & (F.col("receipt") < 32 * p)
-    return d.withColumn("valid", valid).withColumn("warmup", ~F.col("ready")).withColumn("invalid_time", F.col("ready") & ~valid).drop("aux", "step")
+    return d.withColumn("valid", valid).withColumn("warmup", ~F.col("ready")).withColumn("invalid_time", F.col("ready") & ~valid).drop("aux")
 
 
 def out_of_order(unrolled: DataFrame) -> DataFrame:
@@ -51,7 +72,7 @@ def out_of_order(unrolled: DataFrame) -> DataFrame:
 
 def unroll_counters(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     """Counters of the clock of each iog."""
-    s = sync_steps(stream, cfg).groupBy("iog").agg(F.count("step").alias("pps_syncs"), F.count_if(~F.col("selected")).alias("ignored_syncs"), F.count_if(F.col("selected") & F.col("step").isNull()).alias("invalid_syncs"), F.coalesce(F.sum(F.call_function("div", F.col("step"), F.lit(cfg.period).cast("bigint")) - 1), F.lit(0)).alias("missed_periods"))
+    s = sync_steps(stream.where("kind = 'S'").dropDuplicates(), cfg).groupBy("iog").agg(F.count("step").alias("pps_syncs"), F.count_if(~F.col("selected")).alias("ignored_syncs"), F.count_if(F.col("selected") & F.col("step").isNull()).alias("invalid_syncs"), F.coalesce(F.sum(F.call_function("div", F.col("step"), F.lit(cfg.period).cast("bigint")) - 1), F.lit(0)).alias("missed_periods"))
     u = unroll(stream, cfg)
     h = u.groupBy("iog").agg(F.count_if(F.col("valid") & F.col("crossed")).alias("boundary_corrected"), F.count_if("warmup").alias("warmup_hits"), F.count_if("invalid_time").alias("invalid_times"))
     o = out_of_order(u).groupBy("iog").agg(F.count_if("out_of_order").alias("out_of_order_hits"))
@@ -60,11 +81,10 @@ def unroll_counters(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
 
 def frontiers(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     """initial_tick (after the first plausible sync), frontier_tick (greatest valid receipt or epoch) of each iog."""
-    e = with_epochs(stream, cfg, "S")
-    first = e.where("step IS NOT NULL AND offset = 0").groupBy("iog").agg(F.min("step").alias("initial_tick"))
-    after = e.groupBy("iog").agg(F.sum("step").alias("end"))
+    e = sync_epochs(stream, cfg)
+    first = e.groupBy("iog").agg(F.min_by("step", F.struct("seq", "word_idx")).alias("initial_tick"), F.max("after").alias("end"))
     top = unroll(stream, cfg).where("valid").groupBy("iog").agg(F.max("receipt_tick").alias("top"), F.max("tick").alias("last_hit_tick"))
-    return first.join(after, "iog").join(top, "iog", "left").select("iog", "initial_tick", F.greatest("end", "top").alias("frontier_tick"), "last_hit_tick")
+    return first.join(top, "iog", "left").select("iog", "initial_tick", F.greatest("end", "top").alias("frontier_tick"), "last_hit_tick")
 
 
 def flow_difference(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
@@ -73,6 +93,7 @@ def flow_difference(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     The formula ranks syncs: the epoch of a word is a join with the cumulated steps at its number of earlier syncs.
     """
     p = cfg.period
+    stream = stream.dropDuplicates()
     s = sync_steps(stream, cfg).where("step IS NOT NULL").select("iog", "seq", "word_idx", "step")
     numbered = running(s, {"base": ("sum", F.col("step")), "k": ("sum", F.lit(1))}).select(F.col("iog").alias("i"), (F.col("k") + 1).alias("n"), (F.col("base") + F.col("step")).alias("epoch"), F.col("step").alias("last"))
     one = F.when((F.col("kind") == "S") & (F.col("io") == cfg.sync_type), 1)

@@ -24,6 +24,11 @@ def stream(s: SparkSession, d: str) -> DataFrame:
     return wire.word_stream(table(s, d, "hits"), table(s, d, "words"))
 
 
+def arriving(s: SparkSession, d: str) -> DataFrame:
+    """The stream with repeated rows, for operators that drop them themselves."""
+    return wire.word_stream(table(s, d, "hits"), table(s, d, "words"), distinct=False)
+
+
 def frames(s: SparkSession, d: str) -> DataFrame:
     return wire.encode_frames(stream(s, d))
 
@@ -34,13 +39,13 @@ def mapped(s: SparkSession, d: str) -> DataFrame:
 
 def selected(s: SparkSession, d: str) -> DataFrame:
     """Timed, mapped hits after the veto, with their pixel."""
-    u = timing.unroll(stream(s, d), CFG).where("valid").withColumnRenamed("io", "io_channel").withColumnRenamed("raw", "timestamp")
+    u = timing.unroll(arriving(s, d), CFG).where("valid").withColumnRenamed("io", "io_channel").withColumnRenamed("raw", "timestamp")
     m = geometry.raw_veto(geometry.map_hits(u, table(s, d, "dim_address")), CFG.min_raw)
     return m.withColumnRenamed("io_channel", "io").withColumnRenamed("timestamp", "raw")
 
 
 def aligned(s: SparkSession, d: str) -> DataFrame:
-    return epochs.align(epochs.pps_observations(stream(s, d), CFG), cfg=CFG)
+    return epochs.align(epochs.pps_observations(arriving(s, d), CFG), cfg=CFG)
 
 
 def offsets(s: SparkSession, d: str) -> DataFrame:
@@ -48,11 +53,11 @@ def offsets(s: SparkSession, d: str) -> DataFrame:
 
 
 def routed(s: SparkSession, d: str) -> DataFrame:
-    w = stream(s, d)
+    w = arriving(s, d)
     t = checkpoint(triggers.accepted(triggers.project_triggers(w, CFG), WIN.types))  # one row a trigger word
     a = checkpoint(aligned(s, d))  # one row a sync word
     offs = epochs.alignment_counters(a).where("offset_ticks IS NOT NULL").select("iog", "offset_ticks")
-    q = epochs.qualified(t, a, w.where("kind = 'T'")).where("offset_at_word IS NOT NULL").drop("offset_at_word", "header_second")
+    q = epochs.qualified(t, a, w.where("kind = 'T'").dropDuplicates()).where("offset_at_word IS NOT NULL").drop("offset_at_word", "header_second")
     return triggers.route(q, offs)
 
 
@@ -70,7 +75,7 @@ def match_detector_wide(s: SparkSession, d: str) -> DataFrame:
 
 
 def own_windows(s: SparkSession, d: str) -> DataFrame:
-    return triggers.merge_windows(triggers.accepted(triggers.project_triggers(stream(s, d), CFG)), WIN)
+    return triggers.merge_windows(triggers.accepted(triggers.project_triggers(arriving(s, d), CFG)), WIN)
 
 
 def own_matched(s: SparkSession, d: str) -> DataFrame:
@@ -78,7 +83,7 @@ def own_matched(s: SparkSession, d: str) -> DataFrame:
 
 
 def cursors(s: SparkSession, d: str, behind: int) -> DataFrame:
-    f = timing.frontiers(stream(s, d), CFG)
+    f = timing.frontiers(arriving(s, d), CFG)
     return f.select("iog", (F.col("frontier_tick") - behind).alias("cursor_tick"))
 
 
@@ -134,7 +139,7 @@ def _layers(s: SparkSession, d: str, behind: int) -> DataFrame:
 def _clocks(s: SparkSession, d: str) -> DataFrame:
     """Displayed Unix milliseconds of each iog one playback delay behind its frontier."""
     a = epochs.alignment_counters(aligned(s, d))
-    f = timing.frontiers(stream(s, d), CFG)
+    f = timing.frontiers(arriving(s, d), CFG)
     base = F.call_function("div", F.col("frontier_tick") - 12_500_000, F.lit(10_000).cast("bigint"))
     shown = state.displayed_clock(base, F.call_function("div", F.col("frontier_tick"), F.lit(10_000).cast("bigint")), F.lit(True), F.lit(100))
     unix = F.when((F.col("last_status") == "aligned") & F.col("offset_ticks").isNotNull(), F.call_function("div", F.col("offset_ticks"), F.lit(10_000).cast("bigint")) + shown)
@@ -198,23 +203,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_mapping_metrics": lambda s, d: geometry.mapping_metrics(mapped(s, d)),
         "q_raw_veto": lambda s, d: geometry.raw_veto(mapped(s, d)).groupBy("iog", "pixel_id").agg(F.count(F.lit(1)).alias("hits"), F.min("timestamp").alias("least_raw")),
         "q_sync_steps": lambda s, d: timing.sync_steps(stream(s, d)).select("iog", "seq", "word_idx", "selected", "step"),
-        "q_unroll_hits": lambda s, d: timing.unroll(stream(s, d)).select("iog", "seq", "word_idx", "tick", "receipt_tick", "ready", "valid", "crossed"),
-        "q_unroll_counters": lambda s, d: timing.unroll_counters(stream(s, d)),
-        "q_frontier": lambda s, d: timing.frontiers(stream(s, d)),
-        "q_flow_reference_diff": lambda s, d: timing.flow_difference(stream(s, d)),
+        "q_unroll_hits": lambda s, d: timing.unroll(arriving(s, d)).select("iog", "seq", "word_idx", "tick", "receipt_tick", "ready", "valid", "crossed"),
+        "q_unroll_counters": lambda s, d: timing.unroll_counters(arriving(s, d)),
+        "q_frontier": lambda s, d: timing.frontiers(arriving(s, d)),
+        "q_flow_reference_diff": lambda s, d: timing.flow_difference(arriving(s, d)),
         "q_last_hit_per_pixel": lambda s, d: triggers.latest_per_pixel(selected(s, d), ("iog",)),
         "q_last_arrival_per_pixel": lambda s, d: _arrivals(s, d).groupBy("iog", "pixel_id").agg(F.max(_arrival()).alias("arrival")),
         "q_seen_at_cursor": lambda s, d: playback.seen_at(selected(s, d), cursors(s, d, 50_000_000)),
-        "q_playback_steps": lambda s, d: playback.playback(playback.arrival_steps(timing.unroll(stream(s, d)), timing.frontiers(stream(s, d)))),
-        "q_trigger_projection": lambda s, d: triggers.project_triggers(stream(s, d)),
-        "q_subtype_histogram": lambda s, d: triggers.subtype_histogram(triggers.project_triggers(stream(s, d))),
+        "q_playback_steps": lambda s, d: playback.playback(playback.arrival_steps(timing.unroll(arriving(s, d)), timing.frontiers(arriving(s, d)))),
+        "q_trigger_projection": lambda s, d: triggers.project_triggers(arriving(s, d)),
+        "q_subtype_histogram": lambda s, d: triggers.subtype_histogram(triggers.project_triggers(arriving(s, d))),
         "q_windows_merged": own_windows,
         "q_windows_newest": lambda s, d: triggers.newest_windows(own_windows(s, d), 64),
         "q_match_same_iog": lambda s, d: triggers.latest_per_pixel(own_matched(s, d), ("iog",)),
         "q_pps_alignment": lambda s, d: aligned(s, d).select("iog", "seq", "word_idx", "tick", "usable", "consistent", "status", "offset_ticks"),
         "q_alignment_counters": lambda s, d: epochs.alignment_counters(aligned(s, d)),
         "q_route_triggers": routed,
-        "q_router_counters": lambda s, d: triggers.router_counters(stream(s, d), offsets(s, d), WIN),
+        "q_router_counters": lambda s, d: triggers.router_counters(arriving(s, d), offsets(s, d), WIN),
         "q_match_counters": lambda s, d: triggers.match_counters(wide_matched(s, d)),
         "q_layer_union": lambda s, d: triggers.union_layer(match_detector_wide(s, d)),
         "q_layer_delta": lambda s, d: state.layer_delta(_layers(s, d, 80_000_000), _layers(s, d, 50_000_000), ("iog", "pixel_id")),

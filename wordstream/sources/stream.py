@@ -17,13 +17,17 @@ MOST_WORDS, KINDS = 65535, "DTSPWRE"
 WORDS = "iog int, seq bigint, word_idx int, header_second bigint, kind string, io int, receipt bigint, aux bigint, payload bigint"
 
 
-def word_stream(hits: DataFrame, words: DataFrame) -> DataFrame:
-    """D words from hits and all others from words, repeated rows once; hits whose times do not fit a word are left out."""
+def word_stream(hits: DataFrame, words: DataFrame, distinct: bool = True) -> DataFrame:
+    """D words from hits and all others from words, repeated rows once; hits whose times do not fit a word are left out.
+
+    Without ``distinct`` repeated rows stay, for operators that drop them after their own shuffle.
+    """
     d = hits.select("iog", "seq", "word_idx", F.lit("D").alias("kind"), F.col("io_channel").alias("io"), F.col("message_seconds").alias("header_second"), F.col("receipt_timestamp").alias("receipt"), F.lit(None).cast("bigint").alias("aux"), F.col("timestamp").alias("raw"), "chip", "channel", "adc")
     d = d.where("raw BETWEEN 0 AND 2147483647 AND receipt BETWEEN 0 AND 4294967295")
     none = F.lit(None).cast("int")
     o = words.select("iog", "seq", "word_idx", "kind", "io", "header_second", F.lit(None).cast("bigint").alias("receipt"), "aux", F.lit(None).cast("bigint").alias("raw"), none.alias("chip"), none.alias("channel"), none.alias("adc"))
-    return d.unionByName(o).dropDuplicates()
+    rows = d.unionByName(o)
+    return rows.dropDuplicates() if distinct else rows
 
 
 def encode_frames(stream: DataFrame) -> DataFrame:
