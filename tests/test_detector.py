@@ -249,3 +249,26 @@ def test_sources(spark, tmp_path):
     (tmp_path / "geometry_mod1_v4.json").write_text(json.dumps({"pixel_pitch": 3.8, "geometry": {"1-2-11-5": [0.0, 3.8]}}))
     g = geometry.read_geometry(spark, str(tmp_path / "geometry_mod*.json")).first()
     assert (g.module, g.side, g.geometry_tile, g.chip, g.channel, g.y) == (1, 1, 2, 11, 5, 3.8) and len(g.sha256) == 64
+
+
+def test_snapshot_frames_and_documents(spark, tmp_path):
+    import json
+
+    from wordstream.sources import sinks
+
+    delta = spark.createDataFrame([(5, 10_000_000), (2, -1)], "pixel_id int, tick bigint")
+    clocks = [(float(k), k + 0.5, k % 2 == 0) for k in range(8)]
+    frame = bytes(state.encode_snapshot(delta, clocks, 3).first().frame)
+    assert len(frame) == 204 + 24 and state.decode_snapshot(frame) == ("RDP2", 3, [(c, f, float(r)) for c, f, r in clocks], [(2, -1.0), (5, 1.0)])
+    ages = spark.createDataFrame([(1, None), (0, 0.5)], "pixel_id int, age double")
+    assert state.decode_snapshot(bytes(state.encode_ages(ages, 9, 12.5).first().frame)) == ("RDP1", 9, [(12.5,)], [(0, 0.5), (1, 1e9)])
+    with pytest.raises(ValueError):
+        state.decode_snapshot(frame[:-1])
+    rows = spark.createDataFrame([(2, 5), (1, 7)], "iog int, hits int")
+    assert json.loads(state.document(rows, 2).first().document) == {"version": 2, "sources": [{"hits": 7, "iog": 1}, {"hits": 5, "iog": 2}]}
+    sinks.write_capture(rows, str(tmp_path / "c"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_capture(rows, str(tmp_path / "c"))
+    f = spark.createDataFrame([(1, 1, b"x")], sinks.FRAMES)
+    f.write.parquet(str(tmp_path / "f"))
+    assert sinks.read_frames(spark, str(tmp_path / "f")).count() == 1 and sinks.read_frames(spark, str(tmp_path / "f"), streaming=True).isStreaming

@@ -146,3 +146,15 @@ def verify(samples: DataFrame, stale_after: float = 2.5) -> DataFrame:
         )).alias("issues"),
     )
     return checked.select("session", "iog", F.explode("issues").alias("issue")).groupBy("session", "iog", "issue").agg(F.count(F.lit(1)).alias("samples"))
+
+
+def playback_counters(eligible: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+    """Of each iog: timed and mapped hits, those behind the cursor when they came, those the veto takes, and those shown.
+
+    The cursor is the greatest receipt tick before a hit, less the playback delay.
+    """
+    delay = round(cfg.delay / cfg.tick_seconds)
+    r = running(eligible, {"front": ("max", F.col("receipt_tick"))})
+    late = F.coalesce((F.col("front") >= delay) & (F.col("tick") <= F.col("front") - delay), F.lit(False))
+    shown = F.col("raw") >= cfg.min_raw
+    return r.groupBy("iog").agg(F.count(F.lit(1)).alias("timing_eligible_hits"), F.count_if(late).alias("pre_cut_late_hits"), F.count_if(~shown).alias("post_sync_filtered_hits"), F.count_if(shown).alias("display_selected_hits"), F.count_if(shown & late).alias("late_hits"))

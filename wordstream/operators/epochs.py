@@ -81,3 +81,25 @@ def qualified(triggers: DataFrame, aligned: DataFrame, seconds: DataFrame) -> Da
     r = running(both, {"state": ("last", F.col("seen"))}).where("seen IS NULL").drop("seen")
     age = F.col("header_second").cast("double") - F.col("state")["fresh_at"]
     return r.withColumn("offset_at_word", F.when(age.between(0, FRESH), F.col("state")["offset_ticks"])).drop("state")
+
+
+def revocations(aligned: DataFrame) -> DataFrame:
+    """Observations that took a usable alignment away, with the generation that begins there.
+
+    The generation counts revocations of all sources in the order in which they were observed; one row each.
+    """
+    before = running(aligned, {"was": ("last", F.col("status"))})
+    lost = before.where("was = 'aligned' AND status <> 'aligned'").select("iog", "seq", "word_idx", "now", "status")
+    return lost.withColumn("generation", F.row_number().over(Window.orderBy("now", "iog", "seq", "word_idx")))  # rare events, not rows of data
+
+
+def since_last_revocation(rows: DataFrame, revoked: DataFrame, seen: Column) -> DataFrame:
+    """Rows of the current generation: seen after the last revocation of any source, all of them if there was none."""
+    last = revoked.agg(F.max("now").alias("last")).scalar()
+    return rows.where(F.coalesce(seen > last, F.lit(True)))
+
+
+def qualified_sources(aligned: DataFrame, now: Column) -> DataFrame:
+    """Sources whose last observation left them aligned and fresh at ``now``."""
+    last = aligned.groupBy("iog").agg(F.max_by(F.struct("status", "fresh_at", "offset_ticks"), F.struct("seq", "word_idx")).alias("l")).select("iog", "l.*")
+    return last.where((F.col("status") == "aligned") & (now - F.col("fresh_at")).between(0, FRESH)).select("iog", "offset_ticks")

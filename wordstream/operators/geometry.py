@@ -93,3 +93,8 @@ def hover_lookup(points: DataFrame, tiles: DataFrame) -> DataFrame:
     col, row = (F.floor((F.col(c) - F.col(f"{c}_min")) / F.col("pitch") + 0.5) for c in ("x", "y"))
     inside = col.between(0, F.col("width") - 1) & row.between(0, F.col("height") - 1)
     return at.select(*points.columns, F.when(inside, col).cast("int").alias("col"), F.when(inside, row).cast("int").alias("row"), F.when(inside, F.col("height") - 1 - row).cast("int").alias("screen_row"))
+
+
+def geometry_identity(numbered: DataFrame) -> DataFrame:
+    """Identity of a geometry: number of pixels and a hash of all of them that does not depend on their order."""
+    return numbered.agg(F.count(F.lit(1)).alias("n_pixels"), F.hex(F.bit_xor(F.xxhash64("iog", "tile", "chip", "channel", "pixel_id"))).alias("geometry_id"))

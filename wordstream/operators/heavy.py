@@ -58,7 +58,7 @@ def heavy_addresses(hits: DataFrame, per_mille: dict[str, int] | None = None) ->
     counts = picked.groupBy("grain", *ADDRESS).agg(F.count(F.lit(1)).alias("rows"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     share = F.expr("CASE grain " + " ".join(f"WHEN '{g}' THEN {v}" for g, v in per_mille.items()) + " END")
-    return counts.join(F.broadcast(total)).where(F.col("rows") * 1000 >= F.col("total") * share).select("grain", *ADDRESS)
+    return counts.where(F.col("rows") * 1000 >= total.scalar() * share).select("grain", *ADDRESS)
 
 
 def address_latest(hits: DataFrame, per_mille: int = 5) -> DataFrame:

@@ -106,3 +106,63 @@ def decode_layer(frame: bytes) -> tuple[str, int, list[tuple[int, float]]]:
     if any(not (t >= 0 or t == -1) for _, t in records):
         raise ValueError("bad record")
     return frame[:4].decode(), seq, records
+
+
+def encode_ages(ages: DataFrame, seq: int, now: float) -> DataFrame:
+    """One host-time frame RDP1 of changed pixels (pixel_id, age): magic, seq, count, now, then (id u32, age f32); null ages are 1e9."""
+    return _frame(ages.select(F.col("pixel_id").cast("int"), F.coalesce(F.col("age").cast("double"), F.lit(1e9)).alias("v")), "<If", b"RDP1", struct.pack("<I", seq), struct.pack("<d", now))
+
+
+def encode_snapshot(delta: DataFrame, clocks: list[tuple[float, float, bool]], seq: int) -> DataFrame:
+    """One detector-time frame RDP2 of changed pixels (pixel_id, tick): magic, seq, count, (cursor, frontier, running) of 8 sources, then (id u32, seconds f64)."""
+    if len(clocks) != 8:
+        raise ValueError("8 clocks needed")
+    head = b"".join(struct.pack("<ddd", c, f, float(r)) for c, f, r in clocks)
+    seconds = F.when(F.col("tick") < 0, F.lit(-1.0)).otherwise(F.col("tick") * F.lit(1e-7))
+    return _frame(delta.select(F.col("pixel_id").cast("int"), seconds.alias("v")), "<Id", b"RDP2", struct.pack("<I", seq), head)
+
+
+def _frame(records: DataFrame, layout: str, magic: bytes, seq: bytes, head: bytes) -> DataFrame:
+    """Frame of one record a pixel, packed in the tasks; its size is bounded by the geometry."""
+    import pyarrow as pa
+
+    ship(records.sparkSession)
+
+    def pack(batches):
+        for b in batches:
+            ids, values = (c.to_pylist() for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([struct.pack(layout, i, v) for i, v in zip(ids, values)], pa.binary())], names=["pixel_id", "record"])
+
+    whole = records.mapInArrow(pack, "pixel_id int, record binary").agg(F.array_sort(F.collect_list(F.struct("pixel_id", "record"))).alias("r"))
+    parts = [F.lit((magic + seq).hex()), le_hex(F.size("r"), 4), F.lit(head.hex()), F.array_join(F.transform("r", lambda x: F.hex(x["record"])), "")]
+    return whole.select(F.unhex(F.concat(*parts)).alias("frame"))
+
+
+def decode_snapshot(frame: bytes) -> tuple[str, int, list[tuple[float, ...]], list[tuple[int, float]]]:
+    """Magic, seq, clocks and records of an RDP1 or RDP2 frame; ValueError if its kind or length is bad."""
+    kinds = {b"RDP1": (20, "<If"), b"RDP2": (204, "<Id")}
+    if frame[:4] not in kinds or len(frame) < kinds[frame[:4]][0]:
+        raise ValueError("not a snapshot frame")
+    start, layout = kinds[frame[:4]]
+    seq, n = struct.unpack_from("<II", frame, 4)
+    size = struct.calcsize(layout)
+    if len(frame) != start + n * size:
+        raise ValueError("length does not match the count")
+    clocks = [struct.unpack_from("<d", frame, 12)] if start == 20 else [struct.unpack_from("<ddd", frame, 12 + 24 * k) for k in range(8)]
+    return frame[:4].decode(), seq, clocks, [struct.unpack_from(layout, frame, start + size * k) for k in range(n)]
+
+
+#: Most characters of a published document; a fixed value.
+DOCUMENT_LIMIT = 262_144
+
+
+def document(sources: DataFrame, version: int, name: str = "sources") -> DataFrame:
+    """One JSON document of the rows of each source, in the order of iog; null if it is longer than the limit."""
+    whole = sources.agg(F.array_sort(F.collect_list(F.struct("iog", F.struct(*sorted(sources.columns)).alias("row")))).alias("r"))
+    json = F.to_json(F.struct(F.lit(version).alias("version"), F.transform("r", lambda x: x["row"]).alias(name)))
+    return whole.select(F.when(F.length(json) <= DOCUMENT_LIMIT, json).alias("document"))
+
+
+def format_time(unix_ms: Column, zone: str = "America/Chicago") -> Column:
+    """Local wall time of Unix milliseconds in a zone, to the millisecond."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_millis(unix_ms), zone), "yyyy-MM-dd HH:mm:ss.SSS")

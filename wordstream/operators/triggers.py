@@ -76,7 +76,7 @@ def route(triggers: DataFrame, offsets: DataFrame) -> DataFrame:
     own = offsets.select("iog", F.col("offset_ticks").alias("own"))
     # every source word goes to each of the at most 8 aligned targets
     targets = offsets.agg(F.array_sort(F.collect_list(F.struct(F.col("iog").alias("target"), F.col("offset_ticks").alias("theirs")))).alias("targets"))
-    sent = t.join(own, "iog").join(F.broadcast(targets)).select("source", "iog", "seq", "word_idx", "subtype", "tick", "own", F.inline("targets"))
+    sent = t.join(own, "iog").withColumn("targets", targets.scalar()).select("source", "iog", "seq", "word_idx", "subtype", "tick", "own", F.inline("targets"))
     return sent.select("source", F.col("iog").alias("source_iog"), "seq", "word_idx", "subtype", F.col("target").alias("iog"), (F.col("tick") + (F.col("own") - F.col("theirs"))).alias("tick")).where("tick >= 0")
 
 
@@ -104,3 +104,11 @@ def router_counters(stream: DataFrame, offsets: DataFrame, win: Windows, cfg: Ti
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     ok, known = F.col("valid"), F.col("offset_ticks").isNotNull()
     return t.groupBy("iog").agg(count(~source).alias("unexpected_source"), count(source & ~ok).alias("invalid_trigger_times"), count(source & ok & ~wanted).alias("filtered_subtype"), count(source & ok & wanted & ~known).alias("source_unaligned"), count(source & ok & wanted & known).alias("accepted"))
+
+
+def batch_cap(triggers: DataFrame, most: int, batch: Column) -> DataFrame:
+    """The last ``most`` triggers of each iog and batch, with the number of all: the reference limit on a storm of triggers."""
+    rows = triggers.withColumn("batch", batch)
+    every = Window.partitionBy("iog", "batch")
+    k = F.row_number().over(every.orderBy(F.desc("seq"), F.desc("word_idx")))
+    return rows.withColumn("of", F.count(F.lit(1)).over(every)).withColumn("k", k).where(F.col("k") <= most).drop("k")

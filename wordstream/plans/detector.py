@@ -127,7 +127,7 @@ def _receipts(s: SparkSession, d: str) -> DataFrame:
     w = stream(s, d).where("header_second > 0")
     by = w.groupBy("iog").agg(F.count_if((F.col("kind") == "S") & (F.col("io") == 83)).alias("syncs"), F.max(F.when((F.col("kind") == "S") & (F.col("io") == 83), F.col("header_second"))).alias("last_sync"), F.count_if(F.col("kind") == "T").alias("triggers"), F.max(F.when(F.col("kind") == "T", F.col("header_second"))).alias("last_trigger"), F.max("header_second").alias("last_frame"))
     now = by.agg(F.max("last_frame").alias("now"))
-    joined = by.join(F.broadcast(now)).select("*", *(F.coalesce(F.col(c), F.lit(0)).cast("double").alias(f"d_{c}") for c in ("last_sync", "last_trigger", "last_frame")))
+    joined = by.withColumn("now", now.scalar()).select("*", *(F.coalesce(F.col(c), F.lit(0)).cast("double").alias(f"d_{c}") for c in ("last_sync", "last_trigger", "last_frame")))
     rows = joined.select("iog", "syncs", "triggers", "now", *(F.col(f"d_{c}").alias(c) for c in ("last_sync", "last_trigger", "last_frame")))
     return state.receipt_status(rows, F.col("now") + 2.0)
 
@@ -177,6 +177,18 @@ def _samples(s: SparkSession, d: str) -> DataFrame:
     return audits.verify(a.select(F.call_function("div", "second", F.lit(600).cast("bigint")).alias("session"), "iog", F.struct("seq", "word_idx").alias("elapsed"), F.lit(True).alias("healthy"), F.lit(True).alias("supported"), "status", F.lit(0.0).alias("age"), "offset_ticks", F.lit(0).alias("counter")))
 
 
+def _current(s: SparkSession, d: str) -> DataFrame:
+    """T words of the current generation of alignments by iog."""
+    a = checkpoint(aligned(s, d))
+    w = table(s, d, "words").where("kind = 'T'").dropDuplicates()
+    return epochs.since_last_revocation(w, epochs.revocations(a), F.col("header_second").cast("double")).groupBy("iog").agg(F.count(F.lit(1)).alias("triggers"))
+
+
+def _eligible(s: SparkSession, d: str) -> DataFrame:
+    u = timing.unroll(arriving(s, d), CFG).where("valid").withColumnRenamed("io", "io_channel")
+    return geometry.map_hits(u, table(s, d, "dim_address")).where("pixel_id IS NOT NULL")
+
+
 def _snapshot(s: SparkSession, d: str) -> DataFrame:
     """Increases of the counters of each iog over the second half of the stream."""
     c = _source_counts(s, d)
@@ -234,6 +246,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_rate_ring_page": lambda s, d: audits.ring_page(table(s, d, "tile_rates"), after=20, limit=100),
         "q_snapshot_deltas": _snapshot,
         "q_verifier_issues": _samples,
+        "q_revocations": lambda s, d: epochs.revocations(checkpoint(aligned(s, d))).drop("generation"),
+        "q_current_generation": _current,
+        "q_batch_cap": lambda s, d: triggers.batch_cap(triggers.accepted(triggers.project_triggers(arriving(s, d))), 3, div(F.col("seq"), 256)).select("iog", "seq", "word_idx", "subtype", "tick", "of"),
+        "q_playback_counters": lambda s, d: audits.playback_counters(_eligible(s, d)),
+        "q_display_labels": lambda s, d: _clocks(s, d).select("iog", "unix_ms", state.format_time(F.col("unix_ms"), "UTC").alias("utc")),
         "q_receipt_status": _receipts,
         "q_source_totals": lambda s, d: state.source_totals(geometry.mapping_metrics(mapped(s, d)).join(_receipts(s, d).select("iog", "healthy"), "iog")),
         "q_displayed_clock": _clocks,

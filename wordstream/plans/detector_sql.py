@@ -177,6 +177,13 @@ SELECT *, "after" - "before" AS delta, NULL::VARCHAR AS problem FROM z""",
         "q_verifier_issues": _A + """, x AS (SELECT second // 600 AS session, iog, status, offset_ticks, lag(offset_ticks) OVER (PARTITION BY second // 600, iog ORDER BY seq, word_idx) AS lo FROM al2),
 i AS (SELECT session, iog, 'epoch not freshly qualified' AS issue FROM x WHERE status <> 'aligned' UNION ALL SELECT session, iog, 'no epoch offset' FROM x WHERE offset_ticks IS NULL UNION ALL SELECT session, iog, 'offset changed' FROM x WHERE lo <> offset_ticks)
 SELECT session, iog, issue, count(*) AS samples FROM i GROUP BY ALL""",
+        "q_revocations": _A + ", rv AS (SELECT *, lag(status) OVER (PARTITION BY iog ORDER BY seq, word_idx) AS was FROM al2) SELECT iog, seq, word_idx, now, status FROM rv WHERE was = 'aligned' AND status <> 'aligned'",
+        "q_current_generation": _A + ", rv AS (SELECT *, lag(status) OVER (PARTITION BY iog ORDER BY seq, word_idx) AS was FROM al2), z AS (SELECT max(now) AS last FROM rv WHERE was = 'aligned' AND status <> 'aligned') SELECT iog, count(*) AS triggers FROM (SELECT DISTINCT * FROM words) w, z WHERE kind = 'T' AND coalesce(CAST(header_second AS DOUBLE) > last, TRUE) GROUP BY iog",
+        "q_batch_cap": _W + "SELECT iog, seq, word_idx, subtype, tick, count(*) OVER (PARTITION BY iog, seq // 256) AS of FROM t WHERE valid QUALIFY row_number() OVER (PARTITION BY iog, seq // 256 ORDER BY seq DESC, word_idx DESC) <= 3",
+        "q_playback_counters": _W + """, el AS (SELECT d.*, max(receipt_tick) OVER (PARTITION BY d.iog ORDER BY seq, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS front FROM d JOIN dim_address a ON d.iog = a.iog AND d.io = a.io_channel AND d.chip = a.chip AND d.channel = a.channel WHERE d.valid),
+l AS (SELECT *, coalesce(front >= 12500000 AND tick <= front - 12500000, FALSE) AS late FROM el)
+SELECT iog, count(*) AS timing_eligible_hits, count(*) FILTER (late) AS pre_cut_late_hits, count(*) FILTER (raw < 10) AS post_sync_filtered_hits, count(*) FILTER (raw >= 10) AS display_selected_hits, count(*) FILTER (raw >= 10 AND late) AS late_hits FROM l GROUP BY iog""",
+        "q_display_labels": _CLOCKS + "SELECT iog, unix_ms, strftime(make_timestamp(unix_ms * 1000), '%Y-%m-%d %H:%M:%S.%g') AS utc FROM cl",
         "q_receipt_status": _W + "," + _RECEIPTS + "SELECT * FROM bs",
         "q_source_totals": _W + "," + _RECEIPTS + ", m AS (SELECT h.*, a.pixel_id FROM h LEFT JOIN dim_address a ON h.iog = a.iog AND h.io_channel = a.io_channel AND h.chip = a.chip AND h.channel = a.channel), " + _METRICS + " SELECT CAST(sum(mapped) AS BIGINT) AS mapped, count(*) FILTER (healthy) AS receiving, CAST(sum(unmapped) AS BIGINT) AS unmapped, CAST(sum(filtered) AS BIGINT) AS filtered FROM mm JOIN bs ON mm.iog = bs.iog",
         "q_displayed_clock": _CLOCKS + "SELECT * FROM cl",
