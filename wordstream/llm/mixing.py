@@ -45,7 +45,7 @@ def _plans(mixes: DataFrame, targets: DataFrame, total: DataFrame) -> DataFrame:
     shares = clean.select("mix_id", "source", (F.sum("w").over(every.orderBy("source")) / F.sum("w").over(every)).alias("upto"))
     ends = shares.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("upto", "source"))).alias("ends"))
     wanted = F.round(F.col("total_ratio") * F.col("all")).cast("bigint")
-    return mixes.crossJoin(total).select("mix_id", F.greatest(wanted, F.lit(0)).alias("wanted")).withColumn("slots", F.call_function("div", F.col("wanted") + BLOCK // 2, F.lit(BLOCK).cast("bigint"))).join(ends, "mix_id")
+    return mixes.withColumn("all", total.scalar()).select("mix_id", F.greatest(wanted, F.lit(0)).alias("wanted")).withColumn("slots", F.call_function("div", F.col("wanted") + BLOCK // 2, F.lit(BLOCK).cast("bigint"))).join(ends, "mix_id")
 
 
 def schedule(plans: DataFrame) -> DataFrame:

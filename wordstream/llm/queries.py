@@ -17,7 +17,7 @@ SOURCE = ["iog", "chip", "channel"]
 def _readings(spark: SparkSession, folder: str) -> DataFrame:
     """Values of adc in 0..255 with their address, repeated rows once."""
     rows = table(spark, folder, "hits").where("adc BETWEEN 0 AND 255 AND iog IS NOT NULL AND chip IS NOT NULL")
-    return rows.select("iog", "seq", "word_idx", "chip", "channel", "adc", "receipt_timestamp", "timestamp", "message_seconds").dropDuplicates(["iog", "seq", "word_idx", "chip", "channel", "adc"])
+    return rows.select("iog", "seq", "word_idx", "chip", "channel", "adc").dropDuplicates()
 
 
 def source_percentiles(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoint, ship
 
 # Marks, pairs of marks, abbreviations and other words of the nine languages.
 #: Marks that end a sentence in any script; the full stop is decided by its surroundings.
@@ -369,12 +369,12 @@ def corpus_words(documents: DataFrame, per_million: int = 20) -> tuple[frozenset
     or number more often than before anything else, and hardly stands without one.
     """
     counts = documents.select("text").mapInArrow(_count, COUNTED).groupBy("token").pivot("kind", ["a", "b", "d", "w"]).agg(F.sum("n")).fillna(0)
-    total = counts.agg(F.sum(F.col("a") + F.col("b") + F.col("d")).alias("stops"), F.sum("w").alias("words"))
-    shares = counts.join(F.broadcast(total))
+    counts = checkpoint(counts)
+    stops, words = counts.agg(F.sum(F.col("a") + F.col("b") + F.col("d")), F.sum("w")).first()  # two numbers
     held = F.col("a") + F.col("d")
-    abbr = (held > F.col("b")) & (F.col("w") * 10 < held) & (held * 1_000_000 >= F.col("stops") * per_million)
-    word = (F.col("w") * 1_000_000 >= F.col("words") * per_million) & (F.col("w") >= 2)
-    rows = shares.select("token", abbr.alias("abbr"), word.alias("word")).where("abbr OR word").collect()
+    abbr = (held > F.col("b")) & (F.col("w") * 10 < held) & (held * 1_000_000 >= F.lit((stops or 0) * per_million))
+    word = (F.col("w") * 1_000_000 >= F.lit((words or 0) * per_million)) & (F.col("w") >= 2)
+    rows = counts.select("token", abbr.alias("abbr"), word.alias("word")).where("abbr OR word").collect()
     return frozenset(r.token for r in rows if r.abbr), frozenset(r.token for r in rows if r.word)
 
 
