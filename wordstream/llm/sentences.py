@@ -229,6 +229,8 @@ class Splitter:
         if not spaced:
             if prev.isdigit() and nxt.isdigit():
                 return False
+            if nxt in "“„«(¿¡" and regex.match(r"[\p{Lu}\p{Nd}¿¡“«]", text[rest + 1 : rest + 2]):
+                return len(token) != 1 and low not in LEADING or prev in ")»”"
             if not nxt.isupper() or len(word) < 2 or not word[1:].islower():
                 return bool(UNCASED.match(nxt)) and not token[-1:].isascii() and len(token) > 1 and low not in LEADING
             return len(token) != 1 and low not in LEADING or prev in ")»”"
