@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,26 +80,32 @@ def explode_words(parsed: DataFrame) -> DataFrame:
 def decode_frames(frames: DataFrame) -> DataFrame:
     """The same word table from binary frames in one vectorised pass over Arrow batches; malformed frames are left out."""
     ship(frames.sparkSession)
-    word = np.dtype([("kind", "u1"), ("io", "u1"), ("rest", "u1", 6), ("payload", "<u8")])
+    letters = np.array([chr(i) for i in range(256)], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(2).to_pylist()
-            head = [(k, v[0], int.from_bytes(v[1:5], "little"), int.from_bytes(v[6:8], "little")) for k, v in enumerate(values) if v is not None and HEADER <= len(v) <= HEADER + MOST_WORDS * WORD]
-            good = [(k, s, n) for k, c, s, n in head if c == 68 and n and len(values[k]) == HEADER + WORD * n]
-            if not good:
+            value = pc.fill_null(b.column(2), b"").cast(pa.binary())
+            if not len(value):
                 continue
-            k, s, n = (np.array(x) for x in zip(*good))
-            flat = np.frombuffer(b"".join(values[i][HEADER:] for i in k.tolist()), word)
-            at = np.repeat(k, n)
-            rest = flat["rest"].astype(np.int64)
-            number = lambda a: rest[:, a] | rest[:, a + 1] << 8 | rest[:, a + 2] << 16 | rest[:, a + 3] << 24
-            idx = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            letters = np.array([chr(i) for i in range(256)], object)
+            ends = np.frombuffer(value.buffers()[1], np.int32)[value.offset : value.offset + len(value) + 1].astype(np.int64)
+            data = np.frombuffer(value.buffers()[2] or b"", np.uint8)
+            start, size = ends[:-1], np.diff(ends)
+            k = np.flatnonzero((size >= HEADER) & (size <= HEADER + MOST_WORDS * WORD))
+            at = start[k]
+            number = lambda p, n: sum(data[p + j].astype(np.int64) << 8 * j for j in range(n))
+            n = number(at + 6, 2)
+            good = (data[at] == 68) & (n > 0) & (size[k] == HEADER + WORD * n)
+            k, at, n = k[good], at[good], n[good]
+            if not len(k):
+                continue
+            idx = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            w = data[(np.repeat(at + HEADER, n) + WORD * idx)[:, None] + np.arange(WORD)]
+            field = lambda p: np.ascontiguousarray(w[:, p : p + 4]).view("<u4")[:, 0].astype(np.int64)
+            frame = pa.array(np.repeat(k, n))
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).take(pa.array(at)).cast(pa.int32()), b.column(1).take(pa.array(at)).cast(pa.int64()), pa.array(idx, pa.int32()), pa.array(np.repeat(s, n), pa.int64()), pa.array(letters[flat["kind"]], pa.string()),
-                    pa.array(flat["io"], pa.int32()), pa.array(number(0), pa.int64()), pa.array(number(2), pa.int64()), pa.array(flat["payload"].view(np.int64) if flat["payload"].flags.c_contiguous else flat["payload"].astype(np.uint64).view(np.int64), pa.int64()),
+                    b.column(0).take(frame).cast(pa.int32()), b.column(1).take(frame).cast(pa.int64()), pa.array(idx, pa.int32()), pa.array(np.repeat(number(at + 1, 4), n), pa.int64()), pa.array(letters[w[:, 0]], pa.string()),
+                    pa.array(w[:, 1], pa.int32()), pa.array(field(2), pa.int64()), pa.array(field(4), pa.int64()), pa.array(np.ascontiguousarray(w[:, 8:]).view("<i8")[:, 0], pa.int64()),
                 ],
                 names=[x.split()[0] for x in WORDS.split(", ")],
             )
