@@ -18,12 +18,12 @@ from .timing import sync_steps, with_epochs
 FRESH = 2.5
 
 
-def pps_observations(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+def pps_observations(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None = None) -> DataFrame:
     """Selected S words as observations: tick after the word, header second, and whether each is usable at all.
 
     A word is unusable if its step is implausible, it has no positive second, or its frame holds another one.
     """
-    s = with_epochs(stream.where(F.col("io") == cfg.sync_type), cfg, "S")
+    s = with_epochs(stream.where(F.col("io") == cfg.sync_type), cfg, "S", epochs)
     s = sync_steps(s, cfg)
     many = F.count(F.lit(1)).over(Window.partitionBy("iog", "seq")) > 1
     tick = F.col("offset") + F.col("step")

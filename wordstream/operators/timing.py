@@ -26,14 +26,15 @@ def sync_epochs(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     return checkpoint(running(s, {"after": ("sum", F.col("step"))}, inclusive=True))
 
 
-def with_epochs(stream: DataFrame, cfg: Timing = Timing(), kinds: str = "D", block: int = BLOCK) -> DataFrame:
+def with_epochs(stream: DataFrame, cfg: Timing = Timing(), kinds: str = "D", epochs: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Words of ``kinds`` with, from the syncs strictly before them, ``offset`` (sum of steps) and ``prev`` (last step).
 
     Syncs are rare, so their running sums are made first. The words are then shuffled once, by source and block of
-    arrival, together with the syncs of the block and the last sync before it; repeated rows count once.
+    arrival, together with the syncs of the block and the last sync before it; repeated rows count once. epochs: the
+    ``sync_epochs`` of the stream, where they are at hand.
     """
     at = div(F.col("seq").cast("bigint"), block)
-    epochs = sync_epochs(stream, cfg)
+    epochs = sync_epochs(stream, cfg) if epochs is None else epochs
     rows = stream.where(F.col("kind").isin(*kinds)).where("iog IS NOT NULL AND seq IS NOT NULL").withColumn("__block", at)
     ends = rows.groupBy("iog").agg(F.max("__block").alias("top"))
     # the last sync of each block is what later blocks start from, up to the block of the next one
@@ -49,7 +50,7 @@ def with_epochs(stream: DataFrame, cfg: Timing = Timing(), kinds: str = "D", blo
     return out.withColumn("offset", F.coalesce(F.col("__seen")["after"], F.lit(0).cast("bigint"))).withColumn("prev", F.col("__seen")["step"]).drop("__seen", "v", "__block")
 
 
-def unroll(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+def unroll(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None = None) -> DataFrame:
     """D words with tick, receipt_tick and the flags ready, valid, crossed, warmup, invalid_time.
 
     A hit whose receipt counter is below its raw time was taken before the last sync and belongs to the period before
@@ -59,7 +60,7 @@ def unroll(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     crossed = F.col("receipt") < F.col("raw")
     tick = F.col("raw") % p + F.col("offset") - F.when(crossed, F.coalesce("prev", F.lit(p))).otherwise(0)
     receipt = F.col("offset") + F.col("receipt")
-    d = with_epochs(stream, cfg, "D").withColumn("crossed", crossed).withColumn("ready", F.col("offset") > 0).withColumn("tick", tick).withColumn("receipt_tick", receipt)
+    d = with_epochs(stream, cfg, "D", epochs).withColumn("crossed", crossed).withColumn("ready", F.col("offset") > 0).withColumn("tick", tick).withColumn("receipt_tick", receipt)
     valid = F.col("ready") & (F.col("tick") >= 0) & (F.col("receipt_tick") >= F.col("tick")) & (F.col("receipt") < 32 * p)
     return d.withColumn("valid", valid).withColumn("warmup", ~F.col("ready")).withColumn("invalid_time", F.col("ready") & ~valid).drop("aux")
 
@@ -83,7 +84,7 @@ def frontiers(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     """initial_tick (after the first plausible sync), frontier_tick (greatest valid receipt or epoch) of each iog."""
     e = sync_epochs(stream, cfg)
     first = e.groupBy("iog").agg(F.min_by("step", F.struct("seq", "word_idx")).alias("initial_tick"), F.max("after").alias("end"))
-    top = unroll(stream, cfg).where("valid").groupBy("iog").agg(F.max("receipt_tick").alias("top"), F.max("tick").alias("last_hit_tick"))
+    top = unroll(stream, cfg, e).where("valid").groupBy("iog").agg(F.max("receipt_tick").alias("top"), F.max("tick").alias("last_hit_tick"))
     return first.join(top, "iog", "left").select("iog", "initial_tick", F.greatest("end", "top").alias("frontier_tick"), "last_hit_tick")
 
 

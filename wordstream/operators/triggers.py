@@ -14,9 +14,9 @@ from .timing import with_epochs
 SOURCES = {5: "beam", 6: "light"}
 
 
-def project_triggers(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+def project_triggers(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None = None) -> DataFrame:
     """T words with subtype, tick on the clock of their iog, and valid (epoch known, counter within a period)."""
-    t = with_epochs(stream, cfg, "T")
+    t = with_epochs(stream, cfg, "T", epochs)
     valid = F.coalesce((F.col("offset") > 0) & F.col("aux").between(0, cfg.period - 1), F.lit(False))
     return t.select("iog", "seq", "word_idx", F.col("io").alias("subtype"), (F.col("offset") + F.col("aux")).alias("tick"), valid.alias("valid"))
 

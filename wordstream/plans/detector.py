@@ -37,36 +37,38 @@ def mapped(s: SparkSession, d: str) -> DataFrame:
     return geometry.map_hits(table(s, d, "hits").dropDuplicates(), table(s, d, "dim_address"))
 
 
-def selected(s: SparkSession, d: str) -> DataFrame:
+def selected(s: SparkSession, d: str, syncs: DataFrame | None = None) -> DataFrame:
     """Timed, mapped hits after the veto, with their pixel."""
-    u = timing.unroll(arriving(s, d), CFG).where("valid").withColumnRenamed("io", "io_channel").withColumnRenamed("raw", "timestamp")
+    u = timing.unroll(arriving(s, d), CFG, syncs).where("valid").withColumnRenamed("io", "io_channel").withColumnRenamed("raw", "timestamp")
     m = geometry.raw_veto(geometry.map_hits(u, table(s, d, "dim_address")), CFG.min_raw)
     return m.withColumnRenamed("io_channel", "io").withColumnRenamed("timestamp", "raw")
 
 
-def aligned(s: SparkSession, d: str) -> DataFrame:
-    return epochs.align(epochs.pps_observations(arriving(s, d), CFG), cfg=CFG)
+def aligned(s: SparkSession, d: str, syncs: DataFrame | None = None) -> DataFrame:
+    return epochs.align(epochs.pps_observations(arriving(s, d), CFG, syncs), cfg=CFG)
 
 
 def offsets(s: SparkSession, d: str) -> DataFrame:
     return epochs.alignment_counters(aligned(s, d)).where("offset_ticks IS NOT NULL").select("iog", "offset_ticks")
 
 
-def routed(s: SparkSession, d: str) -> DataFrame:
+def routed(s: SparkSession, d: str, syncs: DataFrame | None = None) -> DataFrame:
     w = arriving(s, d)
-    t = checkpoint(triggers.accepted(triggers.project_triggers(w, CFG), WIN.types))  # one row a trigger word
-    a = checkpoint(aligned(s, d))  # one row a sync word
+    syncs = timing.sync_epochs(w, CFG) if syncs is None else syncs
+    t = checkpoint(triggers.accepted(triggers.project_triggers(w, CFG, syncs), WIN.types))  # one row a trigger word
+    a = checkpoint(aligned(s, d, syncs))  # one row a sync word
     offs = epochs.alignment_counters(a).where("offset_ticks IS NOT NULL").select("iog", "offset_ticks")
     q = epochs.qualified(t, a, w.where("kind = 'T'").dropDuplicates()).where("offset_at_word IS NOT NULL").drop("offset_at_word", "header_second")
     return triggers.route(q, offs)
 
 
-def wide_windows(s: SparkSession, d: str) -> DataFrame:
-    return triggers.merge_windows(routed(s, d), WIN, ("iog", "source"))
+def wide_windows(s: SparkSession, d: str, syncs: DataFrame | None = None) -> DataFrame:
+    return triggers.merge_windows(routed(s, d, syncs), WIN, ("iog", "source"))
 
 
 def wide_matched(s: SparkSession, d: str) -> DataFrame:
-    return triggers.match_hits(selected(s, d), wide_windows(s, d), ("iog",), 8 * sum(WIN.ticks()[:2]))
+    syncs = timing.sync_epochs(arriving(s, d), CFG)
+    return triggers.match_hits(selected(s, d, syncs), wide_windows(s, d, syncs), ("iog",), 8 * sum(WIN.ticks()[:2]))
 
 
 def match_detector_wide(s: SparkSession, d: str) -> DataFrame:
@@ -74,12 +76,13 @@ def match_detector_wide(s: SparkSession, d: str) -> DataFrame:
     return triggers.latest_per_pixel(wide_matched(s, d), ("source", "iog"))
 
 
-def own_windows(s: SparkSession, d: str) -> DataFrame:
-    return triggers.merge_windows(triggers.accepted(triggers.project_triggers(arriving(s, d), CFG)), WIN)
+def own_windows(s: SparkSession, d: str, syncs: DataFrame | None = None) -> DataFrame:
+    return triggers.merge_windows(triggers.accepted(triggers.project_triggers(arriving(s, d), CFG, syncs)), WIN)
 
 
 def own_matched(s: SparkSession, d: str) -> DataFrame:
-    return triggers.match_hits(selected(s, d), own_windows(s, d), ("iog",), 8 * sum(WIN.ticks()[:2]))
+    syncs = timing.sync_epochs(arriving(s, d), CFG)
+    return triggers.match_hits(selected(s, d, syncs), own_windows(s, d, syncs), ("iog",), 8 * sum(WIN.ticks()[:2]))
 
 
 def cursors(s: SparkSession, d: str, behind: int) -> DataFrame:
@@ -225,7 +228,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_playback_steps": lambda s, d: playback.playback(playback.arrival_steps(timing.unroll(arriving(s, d)), timing.frontiers(arriving(s, d)))),
         "q_trigger_projection": lambda s, d: triggers.project_triggers(arriving(s, d)),
         "q_subtype_histogram": lambda s, d: triggers.subtype_histogram(triggers.project_triggers(arriving(s, d))),
-        "q_windows_merged": own_windows,
+        "q_windows_merged": lambda s, d: own_windows(s, d),
         "q_windows_newest": lambda s, d: triggers.newest_windows(own_windows(s, d), 64),
         "q_match_same_iog": lambda s, d: triggers.latest_per_pixel(own_matched(s, d), ("iog",)),
         "q_pps_alignment": lambda s, d: aligned(s, d).select("iog", "seq", "word_idx", "tick", "usable", "consistent", "status", "offset_ticks"),
