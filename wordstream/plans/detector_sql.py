@@ -105,6 +105,16 @@ bs AS (SELECT iog, syncs, CASE WHEN ls IS NOT NULL THEN sa END AS sync_age, trig
  CASE WHEN fa > 3.5 THEN 'unknown' WHEN ls IS NULL OR syncs = 0 THEN 'waiting' WHEN sa > 2.5 THEN 'stale' WHEN sa < 0.6 THEN 'pulse' ELSE 'live' END AS sync_badge,
  CASE WHEN fa > 3.5 THEN 'unknown' WHEN lt IS NOT NULL AND ta < 0.6 THEN 'pulse' ELSE 'idle' END AS trigger_badge FROM b2)
 """
+_PLAYBACK = _W.replace("WITH h", "WITH RECURSIVE h", 1) + """,
+p0 AS (SELECT iog, (header_second * 10000000 + receipt % 10000000) // 2500000 AS step, max(receipt_tick) AS top FROM d WHERE valid AND header_second > 0 GROUP BY ALL),
+p1 AS MATERIALIZED (SELECT p0.iog, step, step / 4.0::DOUBLE AS now, max(top) OVER (PARTITION BY p0.iog ORDER BY step) * 1e-7::DOUBLE AS front, f.initial_tick * 1e-7::DOUBLE AS origin, row_number() OVER (PARTITION BY p0.iog ORDER BY step) AS k FROM p0 JOIN f ON p0.iog = f.iog),
+c AS (SELECT DISTINCT iog, 0::BIGINT AS k, NULL::BIGINT AS step, NULL::DOUBLE AS pos, FALSE AS running, NULL::DOUBLE AS wall, 0::BIGINT AS stalls, 0::BIGINT AS underruns FROM p1
+ UNION ALL SELECT iog, k, step, CASE WHEN idle THEN pos WHEN base + moved > front + 1e-9::DOUBLE THEN front ELSE least(base + moved, front) END, NOT idle AND NOT base + moved > front + 1e-9::DOUBLE,
+  now, stalls + CASE WHEN NOT idle AND passed > 0.5 THEN 1 ELSE 0 END, underruns + CASE WHEN NOT idle AND base + moved > front + 1e-9::DOUBLE THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN passed > 0.5 THEN 0 ELSE passed END AS moved FROM
+   (SELECT p1.*, c.pos, c.stalls, c.underruns, coalesce(c.pos, p1.origin) AS base, NOT c.running AND p1.front - coalesce(c.pos, p1.origin) < 1.25 AS idle,
+     CASE WHEN NOT c.running OR c.wall IS NULL THEN 0::DOUBLE ELSE greatest(0::DOUBLE, p1.now - c.wall) END AS passed FROM c JOIN p1 ON c.iog = p1.iog AND p1.k = c.k + 1)))
+"""
 _LEVEL = lambda a: f"CASE WHEN {a} IS NULL OR {a} < 0 OR floor({a} / 16) >= 250 THEN 0 ELSE CAST(floor(255 * exp(-16 * floor({a} / 16) / 500) + 0.5) AS INT) END"
 
 
@@ -139,6 +149,7 @@ SELECT s.*, coalesce(h.boundary_corrected, 0) AS boundary_corrected, coalesce(h.
         "q_last_hit_per_pixel": _W + "SELECT iog, pixel_id, max(tick) AS tick, count(*) AS hits FROM sel GROUP BY ALL",
         "q_last_arrival_per_pixel": _MAPPED + "SELECT iog, pixel_id, max(arrival) AS arrival FROM ar GROUP BY ALL",
         "q_seen_at_cursor": _W + ", " + _SEEN(50000000, "x") + " SELECT * FROM x",
+        "q_playback_steps": _PLAYBACK + "SELECT iog, step, CAST(floor(pos / 1e-7::DOUBLE + 1e-5::DOUBLE) AS BIGINT) AS cursor_tick, running, stalls, underruns FROM c WHERE k > 0",
         "q_trigger_projection": _W + "SELECT iog, seq, word_idx, subtype, tick, valid FROM t",
         "q_subtype_histogram": _W + "SELECT iog, subtype, count(*) AS n, count(*) FILTER (NOT valid) AS invalid_times FROM t GROUP BY ALL",
         "q_windows_merged": _OWN + "SELECT iog, lo, hi, n FROM win",
