@@ -50,11 +50,13 @@ GOING_ON = regex.compile(r"(?:と|って|という|とは|を|が|に|で|は|
 THAI_ATTACHED = frozenset("ประมาณ ค่า ราว เกือบ กว่า ดู หน้า เวลา รวม เช่น คือ และ หรือ แต่ กับ จาก ถึง โดย เพราะ ซึ่ง เมตร กก. กม. ม. ซม. ๆ ฯลฯ น.".split())
 THAI_UNITS = ("เมตร", "กก.", "กม.", "ซม.", "ม.", "กิโล", "ใบ", "ตัว", "คน", "อัน", "ชิ้น", "ลูก", "เล่ม", "บาท", "นาที", "ชั่วโมง", "วัน", "เดือน", "ปี", "ครั้ง", "คัน", "แผ่น", "ขวด", "กล่อง", "ถัง", "ลิตร", "องศา", "เปอร์เซ็นต์", "น.", "หน่วย")
 
+_re = lru_cache(maxsize=None)(regex.compile)
+_ENDS = regex.escape(ENDERS)
 _BREAK = r"(?:\r\n|[\n\r\v\x85  ])"
 PARAGRAPH = regex.compile(rf"{_BREAK}[^\S\n\r\v\x85  ]*(?:{_BREAK}[^\S\n\r\v\x85  ]*)+")
 EMOJI = r"(?:[\p{Emoji_Presentation}\p{Extended_Pictographic}][\p{Emoji_Modifier}️‍\p{Extended_Pictographic}]*)"
 AFTER = regex.compile(rf"(?:[^\S\n\r]*{EMOJI})*")
-MARK = regex.compile(rf"[.…．]+|[{regex.escape(ENDERS)}][{regex.escape(ENDERS)}.…]*")
+MARK = regex.compile(rf"[.…．]+|[{_ENDS}][{_ENDS}.…]*")
 TOKEN = regex.compile(r"[^\s“”„«»‹›「」『』（）()\[\]【】\"。！？、，：；!?…，,;:—–]*$")
 THAI_GAP = regex.compile(r"(?<=\S)\s+(?=\S)")
 LIST_NUMBER = regex.compile(r"(?:[(（]\d{1,3}[)）]|\d{1,3}[.)．])$")
@@ -100,7 +102,7 @@ class Splitter:
         stack: list[tuple[int, str]] = []
         waits: Counter = Counter()  # marks that would close something
         found: list[tuple[int, int, str]] = []
-        for m in regex.finditer(r"[“”„«»‹›「」『』《》〈〉()（）\[\]【】\"]", text, pos=a, endpos=b):
+        for m in _re(r"[“”„«»‹›「」『』《》〈〉()（）\[\]【】\"]").finditer(text, pos=a, endpos=b):
             i, c = m.start(), m[0]
             hit = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS[stack[k][1]]), None) if waits[c] else None
             if hit is not None:
@@ -128,7 +130,7 @@ class Splitter:
         cuts: list[int] = []
         start = a
         k = 0
-        thai = regex.search(r"\p{Thai}", text, pos=a, endpos=b) is not None
+        thai = _re(r"\p{Thai}").search(text, pos=a, endpos=b) is not None
         events: list[tuple[int, int, str]] = []
         for m in MARK.finditer(text, a, b):
             events.append((m.start(), m.end(), "mark"))
@@ -215,7 +217,7 @@ class Splitter:
         nxt, spaced = text[rest], rest > tail
         prev = text[s - 1]
         token = TOKEN.search(text, max(start, s - 40), s)[0].lstrip("'’")
-        if (latin := regex.search(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$", token)) is not None:
+        if (latin := _re(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$").search(token)) is not None:
             token = latin[0]  # scripts without spaces
         low = token.lower()
         if nxt.islower() or nxt in ",;:،，、）)":
@@ -229,15 +231,15 @@ class Splitter:
         if not spaced:
             if prev.isdigit() and nxt.isdigit():
                 return False
-            if nxt in "“„«(¿¡" and regex.match(r"[\p{Lu}\p{Nd}¿¡“«]", text[rest + 1 : rest + 2]):
+            if nxt in "“„«(¿¡" and _re(r"[\p{Lu}\p{Nd}¿¡“«]").match(text[rest + 1 : rest + 2]):
                 return len(token) != 1 and low not in LEADING or prev in ")»”"
             if not nxt.isupper() or len(word) < 2 or not word[1:].islower():
                 return bool(UNCASED.match(nxt)) and not token[-1:].isascii() and len(token) > 1 and low not in LEADING
             return len(token) != 1 and low not in LEADING or prev in ")»”"
         if token and UNCASED.match(token[-1]):
-            if regex.match(r"\p{Devanagari}", token[-1]):
+            if _re(r"\p{Devanagari}").match(token[-1]):
                 return not ("।" in text) and low not in LEADING and len(token) > 3
-            if regex.match(r"\p{Thai}", token[-1]):
+            if _re(r"\p{Thai}").match(token[-1]):
                 return False  # Thai is cut at its spaces
             return low not in LEADING and (len(token) > 1 or not token.isalpha())
         if token.isdigit() and spaced:
@@ -246,9 +248,9 @@ class Splitter:
             return True
         if not token or not token[-1].isalpha():
             return True
-        if low in UNITS and regex.search(r"[\d٠-٩०-९]\s*$", text[max(start, s - len(token) - 3) : s - len(token)]):
+        if low in UNITS and _re(r"[\d٠-٩०-९]\s*$").search(text[max(start, s - len(token) - 3) : s - len(token)]):
             return True
-        if regex.search(r"(?:^|\s)(?:u\.\s?a\.\s?m|u\.\s?[äÄ])$", text[max(start, s - 9) : s]):
+        if _re(r"(?:^|\s)(?:u\.\s?a\.\s?m|u\.\s?[äÄ])$").search(text[max(start, s - 9) : s]):
             return True
         if len(token) == 1:
             if token.isupper():  # an initial, unless the word after it is no name
@@ -264,7 +266,7 @@ class Splitter:
 
     def _initial_before(self, text: str, s: int, b: int) -> bool:
         """Whether another initial stands before this one."""
-        return regex.search(r"\p{Lu}\.\s*\p{Lu}$", text[max(0, s - 6) : s]) is not None
+        return _re(r"\p{Lu}\.\s*\p{Lu}$").search(text[max(0, s - 6) : s]) is not None
 
     def _after_pair(self, text: str, start: int, pair: tuple[int, int, str], b: int) -> int:
         """Where the sentence ends after a closed pair, or -1."""
@@ -272,9 +274,9 @@ class Splitter:
         inner = text[max(p + 1, q - 40) : q].rstrip()
         if not inner:
             return -1
-        closed = inner[-1] in ENDERS + ".…．" or bool(regex.search(rf"[{regex.escape(ENDERS)}.]\s*{EMOJI}$", inner))
+        closed = inner[-1] in ENDERS + ".…．" or bool(_re(rf"[{_ENDS}.]\s*{EMOJI}$").search(inner))
         opens = p <= start or p - start < 12 and (not text[start:p].strip() or bool(LIST_START.match(text[start : p + 1].strip())))
-        thai = bool(regex.search(r"\p{Thai}", inner))
+        thai = bool(_re(r"\p{Thai}").search(inner))
         tail = AFTER.match(text, q + 1, b).end()
         rest = tail
         while rest < b and text[rest].isspace():
@@ -294,23 +296,23 @@ class Splitter:
             return -1
         if not UNCASED.match(nxt) or nxt.isupper():
             return tail
-        if GOING_ON.match(text, rest) and not regex.match(r"\p{Devanagari}{3,}", text[rest : rest + 4]) and not self._plain_word(text, rest):
+        if GOING_ON.match(text, rest) and not _re(r"\p{Devanagari}{3,}").match(text[rest : rest + 4]) and not self._plain_word(text, rest):
             return -1
         if opens:
-            stop = regex.search(rf"[{regex.escape(ENDERS)}.\n“„«「\"]", text, pos=rest, endpos=b)
+            stop = _re(rf"[{_ENDS}.\n“„«「\"]").search(text, pos=rest, endpos=b)
             clause = text[rest : stop.start() if stop else b]
             return -1 if SAYING.search(clause) else tail
         lead = text[max(start, p - 8) : p].rstrip()
-        if lead[-1:] in ":：,，、" or regex.match(r"\p{Arabic}|\p{Thai}|\p{Devanagari}", nxt):
+        if lead[-1:] in ":：,，、" or _re(r"\p{Arabic}|\p{Thai}|\p{Devanagari}").match(nxt):
             return tail
         return -1
 
     @staticmethod
     def _plain_word(text: str, i: int) -> bool:
         """Whether what looks like a word that goes on is the beginning of a longer Arabic or Thai word."""
-        if regex.match(r"\p{Arabic}", text[i]):
+        if _re(r"\p{Arabic}").match(text[i]):
             return WORD.match(text, i)[0] not in ("ثم", "فقال", "وقال")
-        return regex.match(r"\p{Thai}", text[i]) is not None
+        return _re(r"\p{Thai}").match(text[i]) is not None
 
     def _thai_gap(self, text: str, start: int, s: int, e: int, b: int, opened: dict[int, tuple[int, int, str]]) -> bool:
         """Whether a space ends a Thai clause."""
@@ -318,30 +320,30 @@ class Splitter:
             return False
         left = text[max(start, s - 200) : s]
         nxt = text[e]
-        word = regex.match(r"\S+", text, pos=e, endpos=b)[0]
+        word = _re(r"\S+").match(text, pos=e, endpos=b)[0]
         if len(left) < 9 and LIST_NUMBER.match(left.strip()):
             return False
-        if not regex.search(r"\p{Thai}", left) and not regex.match(r"\p{Thai}", nxt):
+        if not _re(r"\p{Thai}").search(left) and not _re(r"\p{Thai}").match(nxt):
             return False
         if LIST_START.match(text, e, b):
             return True
-        if nxt.isdigit() or regex.match(rf"{EMOJI}|[-–—,.;:!?%/+=&<>*|]", word):
+        if nxt.isdigit() or _re(rf"{EMOJI}|[-–—,.;:!?%/+=&<>*|]").match(word):
             return False
-        if regex.match(r"\p{Latin}", nxt):
+        if _re(r"\p{Latin}").match(nxt):
             return False
-        last = regex.search(r"\S+$", left)[0]
+        last = _re(r"\S+$").search(left)[0]
         if nxt in "“\"«‘":
-            return not left.endswith("ว่า") and not left.endswith(":") and regex.search(r"\p{Thai}|[\d”»)]$", last) is not None
+            return not left.endswith("ว่า") and not left.endswith(":") and _re(r"\p{Thai}|[\d”»)]$").search(last) is not None
         if nxt in "([":
-            return bool(regex.match(r"[(\[]\p{Thai}", word)) and e in opened and opened[e][1] - e > 15
-        if not regex.match(r"\p{Thai}", nxt):
+            return bool(_re(r"[(\[]\p{Thai}").match(word)) and e in opened and opened[e][1] - e > 15
+        if not _re(r"\p{Thai}").match(nxt):
             return False
         if word in THAI_ATTACHED or word.rstrip(".") in THAI_ATTACHED:
             return False
         if last[-1].isdigit():
-            number = regex.fullmatch(r"[\p{Nd},.]+", last)
+            number = _re(r"[\p{Nd},.]+").fullmatch(last)
             return not (number and word.startswith(THAI_UNITS))
-        if regex.search(r"\p{Latin}$", last):
+        if _re(r"\p{Latin}$").search(last):
             return False
         if last.endswith("."):
             return last.rstrip(".") not in ("ดร", "น", "นพ", "รศ", "ผศ", "ม", "พ.ศ", "ค.ศ")
