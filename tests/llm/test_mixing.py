@@ -50,7 +50,7 @@ def test_shares(spark, docs):
 def test_every_stretch_is_mixed(spark, docs):
     """Low discrepancy: in each hundred slots the sources are within a few slots of their shares."""
     mixes, targets = spark.createDataFrame([(1, "m", 5.0)], MIXES), spark.createDataFrame([(1, "a", 0.7, None), (1, "b", 0.3, None)], TARGETS)
-    _, _, plans = mixing._parts(docs, mixes, targets, 7, None)
+    plans = mixing._plans(mixes, targets, mixing._sized(docs, None))
     slots = [r.source for r in mixing.schedule(plans).orderBy("slot").collect()]
     for k in range(0, len(slots) - 100, 50):
         assert abs(slots[k : k + 100].count("a") - 70) <= 4
@@ -59,7 +59,7 @@ def test_every_stretch_is_mixed(spark, docs):
 def test_numbering_across_chunks(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 16)
     mixes, targets = spark.createDataFrame([(1, "m", 1.0)], MIXES), spark.createDataFrame([(1, "a", 0.5, None), (1, "b", 0.5, None)], TARGETS)
-    _, _, plans = mixing._parts(docs, mixes, targets, 7, None)
+    plans = mixing._plans(mixes, targets, mixing._sized(docs, None))
     seen = {}
     for r in mixing.schedule(plans).orderBy("slot").collect():
         assert r.n == seen.get(r.source, 0)

@@ -22,51 +22,53 @@ GOLDEN, ONE = 2654435769, 1 << 32
 BUCKETS, CHUNK = 256, 1 << 16
 
 
-def token_blocks(documents: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
-    """(source, doc_id, tokens, block) of the documents with tokens, shuffled by a hash and laid end to end by source.
+def _sized(documents: DataFrame, path: str | None) -> DataFrame:
+    """(source, doc_id, tokens) of the documents with tokens; texts are encoded once."""
+    return checkpoint(count_tokens(documents, ["doc_id", "source"], path).where("tokens > 0").dropDuplicates(["doc_id"]))
+
+
+def token_blocks(sized: DataFrame, seed: int = 7) -> DataFrame:
+    """(source, doc_id, tokens, block) of sized documents, shuffled by a hash and laid end to end by source.
 
     Positions come from sums by hash bucket and a running sum within each, so that no task holds a whole source.
     """
-    sized = checkpoint(count_tokens(documents, ["doc_id", "source"], path).where("tokens > 0").dropDuplicates(["doc_id"]))  # texts are encoded once
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = sized.select("source", "doc_id", "tokens", mixed.alias("h"), F.pmod(mixed, F.lit(BUCKETS)).alias("bucket"))
+    rows = sized.where("source IS NOT NULL").select("source", "doc_id", "tokens", mixed.alias("h"), F.pmod(mixed, F.lit(BUCKETS)).alias("bucket"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")).select("source", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("run", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    placed = run.join(offsets.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    placed = run.hint("merge").join(offsets, ["source", "bucket"])
     return placed.select("source", "doc_id", "tokens", F.call_function("div", F.col("offset") + F.col("run"), F.lit(BLOCK).cast("bigint")).alias("block"))
 
 
-def _plans(mixes: DataFrame, targets: DataFrame, total: DataFrame) -> DataFrame:
-    """A row for each mix: wanted tokens, slots, and the upper ends of the sources' parts of the unit interval."""
-    clean = targets.where("target_share > 0 AND source IS NOT NULL").groupBy("mix_id", "source").agg(F.sum("target_share").alias("w"))
+def _plans(mixes: DataFrame, targets: DataFrame, sized: DataFrame) -> DataFrame:
+    """A row for each mix: wanted tokens, slots, and the listed sources with the upper end of their part of the unit interval, cap and blocks."""
+    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
+    cap = F.when(F.count("max_repeats") == F.count(F.lit(1)), F.max("max_repeats")).alias("cap")
+    clean = targets.where("target_share > 0 AND source IS NOT NULL").groupBy("mix_id", "source").agg(F.sum("target_share").alias("w"), cap)
+    counts = sized.groupBy("source").agg(F.call_function("div", F.sum("tokens") + (BLOCK - 1), F.lit(BLOCK).cast("bigint")).alias("blocks"))
     every = Window.partitionBy("mix_id")
-    shares = clean.select("mix_id", "source", (F.sum("w").over(every.orderBy("source")) / F.sum("w").over(every)).alias("upto"))
-    ends = shares.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("upto", "source"))).alias("ends"))
-    wanted = F.round(F.col("total_ratio") * F.col("all")).cast("bigint")
-    return mixes.withColumn("all", total.scalar()).select("mix_id", F.greatest(wanted, F.lit(0)).alias("wanted")).withColumn("slots", F.call_function("div", F.col("wanted") + BLOCK // 2, F.lit(BLOCK).cast("bigint"))).join(ends, "mix_id")
+    shares = clean.join(counts, "source", "left").select("mix_id", "source", "cap", F.coalesce("blocks", F.lit(0)).alias("blocks"), (F.sum("w").over(every.orderBy("source")) / F.sum("w").over(every)).alias("upto"))
+    parts = shares.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("upto", "source", "cap", "blocks"))).alias("ends"))
+    wanted = F.greatest(F.round(F.col("total_ratio") * total).cast("bigint"), F.lit(0))
+    return mixes.select("mix_id", wanted.alias("wanted")).withColumn("slots", F.call_function("div", F.col("wanted") + BLOCK // 2, F.lit(BLOCK).cast("bigint"))).join(parts, "mix_id")
 
 
 def schedule(plans: DataFrame) -> DataFrame:
-    """(mix_id, slot, source, n): source of each slot, and how many earlier slots of the mix have the same source."""
+    """(mix_id, slot, source, cap, blocks, n): source of each slot, and how many earlier slots of the mix have the same source."""
     chunks = plans.where("slots > 0").select("mix_id", "slots", "ends", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("slots") - 1, F.lit(CHUNK).cast("bigint")))).alias("chunk"))
     slots = chunks.select("mix_id", "ends", "chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)).alias("slot"))
     point = F.pmod(F.pmod(F.col("slot"), F.lit(ONE)) * GOLDEN, F.lit(ONE)) / F.lit(float(ONE))
     # the last end is 1 up to rounding and takes the rest
-    source = F.coalesce(F.filter("ends", lambda x: F.col("point") < x["upto"])[0]["source"], F.element_at("ends", -1)["source"])
-    drawn = slots.withColumn("point", point).select("mix_id", "chunk", "slot", source.alias("source"))
+    part = F.coalesce(F.filter("ends", lambda x: F.col("point") < x["upto"])[0], F.element_at("ends", -1))
+    drawn = slots.withColumn("point", point).select("mix_id", "chunk", "slot", part.alias("part")).select("mix_id", "chunk", "slot", "part.source", "part.cap", "part.blocks")
     before = Window.partitionBy("mix_id", "source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = drawn.groupBy("mix_id", "source", "chunk").agg(F.count(F.lit(1)).alias("c")).select("mix_id", "source", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("mix_id", "source", "chunk").orderBy("slot")
-    return drawn.withColumn("k", F.row_number().over(inside) - 1).join(offsets, ["mix_id", "source", "chunk"]).select("mix_id", "slot", "source", (F.col("offset") + F.col("k")).alias("n"))
-
-
-def _parts(documents: DataFrame, mixes: DataFrame, targets: DataFrame, seed: int, path: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    blocks = token_blocks(documents, seed, path)
-    sizes = blocks.groupBy("source").agg(F.sum("tokens").alias("size"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all"))
-    return blocks, sizes, _plans(mixes, targets, total)
+    numbered = drawn.withColumn("k", F.row_number().over(inside) - 1)
+    # slots compress so well that they would pass for a small table and be broadcast
+    return numbered.hint("merge").join(offsets, ["mix_id", "source", "chunk"]).select("mix_id", "slot", "source", "cap", "blocks", (F.col("offset") + F.col("k")).alias("n"))
 
 
 def mix_documents(documents: DataFrame, mixes: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
@@ -77,16 +79,14 @@ def mix_documents(documents: DataFrame, mixes: DataFrame, targets: DataFrame, se
     is no cap, below 1 none are used. Documents without tokens are never used; repeated doc_ids count once; shares of
     one source listed twice add up, with the greater cap. A mix without targets has no rows.
     """
-    return _mix(targets, *_parts(documents, mixes, targets, seed, path))
+    sized = _sized(documents, path)
+    return _mix(sized, _plans(mixes, targets, sized), seed)
 
 
-def _mix(targets: DataFrame, blocks: DataFrame, sizes: DataFrame, plans: DataFrame) -> DataFrame:
-    capped = targets.where("target_share > 0 AND source IS NOT NULL").groupBy("mix_id", "source").agg(F.when(F.count("max_repeats") == F.count(F.lit(1)), F.max("max_repeats")).alias("cap"))
-    counts = sizes.select("source", F.call_function("div", F.col("size") + (BLOCK - 1), F.lit(BLOCK).cast("bigint")).alias("blocks"))
-    limits = capped.join(counts, "source")
-    drawn = schedule(plans).join(limits, ["mix_id", "source"])
+def _mix(sized: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
+    drawn = schedule(plans).where("blocks > 0")
     uses = drawn.select("mix_id", "slot", "source", F.call_function("div", F.col("n"), F.col("blocks")).alias("pass"), F.pmod(F.col("n"), F.col("blocks")).alias("block"), "cap").where("cap IS NULL OR pass < cap")
-    return uses.join(blocks, ["source", "block"]).select("mix_id", "slot", "doc_id", "source", (F.col("pass") + 1).cast("int").alias("used"), "tokens")
+    return uses.hint("merge").join(token_blocks(sized, seed), ["source", "block"]).select("mix_id", "slot", "doc_id", "source", (F.col("pass") + 1).cast("int").alias("used"), "tokens")
 
 
 def mix_shares(documents: DataFrame, mixes: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
@@ -94,8 +94,9 @@ def mix_shares(documents: DataFrame, mixes: DataFrame, targets: DataFrame, seed:
 
     ``reached_share`` is of the tokens of the whole mix, ``reached_of_wanted`` of the wanted size.
     """
-    blocks, sizes, plans = _parts(documents, mixes, targets, seed, path)
-    used = _mix(targets, blocks, sizes, plans).groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("used").alias("most_uses"))
+    sized = _sized(documents, path)
+    plans = _plans(mixes, targets, sized)
+    used = _mix(sized, plans, seed).groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("used").alias("most_uses"))
     every = Window.partitionBy("mix_id")
     listed = targets.where("source IS NOT NULL").groupBy("mix_id", "source").agg(F.sum(F.when(F.col("target_share") > 0, F.col("target_share")).otherwise(0.0)).alias("w"))
     wanted = listed.withColumn("target_share", F.when(F.sum("w").over(every) > 0, F.col("w") / F.sum("w").over(every)).otherwise(0.0)).join(plans.select("mix_id", "wanted"), "mix_id")
