@@ -53,6 +53,24 @@ def test_document_evidence():
     assert [t[a:b] for a, b in s.spans(t)] == ["The Xob. pump and the xob. valve were kept by Xob. Tavlin.", "The xob. rope too."]
 
 
+def test_evidence_comes_before_the_lists():
+    """A listed word is a plain one where the document or the corpus writes it so; a number or a title's name after it leaves it to the lists."""
+    cut = lambda s, t: [t[a:b] for a, b in s.spans(t)]
+    s, corpus = S.Splitter(), S.Splitter(common=frozenset({"they"}), plain=frozenset({"no", "al"}))
+    assert cut(s, "There was no wind. The answer was no. Tavlin left.") == ["There was no wind.", "The answer was no.", "Tavlin left."]
+    assert cut(s, "It was no use. See No. 5 and No. Tavlin.") == ["It was no use.", "See No. 5 and No. Tavlin."]
+    assert cut(s, "The abb. of it, see abb. They say they left.") == ["The abb. of it, see abb.", "They say they left."]
+    assert cut(corpus, "The answer was no. They left.") == ["The answer was no.", "They left."]
+    assert cut(corpus, "See no. 5 by Rell et al. Tavlin wrote it.") == ["See no. 5 by Rell et al. Tavlin wrote it."]
+    assert cut(s, "The answer was no. Tavlin left.") == ["The answer was no. Tavlin left."]  # no evidence: the list
+
+
+def test_corpus_evidence_on_listed_words(spark):
+    rows = [(i, "there is no way and no end") for i in range(20)] + [(99, "The answer was no. He left.")]
+    got = S.sentence_units(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id = 99").collect()
+    assert sorted((r.start_char, r.end_char) for r in got) == [(0, 18), (19, 27)]
+
+
 def test_every_character_is_in_a_unit():
     rng = random.Random(8)
     s = S.Splitter()

@@ -2,9 +2,10 @@
 
 Marks that always end a sentence, as in Chinese, Japanese and Hindi, are taken as they are; Thai, which has none, is
 cut at spaces that stand between clauses. Whether a full stop ends a sentence is decided within the document first:
-a word that the document itself writes with a stop before a lower-case letter or a number, and never without one, is
-an abbreviation there, and a word that it also writes in lower case is no proper name. Where the document is silent,
-counts over the whole corpus decide, which one pass over all texts gives.
+a word that the document itself writes with a stop before a lower-case letter or a comma, and never without one, is
+an abbreviation there; one that it writes without a stop, and never so, is a plain word; and a word that it also writes
+in lower case is no proper name. Where the document is silent, counts over the whole corpus decide, which one pass over
+all texts gives. Only where both are silent do the lists below decide.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ ENDERS = "!?。！？｡।॥؟۔"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】", '"': '"'}
 BRACKETS = "(（[【《〈"
 CLOSERS = "”»›」』》〉)）]】\"'’“"
-#: Abbreviations that stand before what they belong to: no sentence ends after them.
+#: Abbreviations that stand before what they belong to: no sentence ends after them, unless evidence says otherwise.
 LEADING = frozenset(
     "dr mr mrs ms prof capt sgt lt col gen st rev hon fig figs no nos vol temp tab ch sec eq cf vs viz al ed eds approx e.g i.e p pp"
     " hr fr frl nr abb kap bd vgl bzw ca z d u s S evtl ggf inkl bes sog zzgl str tel"
@@ -79,8 +80,8 @@ def evidence(text: str) -> tuple[Counter, Counter]:
 class Splitter:
     """Splits texts, with what the corpus knows of abbreviations and of common words."""
 
-    def __init__(self, abbreviations: frozenset[str] = frozenset(), common: frozenset[str] = frozenset()) -> None:
-        self.abbreviations, self.common = abbreviations, common
+    def __init__(self, abbreviations: frozenset[str] = frozenset(), common: frozenset[str] = frozenset(), plain: frozenset[str] = frozenset()) -> None:
+        self.abbreviations, self.common, self.plain = abbreviations, common, plain
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of each unit in code points."""
@@ -88,7 +89,7 @@ class Splitter:
             return []
         out: list[tuple[int, int]] = []
         stops, lower = evidence(text)
-        self.doc_abbr = {t for (t, k) in stops if k == "a" and t not in lower}
+        self.doc_held = {t for (t, k) in stops if k == "a"}
         self.doc_words = lower
         at = 0
         for m in [*PARAGRAPH.finditer(text), None]:
@@ -181,6 +182,27 @@ class Splitter:
         w = word.lower()
         return w not in self.doc_words and w not in self.common
 
+    def _kind(self, low: str) -> str:
+        """What evidence says of a word with a stop: 'a' an abbreviation, 'p' a plain word, '' nothing; the document first, then the corpus."""
+        held, bare = low in self.doc_held, low in self.doc_words
+        if held != bare:
+            return "a" if held else "p"
+        return "a" if low in self.abbreviations else "p" if low in self.plain else ""
+
+    def _holds(self, token: str, low: str, nxt: str, word: str, unit: bool = False) -> bool:
+        """Whether the sentence goes on after a word with a stop: by evidence, and where that leaves it open, by the lists."""
+        kind = self._kind(low)
+        begins = bool(word) and not self._name(word)
+        if kind == "a" and begins:
+            return False
+        if kind == "p" and not nxt.isdigit() and (begins or token.islower()):
+            return False  # a capitalised one may be a title, and one before a number may count something
+        if unit or (low in CLOSING and low not in LEADING):
+            return False
+        if low in LEADING or token in LEADING:
+            return True
+        return kind == "a" and bool(nxt.isdigit() or word)
+
     def _after_mark(self, text: str, start: int, s: int, e: int, b: int) -> int:
         """Where the sentence ends with the mark at s..e, or -1."""
         mark = text[s:e]
@@ -232,37 +254,32 @@ class Splitter:
             if prev.isdigit() and nxt.isdigit():
                 return False
             if nxt in "“„«(¿¡" and _re(r"[\p{Lu}\p{Nd}¿¡“«]").match(text[rest + 1 : rest + 2]):
-                return len(token) != 1 and low not in LEADING or prev in ")»”"
+                return len(token) != 1 and not self._holds(token, low, nxt, word) or prev in ")»”"
             if not nxt.isupper() or len(word) < 2 or not word[1:].islower():
-                return bool(UNCASED.match(nxt)) and not token[-1:].isascii() and len(token) > 1 and low not in LEADING
-            return len(token) != 1 and low not in LEADING or prev in ")»”"
+                return bool(UNCASED.match(nxt)) and not token[-1:].isascii() and len(token) > 1 and not self._holds(token, low, nxt, word)
+            return len(token) != 1 and not self._holds(token, low, nxt, word) or prev in ")»”"
         if token and UNCASED.match(token[-1]):
             if _re(r"\p{Devanagari}").match(token[-1]):
-                return not ("।" in text) and low not in LEADING and len(token) > 3
+                return not ("।" in text) and len(token) > 3 and not self._holds(token, low, nxt, word)
             if _re(r"\p{Thai}").match(token[-1]):
                 return False  # Thai is cut at its spaces
-            return low not in LEADING and (len(token) > 1 or not token.isalpha())
+            return (len(token) > 1 or not token.isalpha()) and not self._holds(token, low, nxt, word)
         if token.isdigit() and spaced:
             if word.lower() in MONTHS:
                 return False
             return True
         if not token or not token[-1].isalpha():
             return True
-        if low in UNITS and _re(r"[\d٠-٩०-९]\s*$").search(text[max(start, s - len(token) - 3) : s - len(token)]):
-            return True
+        unit = low in UNITS and _re(r"[\d٠-٩०-९]\s*$").search(text[max(start, s - len(token) - 3) : s - len(token)]) is not None
         if _re(r"(?:^|\s)(?:u\.\s?a\.\s?m|u\.\s?[äÄ])$").search(text[max(start, s - 9) : s]):
             return True
-        if len(token) == 1:
+        if len(token) == 1 and not unit:
             if token.isupper():  # an initial, unless the word after it is no name
                 return bool(word) and not self._name(word) and not self._initial_before(text, s, b)
             return False
-        if low in CLOSING and low not in LEADING:
-            return True
-        if low in LEADING or token in LEADING:
-            return False
-        if low in self.doc_abbr or (low in self.abbreviations and low not in self.doc_words):
-            return not (nxt.isdigit() or (word and self._name(word)))
-        return True
+        if low == "al" and _re(r"(?:^|\s)et\s+al$").search(text[max(start, s - 9) : s]):
+            return False  # alone it is a plain word of Spanish
+        return not self._holds(token, low, nxt, word, unit)
 
     def _initial_before(self, text: str, s: int, b: int) -> bool:
         """Whether another initial stands before this one."""
@@ -365,12 +382,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["token", "kind", "n"])
 
 
-def corpus_words(documents: DataFrame, per_million: int = 20) -> tuple[frozenset[str], frozenset[str]]:
-    """Abbreviations and common lower-case words of a corpus.
+def corpus_words(documents: DataFrame, per_million: int = 20) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Abbreviations, common lower-case words, and those words of the lists that are plain words, of a corpus.
 
     Only tokens that make at least ``per_million`` millionths of their kind are kept, so that there are at most
     1,000,000 / per_million of each, however large the corpus is. An abbreviation has a stop before a lower-case letter
-    or number more often than before anything else, and hardly stands without one.
+    or number more often than before anything else, and hardly stands without one; a plain word hardly stands with one.
     """
     counts = documents.select("text").mapInArrow(_count, COUNTED).groupBy("token").pivot("kind", ["a", "b", "d", "w"]).agg(F.sum("n")).fillna(0)
     counts = checkpoint(counts)
@@ -378,13 +395,14 @@ def corpus_words(documents: DataFrame, per_million: int = 20) -> tuple[frozenset
     held = F.col("a") + F.col("d")
     abbr = (held > F.col("b")) & (F.col("w") * 10 < held) & (held * 1_000_000 >= F.lit((stops or 0) * per_million))
     word = (F.col("w") * 1_000_000 >= F.lit((words or 0) * per_million)) & (F.col("w") >= 2)
-    rows = counts.select("token", abbr.alias("abbr"), word.alias("word")).where("abbr OR word").collect()
-    return frozenset(r.token for r in rows if r.abbr), frozenset(r.token for r in rows if r.word)
+    plain = F.col("token").isin(*sorted(LEADING)) & ((held + F.col("b")) * 10 < F.col("w"))  # elsewhere it changes nothing
+    rows = counts.select("token", abbr.alias("abbr"), word.alias("word"), plain.alias("plain")).where("abbr OR word OR plain").collect()
+    return frozenset(r.token for r in rows if r.abbr), frozenset(r.token for r in rows if r.word), frozenset(r.token for r in rows if r.plain)
 
 
 @lru_cache(maxsize=2)
-def _splitter(abbreviations: frozenset[str], common: frozenset[str]) -> Splitter:
-    return Splitter(abbreviations, common)
+def _splitter(abbreviations: frozenset[str], common: frozenset[str], plain: frozenset[str]) -> Splitter:
+    return Splitter(abbreviations, common, plain)
 
 
 def sentence_units(documents: DataFrame, per_million: int = 20) -> DataFrame:
@@ -394,10 +412,10 @@ def sentence_units(documents: DataFrame, per_million: int = 20) -> DataFrame:
     rows have the same units each; a text of any length is split as a whole; other columns are ignored.
     """
     ship(documents.sparkSession)
-    abbreviations, common = corpus_words(documents, per_million)
+    known = corpus_words(documents, per_million)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = _splitter(abbreviations, common)
+        splitter = _splitter(*known)
         for batch in batches:
             ids, starts, ends = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
