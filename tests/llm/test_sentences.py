@@ -1,4 +1,6 @@
 import random
+import unicodedata
+import zlib
 
 import pytest
 
@@ -71,6 +73,45 @@ def test_corpus_evidence_on_listed_words(spark):
     assert sorted((r.start_char, r.end_char) for r in got) == [(0, 18), (19, 27)]
 
 
+def test_accents_in_both_spellings():
+    s, t = S.Splitter(), "Vino al lote núm. 224. Luego salió."
+    for form in ("NFC", "NFD"):
+        x = unicodedata.normalize(form, t)
+        assert [unicodedata.normalize("NFC", x[a:b]) for a, b in s.spans(x)] == ["Vino al lote núm. 224.", "Luego salió."]
+
+
+def test_corpus_keeps_rare_words(spark):
+    """A word that one text of a large corpus has in lower case is common, whatever the size; one mostly capitalised within sentences is a name."""
+    filler = [(i, "so " + "the rope of the team moved on and on " * 1500 + "and then Bell left") for i in range(20)]  # 240,000 tokens
+    rows = [*filler, (100, "it cleared gradually and the bell rang"), (101, "He waited... Gradually it cleared."), (102, "He waited... Bell cleared it.")]
+    got = {}
+    for r in S.sentence_units(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id > 100").collect():
+        got.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    assert {k: sorted(v) for k, v in got.items()} == {101: [(0, 12), (13, 34)], 102: [(0, 29)]}
+
+
+def test_open_words_hold_all_that_is_asked():
+    """What splitting asks the corpus for is among the open words of a text, whatever the answers."""
+
+    class Asked:
+        def __init__(self, p, form):
+            self.p, self.form, self.seen = p, form, set()
+
+        def __contains__(self, w):
+            if not self.form.fullmatch(w):
+                return False  # such words are not counted
+            self.seen.add(w)
+            return zlib.crc32(f"{self.p}{w}".encode()) % 3 == 0
+
+    rng = random.Random(5)
+    parts = ["Xob", "xob", "a.m", "No", "no", "al", "见No", "ab’c", "’tis", "K", "कि", "म", "Gradually", "deck", "…", "...", ".", ".", ". ", " ", "\n\n", "!", "”", "“", "(", ")", "⚓", "5", ",", "-", "The"]
+    for k in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(2, 25)))
+        sets = [Asked(k, S.STOPPED), Asked(k + 1, S.LOWER), Asked(k + 2, S.STOPPED)]
+        S.Splitter(*sets).spans(t)
+        assert set().union(*(x.seen for x in sets)) <= S.open_words(t, *S.evidence(t)), t
+
+
 def test_every_character_is_in_a_unit():
     rng = random.Random(8)
     s = S.Splitter()

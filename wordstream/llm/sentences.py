@@ -4,8 +4,9 @@ Marks that always end a sentence, as in Chinese, Japanese and Hindi, are taken a
 cut at spaces that stand between clauses. Whether a full stop ends a sentence is decided within the document first:
 a word that the document itself writes with a stop before a lower-case letter or a comma, and never without one, is
 an abbreviation there; one that it writes without a stop, and never so, is a plain word; and a word that it also writes
-in lower case is no proper name. Where the document is silent, counts over the whole corpus decide, which one pass over
-all texts gives. Only where both are silent do the lists below decide.
+in lower case is no proper name. Where the document is silent, counts over the whole corpus decide: one pass over all
+texts counts every word and notes those that each text leaves open, and a join gives each text the answers to its own.
+Only where both are silent do the lists below decide.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized, normalize
 
 import pyarrow as pa
 import regex
@@ -66,6 +68,13 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNCASED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Devanagari}\p{Arabic}\p{Thai}]")
 DOTTED = regex.compile(r"(?<![\p{L}\p{M}\p{N}.])(\p{L}[\p{L}\p{M}]{0,7}(?:\.\p{L}{1,3})*)\.(?=[\s,)\d])[^\S\n]?(.?)")
 LOWER = regex.compile(r"(?<![\p{L}\p{M}])\p{Ll}[\p{Ll}\p{M}]+(?![\p{L}\p{M}.])")
+CAPITAL = regex.compile(r"(?<=[\p{Ll},][^\S\n\r])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])")
+STOPPED = regex.compile(r"\p{L}[\p{L}\p{M}]{0,7}(?:\.\p{L}{1,3})*")
+
+
+def folded(word: str) -> str:
+    """Lower case, with accents composed, so that both spellings of an accent are one word."""
+    return normalize("NFC", word.lower())
 
 
 def evidence(text: str) -> tuple[Counter, Counter]:
@@ -73,8 +82,9 @@ def evidence(text: str) -> tuple[Counter, Counter]:
     stops: Counter = Counter()
     for m in DOTTED.finditer(text):
         nxt = m[2]
-        stops[m[1].lower(), "d" if nxt.isdigit() else "a" if nxt and (nxt.islower() or nxt in ",;") else "b"] += 1
-    return stops, Counter(LOWER.findall(text))
+        stops[folded(m[1]), "d" if nxt.isdigit() else "a" if nxt and (nxt.islower() or nxt in ",;") else "b"] += 1
+    lower = LOWER.findall(text)
+    return stops, Counter(lower if is_normalized("NFC", text) else map(folded, lower))
 
 
 class Splitter:
@@ -179,7 +189,7 @@ class Splitter:
 
     def _name(self, word: str) -> bool:
         """Whether a capitalised word is a proper name: neither the document nor the corpus has it in lower case."""
-        w = word.lower()
+        w = folded(word)
         return w not in self.doc_words and w not in self.common
 
     def _kind(self, low: str) -> str:
@@ -192,7 +202,7 @@ class Splitter:
     def _holds(self, token: str, low: str, nxt: str, word: str, unit: bool = False) -> bool:
         """Whether the sentence goes on after a word with a stop: by evidence, and where that leaves it open, by the lists."""
         kind = self._kind(low)
-        begins = bool(word) and not self._name(word)
+        begins = bool(kind and word) and not self._name(word)
         if kind == "a" and begins:
             return False
         if kind == "p" and not nxt.isdigit() and (begins or token.islower()):
@@ -241,7 +251,7 @@ class Splitter:
         token = TOKEN.search(text, max(start, s - 40), s)[0].lstrip("'’")
         if (latin := _re(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$").search(token)) is not None:
             token = latin[0]  # scripts without spaces
-        low = token.lower()
+        low = folded(token)
         if nxt.islower() or nxt in ",;:،，、）)":
             return False
         if nxt in "—–" and self._lower_after(text, rest + 1, b):
@@ -367,58 +377,96 @@ class Splitter:
         return last not in THAI_ATTACHED or last in ("เมตร", "ฯลฯ")
 
 
-COUNTED = "token string, kind string, n bigint"
+def open_words(text: str, stops: Counter, lower: Counter) -> set[str]:
+    """Words that a text asks the corpus about: those before a full stop, and after a stop or an ellipsis, that it does not decide itself.
 
+    A few may be among them that splitting does not come to ask about, as that depends on the answers.
+    """
+    out: set[str] = set()
+    for m in MARK.finditer(text):
+        s, e = m.span()
+        if text[s] not in ".…．":
+            continue
+        rest = Splitter._tail(text, e, len(text))
+        while rest < len(text) and text[rest].isspace():
+            rest += 1
+        if rest == len(text) or text[rest].islower():
+            continue
+        token = ""
+        if m[0] in ".．":
+            token = TOKEN.search(text, max(0, s - 40), s)[0]
+            if not token or not token[-1].isalpha() and not UNCASED.match(token[-1]):
+                continue
+            # a sentence may begin within it, after a mark without a space
+            for i in range(len(token)):
+                if (i == 0 or not token[i - 1].isalpha()) and STOPPED.fullmatch(token, i):
+                    low = folded(token[i:])
+                    if (low in lower) == ((low, "a") in stops):
+                        out.add(low)
+            if (latin := _re(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$").search(token)) is not None:
+                out.add(folded(latin[0]))
+        word = WORD.match(text, rest)
+        if word and not UNCASED.match(word[0]) and folded(word[0]) not in lower:
+            out.add(folded(word[0]))
+    return out
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        total: Counter = Counter()
-        for t in b.column(0).to_pylist():
-            if t:
-                stops, lower = evidence(t)
-                total.update(stops)
-                total.update({(w, "w"): n for w, n in lower.items()})
-        rows = [(w, k, n) for (w, k), n in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["token", "kind", "n"])
 
+FACTS = "key bigint, token string, kind string, n bigint"
 
-def corpus_words(documents: DataFrame, per_million: int = 20) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
-    """Abbreviations, common lower-case words, and those words of the lists that are plain words, of a corpus.
 
-    Only tokens that make at least ``per_million`` millionths of their kind are kept, so that there are at most
-    1,000,000 / per_million of each, however large the corpus is. An abbreviation has a stop before a lower-case letter
-    or number more often than before anything else, and hardly stands without one; a plain word hardly stands with one.
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch the counts of words by kind ('c': capitalised within a sentence), and of each text, by key, the words it leaves open ('o')."""
+    for b in batches:
+        total: Counter = Counter()
+        rows = []
+        for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            stops, lower = evidence(t)
+            total.update(stops)
+            total.update({(w, "w"): n for w, n in lower.items()})
+            total.update((folded(w), "c") for w in CAPITAL.findall(t))
+            if asked := open_words(t, stops, lower):
+                rows.append((key, " ".join(asked), "o", 0))
+        rows += [(None, w, k, n) for (w, k), n in total.items()]
+        kinds = pa.int64(), pa.string(), pa.string(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["key", "token", "kind", "n"])
+
+
+def corpus_verdicts(facts: DataFrame) -> DataFrame:
+    """(token, verdict) from the counts of all words: 'a' an abbreviation, 'c' a common word, 'p' a plain word of the lists.
+
+    The rules compare counts of one word with each other, so they are the same for a corpus of any size. An abbreviation
+    has a stop before a lower-case letter or number more often than before anything else (of numbers the first does not
+    count, as it may be the very stop in question), and hardly stands without one; a plain word hardly stands with one;
+    a common word stands more often in lower case than capitalised within a sentence.
     """
-    counts = documents.select("text").mapInArrow(_count, COUNTED).groupBy("token").pivot("kind", ["a", "b", "d", "w"]).agg(F.sum("n")).fillna(0)
-    counts = checkpoint(counts)
-    stops, words = counts.agg(F.sum(F.col("a") + F.col("b") + F.col("d")), F.sum("w")).first()  # two numbers
-    held = F.col("a") + F.col("d")
-    abbr = (held > F.col("b")) & (F.col("w") * 10 < held) & (held * 1_000_000 >= F.lit((stops or 0) * per_million))
-    word = (F.col("w") * 1_000_000 >= F.lit((words or 0) * per_million)) & (F.col("w") >= 2)
-    plain = F.col("token").isin(*sorted(LEADING)) & ((held + F.col("b")) * 10 < F.col("w"))  # elsewhere it changes nothing
-    rows = counts.select("token", abbr.alias("abbr"), word.alias("word"), plain.alias("plain")).where("abbr OR word OR plain").collect()
-    return frozenset(r.token for r in rows if r.abbr), frozenset(r.token for r in rows if r.word), frozenset(r.token for r in rows if r.plain)
-
-
-@lru_cache(maxsize=2)
-def _splitter(abbreviations: frozenset[str], common: frozenset[str], plain: frozenset[str]) -> Splitter:
-    return Splitter(abbreviations, common, plain)
+    n = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in "abcdw"}
+    counts = facts.where("kind <> 'o'").groupBy("token").agg(*n.values())
+    abbr = F.expr("a + greatest(d - 1, 0) > b AND w * 10 < a + d")
+    plain = F.col("token").isin(*sorted(LEADING)) & F.expr("(a + b + d) * 10 < w")  # elsewhere it changes nothing
+    verdicts = F.array(F.when(abbr, "a"), F.when(F.expr("w > c"), "c"), F.when(plain, "p"))
+    return counts.select("token", F.explode(F.array_compact(verdicts)).alias("verdict"))
 
 
-def sentence_units(documents: DataFrame, per_million: int = 20) -> DataFrame:
+def sentence_units(documents: DataFrame) -> DataFrame:
     """(doc_id, start_char, end_char): the sentence units of each row's text, in code points, end exclusive.
 
     Together the units hold every character that is not white space. No rows for null, empty and blank texts; repeated
     rows have the same units each; a text of any length is split as a whole; other columns are ignored.
     """
     ship(documents.sparkSession)
-    known = corpus_words(documents, per_million)
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("key", F.xxhash64("doc_id", "text"))
+    facts = checkpoint(texts.select("key", "text").mapInArrow(_facts, FACTS))
+    parts = max(1, facts.rdd.getNumPartitions())  # the splitting is spread as the texts came
+    asked = facts.where("kind = 'o'").select("key", F.explode(F.split("token", " ")).alias("token"))
+    # equal keys share their answers, which are those of the words whatever text asks
+    answers = asked.join(corpus_verdicts(facts), "token").repartition(parts, "key").groupBy("key").agg(F.collect_set(F.concat("verdict", "token")).alias("answers"))
+    known = texts.repartition(parts, "key").join(answers, "key", "left").select("doc_id", "text", "answers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = _splitter(*known)
         for batch in batches:
             ids, starts, ends = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            for i, (t, given) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                splitter = Splitter(*(frozenset(x[1:] for x in given or () if x[0] == k) for k in "acp"))
                 for s, e in splitter.spans(t):
                     ids.append(i)
                     starts.append(s)
@@ -426,4 +474,4 @@ def sentence_units(documents: DataFrame, per_million: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "start_char", "end_char"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, start_char int, end_char int")
+    return known.mapInArrow(run, f"doc_id {kind}, start_char int, end_char int")
