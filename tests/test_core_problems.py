@@ -52,6 +52,29 @@ def test_replay_restores_snapshot():
     assert log.out[2] == (3, 6.0, 2) and log.revision[2] == 1 and log.out[3] == (1, 5.0, 1) and log.revision[3] == 0
 
 
+def test_late_events_come_from_the_replay(monkeypatch):
+    """Events are applied to the log or rejected by it; by default a late one restores the snapshot before its second."""
+    import inspect
+
+    import pyarrow as pa
+
+    logs = []
+
+    class Spy(late.PeriodLog):
+        def __init__(self, keep):
+            super().__init__(keep)
+            logs.append(self)
+
+    monkeypatch.setattr(late, "PeriodLog", Spy)
+    every = inspect.signature(late.late_events).parameters["every"].default
+    clock, period = [10, 11, 12, 12, 13], [10, 11, 12, 11, 9]
+    n = len(clock)
+    t = pa.table({"seq": list(range(n)), "word_idx": pa.array([0] * n, pa.int32()), "clock": clock, "period": period, "value": [1.0] * n, "carry": [-1] * n})
+    got = late._block(every, 3, True)((pa.scalar(1),), t).to_pylist()
+    assert [(r["seq"], r["outcome"]) for r in got] == [(3, "late"), (4, "too_late")]
+    assert {p: x[0] for p, x in logs[0].out.items()} == {10: 1, 11: 2, 12: 1} and logs[0].revision == {10: 0, 11: 1, 12: 0}
+
+
 def test_heavy(make_hits, rows_of):
     rows = random_hits(random.Random(3), 900)
     n, keys = len(rows), {"channel": (0, 4, 5), "chip": (0, 4), "io_channel": (0, 3)}

@@ -38,6 +38,14 @@ class PeriodLog:
         self.out: dict[int, tuple[int, float, int]] = {}
         self.revision: dict[int, int] = {}
 
+    def arrive(self, period: np.ndarray, value: np.ndarray, running: np.ndarray) -> np.ndarray:
+        """Apply or reject each event of a batch in arrival order, by the frontier at its arrival: 0 on time, 1 late, 2 too late and rejected."""
+        late = running - period
+        outcome = np.where(late >= self.keep, 2, np.where(late >= 1, 1, 0))
+        ok = outcome < 2
+        self.offer(period[ok], value[ok], int(running[-1]) + 1)
+        return outcome
+
     def offer(self, period: np.ndarray, value: np.ndarray, frontier: int) -> list[int]:
         """Apply one batch, replace the affected outputs and take a snapshot at the frontier; returns replaced periods."""
         if len(period):
@@ -82,7 +90,10 @@ class PeriodLog:
 
 
 def _block(every: int, allowed: int, events: bool):
-    """Body of one block: frontier, lateness, then checkpoint and replay of each interval of arrival time."""
+    """Body of one block: frontier, then checkpoint and replay of each interval of arrival time, which is at most the allowed lateness.
+
+    The log of a block is its own: a late event of a period before the block is replayed from the block's start.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         iog = key[0].as_py()
@@ -106,21 +117,22 @@ def _block(every: int, allowed: int, events: bool):
         if len(seq):
             running = running[np.searchsorted(seq, seq, "right") - 1]  # all words of a frame arrive together
         timed = col["period"] != np.iinfo(np.int64).min
-        late = np.where(timed, running - np.where(timed, col["period"], 0), 0)
+        log = PeriodLog(allowed + 1)
+        seq, word = seq[timed], col["word_idx"][timed]
+        period, value, arrival = col["period"][timed], col["value"][timed], running[timed]
+        outcome = np.zeros(len(period), np.int64)
+        step = arrival // max(1, min(every, allowed))
+        edges = np.r_[0, np.flatnonzero(np.diff(step)) + 1, len(step)] if len(step) else np.zeros(1, int)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            outcome[a:b] = log.arrive(period[a:b], value[a:b], arrival[a:b])
         if events:
-            hit = timed & (late >= 1)
-            return pa.table({"iog": pa.array(np.full(hit.sum(), iog), pa.int32()), "seq": seq[hit], "word_idx": pa.array(col["word_idx"][hit], pa.int32()), "outcome": np.where(late[hit] <= allowed, "late", "too_late").astype(object)}, schema=EVENTS)
-        log, ok = PeriodLog(allowed + 1), timed & (late <= allowed)
+            hit = outcome > 0
+            return pa.table({"iog": pa.array(np.full(hit.sum(), iog), pa.int32()), "seq": seq[hit], "word_idx": pa.array(word[hit], pa.int32()), "outcome": np.where(outcome[hit] == 1, "late", "too_late").astype(object)}, schema=EVENTS)
         dropped: dict[int, int] = {}
         delayed: dict[int, int] = {}
-        for table, mask in ((dropped, timed & ~ok), (delayed, ok & (late >= 1))):
-            for p, n in zip(*(x.tolist() for x in np.unique(col["period"][mask], return_counts=True))):
+        for table, kind in ((dropped, 2), (delayed, 1)):
+            for p, n in zip(*(x.tolist() for x in np.unique(period[outcome == kind], return_counts=True))):
                 table[p] = n
-        step = running // every
-        edges = np.r_[0, np.flatnonzero(np.diff(step)) + 1, len(step)] if len(step) else np.zeros(1, int)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            m = ok[a:b]
-            log.offer(col["period"][a:b][m], col["value"][a:b][m], int(running[b - 1]) + 1)
         periods = sorted(log.out.keys() | dropped.keys())
         none = (0, 0.0, 0)
         return pa.table(
@@ -154,8 +166,8 @@ def _blocks(hits: DataFrame, block: int) -> DataFrame:
     return rows.unionByName(first)
 
 
-def late_events(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: int = 16) -> DataFrame:
-    """Each hit that arrives at least one second after its own second, as 'late' (applied) or 'too_late' (cut off).
+def late_events(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: int = 1) -> DataFrame:
+    """Each hit that arrives at least one second after its own second, as 'late' (applied) or 'too_late' (cut off) by the replaying pass.
 
     Rows without iog or seq are left out; rows without a hit time move the frontier by their header second only;
     repeated rows count once; an empty table gives no rows; other columns of hits are ignored.
@@ -163,7 +175,7 @@ def late_events(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: in
     return _blocks(hits, block).groupBy("iog", "block").applyInArrow(_block(every, allowed, True), "iog int, seq bigint, word_idx int, outcome string")
 
 
-def late_periods(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: int = 16) -> DataFrame:
+def late_periods(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: int = 1) -> DataFrame:
     """Hits and mean adc of each iog and second of hit time, corrected by hits up to ``allowed`` seconds late.
 
     ``late_hits`` of them came late; ``too_late_hits`` came later and are left out. A second with only hits that
