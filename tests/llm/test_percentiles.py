@@ -29,6 +29,17 @@ def test_multi_select(spark, buckets, monkeypatch):
         assert [got[g][f"p{p:02d}"] for p in P.PERCENTS] == [disc(v, p) for p in P.PERCENTS]
 
 
+def test_queries_propose_several_medians(spark, data, monkeypatch):
+    """The pivots of the registered queries are weighted medians of several local medians."""
+    from wordstream.llm import queries as Q
+
+    seen, multi_select = [], P.multi_select
+    monkeypatch.setattr(P, "multi_select", lambda state, keys, ranks, buckets=1: seen.append(buckets) or multi_select(state, keys, ranks, buckets))
+    for f in (Q.source_percentiles, Q.chip_percentiles, Q.combined_percentiles):
+        f(spark, data)
+    assert len(seen) == 4 and min(seen) > 1
+
+
 def test_combined_states(spark):
     rng = random.Random(6)
     rows = [(rng.choice("xy"), rng.randint(1, 20), int(rng.gauss(100, 30))) for _ in range(3000)]

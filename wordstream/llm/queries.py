@@ -12,6 +12,8 @@ from ..sources.tables import table
 from . import bpe, mixing, nearest, percentiles, sentences
 
 SOURCE = ["iog", "chip", "channel"]
+#: Parts that the entries of a range are spread over, each of which proposes a local median.
+BUCKETS = 4
 
 
 def _readings(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,20 +25,20 @@ def _readings(spark: SparkSession, folder: str) -> DataFrame:
 def source_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of adc for every source of measurement."""
     state = percentiles.value_state(_readings(spark, folder).where("channel BETWEEN 0 AND 63"), SOURCE, "adc")
-    return percentiles.percentiles(state, SOURCE)
+    return percentiles.percentiles(state, SOURCE, buckets=BUCKETS)
 
 
 def chip_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of adc for every (iog, chip), from the combined states of its channels."""
     state = percentiles.value_state(_readings(spark, folder), SOURCE, "adc")
-    return percentiles.percentiles(percentiles.combine([state], ["iog", "chip"]), ["iog", "chip"])
+    return percentiles.percentiles(percentiles.combine([state], ["iog", "chip"]), ["iog", "chip"], buckets=BUCKETS)
 
 
 def combined_percentiles(spark: SparkSession, folder: str, parts: int = 50) -> DataFrame:
     """Percentiles of adc for every iog from summaries of its single chips; ranks are off by at most n / parts."""
     state = percentiles.combine([percentiles.value_state(_readings(spark, folder), SOURCE, "adc")], ["iog", "chip"])
-    summary = percentiles.summarize(state, ["iog", "chip"], parts)
-    return percentiles.percentiles(percentiles.combine([summary], ["iog"]), ["iog"]).withColumn("rank_error", F.call_function("div", F.col("n"), F.lit(parts).cast("bigint")))
+    summary = percentiles.summarize(state, ["iog", "chip"], parts, BUCKETS)
+    return percentiles.percentiles(percentiles.combine([summary], ["iog"]), ["iog"], buckets=BUCKETS).withColumn("rank_error", F.call_function("div", F.col("n"), F.lit(parts).cast("bigint")))
 
 
 def nearest_matches(spark: SparkSession, folder: str) -> DataFrame:
