@@ -151,9 +151,7 @@ def fault_oracle(rows):
     return sorted((*k, f) for k, f in out.items())
 
 
-@pytest.mark.parametrize("seed,per", [(1, 250_000), (2, 90), (3, 300)])
-def test_faults(make_hits, rows_of, monkeypatch, seed, per):
-    """Also with one source spread over many small partitions, and with a constant source."""
+def faulty_rows(seed):
     rng = random.Random(seed)
     rows = random_hits(rng, 1500)
     rows = [list(r) for r in rows]
@@ -164,32 +162,66 @@ def test_faults(make_hits, rows_of, monkeypatch, seed, per):
             r[6] = rng.choice([0, 250])
         if r[4] == 2 and r[5] == 1 and r[6] is not None:
             r[6] = 50 if rng.random() > 0.02 else 51
-    rows = [tuple(r) for r in rows]
-    monkeypatch.setattr(faults, "shuffle_partitions", lambda spark, n: max(2, n // per))
+    return [tuple(r) for r in rows]
+
+
+@pytest.mark.parametrize("seed,slab", [(1, 1 << 17), (2, 90), (3, 300), (4, 15)])
+def test_faults(make_hits, rows_of, monkeypatch, seed, slab):
+    """Also with one source cut into many slabs, shorter than a stuck run too, and with a constant source."""
+    rows = faulty_rows(seed)
+    monkeypatch.setattr(faults, "SLAB", slab)
+    monkeypatch.setattr(faults, "BUCKET", 200)
     assert rows_of(faults.faulty_hits(make_hits(rows)), "iog", "seq", "word_idx", "fault") == fault_oracle(rows)
 
 
+def test_faults_are_states_of_the_model(make_hits, rows_of, monkeypatch):
+    """Without the way into a state its faults are gone: no rule beside the model gives them."""
+    rows = faulty_rows(1)
+    want = fault_oracle(rows)
+    assert {f for *_, f in want} == {"impossible", "stuck", "spike"}
+    for name, fault, state in (("TO_STUCK", "stuck", faults.STUCK), ("TO_OUT", "impossible", faults.OUT)):
+        import numpy as np
+
+        emit, equal = np.array([[0.2, 0, 0]] * 40 if fault == "stuck" else [[0.2, 0, 0]] * 20 + [[1e-9, 0, 1]] + [[0.2, 0, 0]] * 19), np.r_[False, np.ones(39, bool)] if fault == "stuck" else np.zeros(40, bool)
+        ends = np.zeros(40, bool), np.zeros(40, bool)
+        ends[0][0] = ends[1][-1] = True
+        with monkeypatch.context() as m:
+            assert (faults.forward_backward(emit, equal, *ends).argmax(1) == state).any()
+            m.setattr(faults, name, 0.0)
+            assert not (faults.forward_backward(emit, equal, *ends).argmax(1) == state).any()
+
+
 def test_forward_backward_is_exact():
-    """Strips give the same posteriors as one pass over each whole sequence."""
+    """Strips give the same posteriors as one pass over each whole sequence, also within long stuck runs."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    emit, first = rng.uniform(0.01, 1, (1000, 3)), rng.random(1000) < 0.01
+    n = 3000
+    value = rng.integers(0, 4, n)
+    for a, k in ((100, 20), (130, 19), (600, 700), (1400, 25), (1425, 300), (2900, 100)):
+        value[a : a + k] = 7 + a % 5
+    first = rng.random(n) < 0.004
     first[0] = True
     last = np.r_[first[1:], True]
-    got = faults.forward_backward(emit, first, last)
-    A = np.array([[1 - faults.TO_SPIKE - faults.TO_STUCK, faults.TO_SPIKE, faults.TO_STUCK], [1 - faults.STAY_SPIKE - faults.TO_STUCK, faults.STAY_SPIKE, faults.TO_STUCK], [1 - faults.STAY_STUCK - faults.TO_SPIKE, faults.TO_SPIKE, faults.STAY_STUCK]])
-    pi = np.array([1 - faults.TO_SPIKE - faults.TO_STUCK, faults.TO_SPIKE, faults.TO_STUCK])
+    equal = np.r_[False, value[1:] == value[:-1]] & ~first
+    emit = np.stack([rng.uniform(0.05, 0.25, n), np.where(rng.random(n) < 0.1, 1 / 256, 0), np.zeros(n)], 1)
+    got = faults.forward_backward(emit, equal, first, last)
+    prior, A = faults.transitions()
+    assert np.allclose(A.sum(1), 1) and np.isclose(prior.sum(), 1)
+    e = np.concatenate([emit, np.full((n, 1), 1 / 256), np.repeat(equal[:, None].astype(float), faults.RUN - 1, 1)], 1)
+    ends = np.zeros(len(prior))
+    ends[[0, 1, 2, -1]] = 1
     for a, b in zip(np.flatnonzero(first), np.flatnonzero(last) + 1):
-        al, be = np.zeros((b - a, 3)), np.ones((b - a, 3))
+        al, be = np.zeros((b - a, len(prior))), np.tile(ends, (b - a, 1))
         for k in range(b - a):
-            al[k] = (pi if k == 0 else al[k - 1] @ A) * emit[a + k]
+            al[k] = (prior if k == 0 else al[k - 1] @ A) * e[a + k]
             al[k] /= al[k].sum()
         for k in range(b - a - 2, -1, -1):
-            be[k] = A @ (emit[a + k + 1] * be[k + 1])
+            be[k] = A @ (e[a + k + 1] * be[k + 1])
             be[k] /= be[k].sum()
         p = al * be
-        assert np.allclose(got[a:b], p / p.sum(1, keepdims=True), atol=1e-3)
+        p = np.concatenate([p[:, :3], p[:, 3:].sum(1, keepdims=True)], 1)
+        assert np.allclose(got[a:b], p / p.sum(1, keepdims=True), atol=1e-12)
 
 
 def test_empty_and_null_tables(spark, make_hits):
