@@ -69,12 +69,26 @@ def test_late_events_come_from_the_replay(monkeypatch):
     every = inspect.signature(late.late_events).parameters["every"].default
     clock, period = [10, 11, 12, 12, 13], [10, 11, 12, 11, 9]
     n = len(clock)
-    t = pa.table({"seq": list(range(n)), "word_idx": pa.array([0] * n, pa.int32()), "clock": clock, "period": period, "value": [1.0] * n, "carry": [-1] * n})
-    got = late._block(every, 3, True)((pa.scalar(1),), t).to_pylist()
+    t = pa.table({"seq": list(range(n)), "word_idx": pa.array([0] * n, pa.int32()), "clock": clock, "period": period, "value": [1.0] * n})
+    start = pa.table({"seq": [-1], "word_idx": pa.array([-1], pa.int32()), "clock": [0], "period": [late.NEVER], "value": [1.0]})
+    got = late._block(every, 3, True)((pa.scalar(1), pa.scalar(0)), t, start).to_pylist()
     assert [(r["seq"], r["outcome"]) for r in got] == [(3, "late"), (4, "too_late")]
     assert {p: x[0] for p, x in logs[0].out.items()} == {10: 1, 11: 2, 12: 1} and logs[0].revision == {10: 0, 11: 1, 12: 0}
 
 
+def test_blocks_start_from_the_checkpoint_before_them(make_hits, monkeypatch):
+    """A late event whose second lies in earlier blocks restores their state: the block gives the whole output of that second, which replaces theirs."""
+    # seq, adc, raw tick, receipt, header second; one frame a block
+    at = lambda seq, adc, second, clock: (1, seq, 0, 1, 7, 5, adc, 5, (clock - second) * R + 9, clock)
+    rows = [at(0, 10, 20, 20), at(1, 20, 20, 20), at(2, 40, 21, 21), at(3, 60, 20, 22), at(4, 80, 20, 23), at(5, 99, 20, 24), at(6, 7, 24, 24)]
+    df = make_hits(rows)
+    parts = late._apply(df, 3, 1, late._block(1, 3, False), "iog int, block bigint, period bigint, n bigint, total double, valued bigint, late bigint, too_late bigint").collect()
+    of = {(r.block, r.period): (r.n, r.total, r.late, r.too_late) for r in parts}
+    assert [of[b, 20] for b in (0, 1, 3, 4, 5)] == [(1, 10.0, 0, 0), (2, 30.0, 0, 0), (3, 90.0, 1, 0), (4, 170.0, 1, 0), (None, None, 0, 1)]
+    got = {r.second: (r.hits, r.mean_adc, r.late_hits, r.too_late_hits) for r in late.late_periods(df, block=1).collect()}
+    assert got == {20: (4, 42.5, 2, 1), 21: (1, 40.0, 0, 0), 24: (1, 7.0, 0, 0)}
+
+
 def test_heavy(make_hits, rows_of):
     rows = random_hits(random.Random(3), 900)
     n, keys = len(rows), {"channel": (0, 4, 5), "chip": (0, 4), "io_channel": (0, 3)}

@@ -2,25 +2,26 @@
 
 Arrival order of a key is cut into blocks of equal length. A first pass takes the greatest clock of each block; the
 running maximum over the earlier blocks is the frontier that a block starts from, so that blocks run in parallel and
-a key with most of the rows is spread over many tasks. Within a block the ordered state is snapshotted at intervals;
-events older than the latest snapshot restore the one before their period, the sorted suffix is replayed, and the
-affected outputs are replaced. Partial outputs of the blocks of a period add up.
+a key with most of the rows is spread over many tasks. A block also gets the events before it that can still be
+corrected, which are the log of the checkpoint that it starts from. Within a block the ordered state is snapshotted at
+intervals; events older than the latest snapshot restore the one before their period, the sorted suffix is replayed,
+and the affected outputs are replaced. The output of a period is that of the last block that changed it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ticks import R, div, hit_time
-from ..session import ship
+from ..session import checkpoint, ship, shuffle_partitions
 
 #: Arrival positions (frames) of one key in one block.
-BLOCK = 1 << 14
+BLOCK = 1 << 12
+#: Period of an event without a time.
+NEVER = -(1 << 63)
 
 
 class PeriodLog:
@@ -38,6 +39,14 @@ class PeriodLog:
         self.out: dict[int, tuple[int, float, int]] = {}
         self.revision: dict[int, int] = {}
 
+    def resume(self, period: np.ndarray, value: np.ndarray, frontier: int) -> None:
+        """Start from the checkpoint of an earlier block: its events that can still be corrected, their outputs, and a snapshot before each of their periods."""
+        order = np.argsort(period, kind="stable")
+        self.period, self.value = period[order], value[order]
+        if len(order):
+            self._replay(0)
+        self.snapshots = [(p, int(np.searchsorted(self.period, p, "left"))) for p in range(frontier - self.keep + 1, frontier + 2)]
+
     def arrive(self, period: np.ndarray, value: np.ndarray, running: np.ndarray) -> np.ndarray:
         """Apply or reject each event of a batch in arrival order, by the frontier at its arrival: 0 on time, 1 late, 2 too late and rejected."""
         late = running - period
@@ -89,35 +98,33 @@ class PeriodLog:
             self.period, self.value = self.period[drop:], self.value[drop:]
 
 
-def _block(every: int, allowed: int, events: bool):
-    """Body of one block: frontier, then checkpoint and replay of each interval of arrival time, which is at most the allowed lateness.
+def _distinct(t: pa.Table) -> dict[str, np.ndarray]:
+    """Events in order of arrival, repeated rows once."""
+    col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("seq", "word_idx", "clock", "period", "value")}
+    order = np.lexsort((col["value"], col["period"], col["clock"], col["word_idx"], col["seq"]))
+    col = {c: v[order] for c, v in col.items()}
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for v in col.values():
+        same &= (v[1:] == v[:-1]) | ((v[1:] != v[1:]) & (v[:-1] != v[:-1]))
+    keep = np.r_[np.ones(min(len(order), 1), bool), ~same]
+    return {c: v[keep] for c, v in col.items()}
 
-    The log of a block is its own: a late event of a period before the block is replayed from the block's start.
-    """
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+def _block(every: int, allowed: int, events: bool):
+    """Body of one block: the checkpoint it starts from, then checkpoint and replay of each interval of arrival time, which is at most the allowed lateness."""
+
+    def run(key: tuple, t: pa.Table, before: pa.Table) -> pa.Table:
         iog = key[0].as_py()
-        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("seq", "word_idx", "clock", "period", "value", "carry")}
-        order = np.lexsort((col["word_idx"], col["seq"]))
-        col = {c: v[order] for c, v in col.items()}
-        is_row = col["carry"] < 0
-        carry = int(col["carry"].max(initial=0))
-        col = {c: v[is_row] for c, v in col.items()}
-        seq, word = col["seq"], col["word_idx"]
-        same = np.zeros(len(seq), bool)
-        if len(seq):
-            same[1:] = (seq[1:] == seq[:-1]) & (word[1:] == word[:-1])
-        for c in ("clock", "period", "value"):
-            v = col[c]
-            equal = (v[1:] == v[:-1]) | ((v[1:] != v[1:]) & (v[:-1] != v[:-1]))
-            same[1:] &= equal
-        col = {c: v[~same] for c, v in col.items()}  # repeated rows are one record
+        col, state = _distinct(t), _distinct(before)
+        carry = int(state["clock"].max(initial=0))
         seq = col["seq"]
         running = np.maximum(np.maximum.accumulate(col["clock"]) if len(seq) else col["clock"], carry)
         if len(seq):
             running = running[np.searchsorted(seq, seq, "right") - 1]  # all words of a frame arrive together
-        timed = col["period"] != np.iinfo(np.int64).min
         log = PeriodLog(allowed + 1)
+        known = state["period"] != NEVER
+        log.resume(state["period"][known], state["value"][known], carry)
+        timed = col["period"] != NEVER
         seq, word = seq[timed], col["word_idx"][timed]
         period, value, arrival = col["period"][timed], col["value"][timed], running[timed]
         outcome = np.zeros(len(period), np.int64)
@@ -128,42 +135,40 @@ def _block(every: int, allowed: int, events: bool):
         if events:
             hit = outcome > 0
             return pa.table({"iog": pa.array(np.full(hit.sum(), iog), pa.int32()), "seq": seq[hit], "word_idx": pa.array(word[hit], pa.int32()), "outcome": np.where(outcome[hit] == 1, "late", "too_late").astype(object)}, schema=EVENTS)
-        dropped: dict[int, int] = {}
-        delayed: dict[int, int] = {}
-        for table, kind in ((dropped, 2), (delayed, 1)):
-            for p, n in zip(*(x.tolist() for x in np.unique(period[outcome == kind], return_counts=True))):
-                table[p] = n
-        periods = sorted(log.out.keys() | dropped.keys())
-        none = (0, 0.0, 0)
-        return pa.table(
-            {
-                "iog": pa.array([iog] * len(periods), pa.int32()), "period": pa.array(periods, pa.int64()),
-                "n": pa.array([log.out.get(p, none)[0] for p in periods], pa.int64()), "total": pa.array([log.out.get(p, none)[1] for p in periods], pa.float64()),
-                "valued": pa.array([log.out.get(p, none)[2] for p in periods], pa.int64()), "late": pa.array([delayed.get(p, 0) for p in periods], pa.int64()),
-                "too_late": pa.array([dropped.get(p, 0) for p in periods], pa.int64()),
-            }, schema=PERIODS,
-        )
+        of = [dict(zip(*(x.tolist() for x in np.unique(period[outcome == k], return_counts=True)))) for k in range(3)]
+        periods = sorted(of[0].keys() | of[1].keys() | of[2].keys())
+        out = [log.out[p] if p in of[0] or p in of[1] else (None, None, None) for p in periods]  # only rejected events change nothing
+        cols = [[iog] * len(periods), [key[1].as_py()] * len(periods), periods, *(list(x) for x in zip(*out)), *([of[k].get(p, 0) for p in periods] for k in (1, 2))] if periods else [[]] * len(PERIODS)
+        return pa.table([pa.array(v, f.type) for v, f in zip(cols, PERIODS)], schema=PERIODS)
 
     return run
 
 
 EVENTS = pa.schema([("iog", pa.int32()), ("seq", pa.int64()), ("word_idx", pa.int32()), ("outcome", pa.string())])
-PERIODS = pa.schema([("iog", pa.int32()), ("period", pa.int64()), ("n", pa.int64()), ("total", pa.float64()), ("valued", pa.int64()), ("late", pa.int64()), ("too_late", pa.int64())])
+PERIODS = pa.schema([("iog", pa.int32()), ("block", pa.int64()), ("period", pa.int64()), ("n", pa.int64()), ("total", pa.float64()), ("valued", pa.int64()), ("late", pa.int64()), ("too_late", pa.int64())])
 
 
-def _blocks(hits: DataFrame, block: int) -> DataFrame:
-    """Rows of hits by (iog, block of arrival), with the frontier of the earlier blocks as one more row of each block."""
+def _apply(hits: DataFrame, allowed: int, block: int, body, schema: str) -> DataFrame:
+    """Run ``body`` over each (iog, block of arrival) with the state it starts from: the frontier, and the events of earlier blocks that can still be corrected."""
     ship(hits.sparkSession)
     t = hit_time(F.col("timestamp"), F.col("receipt_timestamp"), F.col("message_seconds"))
     clock = F.greatest(F.coalesce(F.col("message_seconds").cast("bigint"), F.lit(0)), F.lit(0))
+    never = F.lit(NEVER).cast("bigint")
     rows = hits.where("iog IS NOT NULL AND seq IS NOT NULL").select(
         F.col("iog").cast("int").alias("iog"), div(F.col("seq").cast("bigint"), block).alias("block"), F.col("seq").cast("bigint").alias("seq"), F.coalesce(F.col("word_idx").cast("int"), F.lit(-1)).alias("word_idx"),
-        clock.alias("clock"), F.coalesce(div(t, R), F.lit(-(1 << 63)).cast("bigint")).alias("period"), F.coalesce(F.col("adc").cast("double"), F.lit(float("nan"))).alias("value"), F.lit(-1).cast("bigint").alias("carry"),
+        clock.alias("clock"), F.coalesce(div(t, R), never).alias("period"), F.coalesce(F.col("adc").cast("double"), F.lit(float("nan"))).alias("value"),
     )
-    earlier = Window.partitionBy("iog").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    frontier = rows.groupBy("iog", "block").agg(F.max("clock").alias("top")).select("iog", "block", F.coalesce(F.max("top").over(earlier), F.lit(0)).alias("carry"))
-    first = frontier.select("iog", "block", F.lit(-1).cast("bigint").alias("seq"), F.lit(-1).alias("word_idx"), F.lit(0).cast("bigint").alias("clock"), F.lit(-(1 << 63)).cast("bigint").alias("period"), F.lit(float("nan")).alias("value"), "carry")
-    return rows.unionByName(first)
+    by = Window.partitionBy("iog").orderBy("block")
+    tops = checkpoint(rows.groupBy("iog", "block").agg(F.max("clock").alias("top"), F.count(F.lit(1)).alias("n")))  # a row a block
+    frontier = tops.select("iog", "block", F.coalesce(F.max("top").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"), F.max("top").over(by).alias("end"))
+    parts = shuffle_partitions(hits.sparkSession, int(tops.agg(F.sum("n")).first()[0] or 0))
+    start = frontier.select("iog", "block", F.lit(-1).cast("bigint").alias("seq"), F.lit(-1).alias("word_idx"), F.col("carry").alias("clock"), never.alias("period"), F.lit(float("nan")).alias("value"))
+    # an event whose second is no more than the lateness behind the end of its block was accepted there, and is state of each later block that starts as near to it
+    tail = rows.join(frontier.select("iog", "block", "end"), ["iog", "block"]).where(F.col("period") + allowed >= F.col("end"))
+    near = tail.withColumn("carry", F.explode(F.sequence(F.col("end"), F.col("period") + allowed))).withColumnRenamed("block", "own")
+    state = near.join(frontier.select("iog", "block", "carry"), ["iog", "carry"]).where("block > own").select(*start.columns)
+    left, right = rows.repartition(parts, "iog", "block"), start.unionByName(state).repartition(parts, "iog", "block")
+    return left.groupBy("iog", "block").cogroup(right.groupBy("iog", "block")).applyInArrow(body, schema)
 
 
 def late_events(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: int = 1) -> DataFrame:
@@ -172,7 +177,7 @@ def late_events(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: in
     Rows without iog or seq are left out; rows without a hit time move the frontier by their header second only;
     repeated rows count once; an empty table gives no rows; other columns of hits are ignored.
     """
-    return _blocks(hits, block).groupBy("iog", "block").applyInArrow(_block(every, allowed, True), "iog int, seq bigint, word_idx int, outcome string")
+    return _apply(hits, allowed, block, _block(every, allowed, True), "iog int, seq bigint, word_idx int, outcome string")
 
 
 def late_periods(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: int = 1) -> DataFrame:
@@ -181,6 +186,8 @@ def late_periods(hits: DataFrame, allowed: int = 3, block: int = BLOCK, every: i
     ``late_hits`` of them came late; ``too_late_hits`` came later and are left out. A second with only hits that
     came too late has no row. The mean is over the hits that have an adc, and null without any.
     """
-    parts = _blocks(hits, block).groupBy("iog", "block").applyInArrow(_block(every, allowed, False), "iog int, period bigint, n bigint, total double, valued bigint, late bigint, too_late bigint")
-    total = parts.groupBy("iog", "period").agg(*(F.sum(c).alias(c) for c in ("n", "total", "valued", "late", "too_late")))
+    parts = _apply(hits, allowed, block, _block(every, allowed, False), "iog int, block bigint, period bigint, n bigint, total double, valued bigint, late bigint, too_late bigint")
+    # the last block that applied an event to a period replaces what earlier ones gave
+    newest = F.max_by(F.struct("n", "total", "valued"), F.when(F.col("n").isNotNull(), F.col("block"))).alias("out")
+    total = parts.groupBy("iog", "period").agg(newest, F.sum("late").alias("late"), F.sum("too_late").alias("too_late")).select("iog", "period", "out.*", "late", "too_late")
     return total.where("n > 0").select("iog", F.col("period").alias("second"), F.col("n").alias("hits"), F.when(F.col("valued") > 0, F.col("total") / F.col("valued")).alias("mean_adc"), F.col("late").alias("late_hits"), F.col("too_late").alias("too_late_hits"))
