@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, shuffle_partitions
 from .bpe import count_tokens
 
 #: Tokens of a slot and block.
@@ -19,7 +19,7 @@ BLOCK = 64
 #: Golden ratio as a fraction of 2^32; a fixed value of the sequence.
 GOLDEN, ONE = 2654435769, 1 << 32
 #: Parts that the documents of one source, and slots that those of one mix, are numbered in.
-BUCKETS, CHUNK = 256, 1 << 16
+BUCKETS, CHUNK = 256, 1 << 14
 
 
 def _sized(documents: DataFrame, path: str | None) -> DataFrame:
@@ -52,12 +52,16 @@ def _plans(mixes: DataFrame, targets: DataFrame, sized: DataFrame) -> DataFrame:
     shares = clean.join(counts, "source", "left").select("mix_id", "source", "cap", F.coalesce("blocks", F.lit(0)).alias("blocks"), (F.sum("w").over(every.orderBy("source")) / F.sum("w").over(every)).alias("upto"))
     parts = shares.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("upto", "source", "cap", "blocks"))).alias("ends"))
     wanted = F.greatest(F.round(F.col("total_ratio") * total).cast("bigint"), F.lit(0))
-    return mixes.select("mix_id", wanted.alias("wanted")).withColumn("slots", F.call_function("div", F.col("wanted") + BLOCK // 2, F.lit(BLOCK).cast("bigint"))).join(parts, "mix_id")
+    return checkpoint(mixes.select("mix_id", wanted.alias("wanted")).withColumn("slots", F.call_function("div", F.col("wanted") + BLOCK // 2, F.lit(BLOCK).cast("bigint"))).join(parts, "mix_id"))
 
 
 def schedule(plans: DataFrame) -> DataFrame:
     """(mix_id, slot, source, cap, blocks, n): source of each slot, and how many earlier slots of the mix have the same source."""
-    chunks = plans.where("slots > 0").select("mix_id", "slots", "ends", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("slots") - 1, F.lit(CHUNK).cast("bigint")))).alias("chunk"))
+    plans = plans.where("slots > 0")
+    total = plans.agg(F.sum("slots")).first()[0] or 0  # a row a mix
+    chunks = plans.select("mix_id", "slots", "ends", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("slots") - 1, F.lit(CHUNK).cast("bigint")))).alias("chunk"))
+    # chunks are few small rows, but their slots are many, so they are spread before they are made
+    chunks = chunks.repartition(shuffle_partitions(plans.sparkSession, total), "mix_id", "chunk")
     slots = chunks.select("mix_id", "ends", "chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)).alias("slot"))
     point = F.pmod(F.pmod(F.col("slot"), F.lit(ONE)) * GOLDEN, F.lit(ONE)) / F.lit(float(ONE))
     # the last end is 1 up to rounding and takes the rest
