@@ -290,7 +290,7 @@ def faulty_hits(hits: DataFrame) -> DataFrame:
     # sources with more rows than a slab: slabs as wide in time as their rows, on average, ask for
     sizes = checkpoint(rows.where("valued").groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")))
     n, many = (int(x or 0) for x in sizes.agg(F.sum("n"), F.count_if(F.col("n") > SLAB)).first())
-    parts = shuffle_partitions(spark, n)
+    parts = shuffle_partitions(spark, n, 100_000)
     slabs = F.call_function("div", F.col("n") - 1, F.lit(SLAB).cast("bigint")) + 1
     large = sizes.where(F.col("n") > SLAB).select(*SOURCE, "lo", slabs.alias("slabs"), (F.call_function("div", F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)), slabs) + 1).alias("width"))
     of = F.when(F.col("slabs").isNull() | ~F.col("valued"), F.lit(0)).when(F.col("at").isNotNull(), F.call_function("div", F.col("at") - F.col("lo"), F.col("width")) + 1).otherwise(-1 - F.pmod(F.col("mix"), F.col("slabs")))

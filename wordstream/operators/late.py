@@ -20,6 +20,8 @@ from ..session import checkpoint, ship, shuffle_partitions
 
 #: Arrival positions (frames) of one key in one block.
 BLOCK = 1 << 12
+#: Most blocks whose ends are broadcast, a few MB; beyond, Spark joins them by a shuffle.
+MOST_BROADCAST = 200_000
 #: Period of an event without a time.
 NEVER = -(1 << 63)
 
@@ -161,10 +163,12 @@ def _apply(hits: DataFrame, allowed: int, block: int, body, schema: str) -> Data
     by = Window.partitionBy("iog").orderBy("block")
     tops = checkpoint(rows.groupBy("iog", "block").agg(F.max("clock").alias("top"), F.count(F.lit(1)).alias("n")))  # a row a block
     frontier = tops.select("iog", "block", F.coalesce(F.max("top").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"), F.max("top").over(by).alias("end"))
-    parts = shuffle_partitions(hits.sparkSession, int(tops.agg(F.sum("n")).first()[0] or 0))
+    n, blocks = (int(x or 0) for x in tops.agg(F.sum("n"), F.count(F.lit(1))).first())
+    parts = shuffle_partitions(hits.sparkSession, n)
+    ends = frontier.select("iog", "block", "end")
     start = frontier.select("iog", "block", F.lit(-1).cast("bigint").alias("seq"), F.lit(-1).alias("word_idx"), F.col("carry").alias("clock"), never.alias("period"), F.lit(float("nan")).alias("value"))
     # an event whose second is no more than the lateness behind the end of its block was accepted there, and is state of each later block that starts as near to it
-    tail = rows.join(frontier.select("iog", "block", "end"), ["iog", "block"]).where(F.col("period") + allowed >= F.col("end"))
+    tail = rows.join(F.broadcast(ends) if blocks <= MOST_BROADCAST else ends, ["iog", "block"]).where(F.col("period") + allowed >= F.col("end"))
     near = tail.withColumn("carry", F.explode(F.sequence(F.col("end"), F.col("period") + allowed))).withColumnRenamed("block", "own")
     state = near.join(frontier.select("iog", "block", "carry"), ["iog", "carry"]).where("block > own").select(*start.columns)
     left, right = rows.repartition(parts, "iog", "block"), start.unionByName(state).repartition(parts, "iog", "block")
