@@ -1,11 +1,14 @@
 import random
 import unicodedata
 import zlib
+from pathlib import Path
 
 import pytest
+import regex
 
 from wordstream.llm import sentences as S
 
+CASED = regex.compile(r"[\p{Ll}\p{M}]{2,}")
 CASES = [
     "Dr. Orlan checked the pump at 7 p.m.|The crew slept, e.g. on deck 4.|It weighed 3,131.85 kg.|25 crates stood here.",
     "“Who opened it?” asked the cook quietly.|The clerk said: “It was open. Nobody came.”|(6) Capt. Bell left.|R. K. Tavlin saw fig. 12 and No. 5 again.",
@@ -107,9 +110,53 @@ def test_open_words_hold_all_that_is_asked():
     parts = ["Xob", "xob", "a.m", "No", "no", "al", "见No", "ab’c", "’tis", "K", "कि", "म", "Gradually", "deck", "…", "...", ".", ".", ". ", " ", "\n\n", "!", "”", "“", "(", ")", "⚓", "5", ",", "-", "The"]
     for k in range(3000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(2, 25)))
-        sets = [Asked(k, S.STOPPED), Asked(k + 1, S.LOWER), Asked(k + 2, S.STOPPED)]
+        sets = [Asked(k + i, form) for i, form in enumerate((S.STOPPED, CASED, S.STOPPED, S.STOPPED, CASED))]
         S.Splitter(*sets).spans(t)
-        assert set().union(*(x.seen for x in sets)) <= S.open_words(t, *S.evidence(t)), t
+        assert set().union(*(x.seen for x in sets)) <= S.asked_words(t), t
+
+
+def test_titles_and_months_from_evidence(monkeypatch):
+    """Without any list: a title begins a paragraph, a word that follows numbers is counted by them, a unit follows its number."""
+    for name in ("LEADING", "CLOSING", "MONTHS"):
+        monkeypatch.setattr(S, name, frozenset())
+    cut = lambda s, t: [t[a:b] for a, b in s.spans(t)]
+    s = S.Splitter()
+    assert cut(s, "Xr. Tavlin came late. Then Xr. Bell left.") == ["Xr. Tavlin came late.", "Then Xr. Bell left."]
+    assert cut(s, "One. Two. Three came.") == ["One.", "Two.", "Three came."]
+    assert cut(s, "The xob. valve held. So did Xob. Tavlin. The xob. rope too.") == ["The xob. valve held.", "So did Xob. Tavlin.", "The xob. rope too."]
+    assert cut(s, "It took 5 xob. Tavlin left.") == ["It took 5 xob.", "Tavlin left."]
+    assert cut(S.Splitter(ordinals=frozenset({"mai"})), "Am 5. Mai kamen 7. Seile lagen.") == ["Am 5. Mai kamen 7.", "Seile lagen."]
+    assert cut(S.Splitter(titles=frozenset({"xr"})), "Then came Xr. Bell.") == ["Then came Xr. Bell."]
+    assert cut(s, "Then came Xr. Bell.") == ["Then came Xr.", "Bell."]
+
+
+def test_switches(spark, data, monkeypatch):
+    """What decides: without the lists of abbreviations hardly a unit changes; without them and the corpus, the document's own evidence still changes many."""
+    larger = Path(data).parent / "sf0.01"  # a hundred documents say little of a corpus
+    if not larger.exists():
+        pytest.skip("no larger test data")
+    texts = [t.text for t in spark.read.parquet(f"{larger}/documents.parquet").where("text <> ''").collect()]
+    counts = {}
+    for t in texts:
+        stops, words = S.evidence(t)
+        for (w, k), n in [*stops.items(), *words.items()]:
+            counts[w, k] = counts.get((w, k), 0) + n
+    facts = spark.createDataFrame([(None, w, k, n) for (w, k), n in counts.items()], S.FACTS)
+    verdicts = {}
+    for r in S.corpus_verdicts(facts).collect():
+        verdicts.setdefault(r.verdict, set()).add(r.token)
+
+    def units(corpus=True, document=True):
+        s = S.Splitter(*(frozenset(verdicts.get(k, ()) if corpus else ()) for k in "acpto"))
+        return {(i, a, b) for i, t in enumerate(texts) for a, b in s.spans(t, None if document else frozenset())}
+
+    whole = units()
+    for name in ("LEADING", "CLOSING", "MONTHS"):
+        monkeypatch.setattr(S, name, frozenset())
+    share = lambda x: len(x & whole) / len(whole)
+    bare, document, none = units(), units(corpus=False), units(False, False)
+    assert share(bare) > 0.98  # evidence decides, not the lists
+    assert share(none) < share(document) < share(bare) and len(document - none) > 0
 
 
 def test_every_character_is_in_a_unit():

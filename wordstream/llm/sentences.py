@@ -1,18 +1,20 @@
 """Sentence units of texts in several languages and scripts.
 
 Marks that always end a sentence, as in Chinese, Japanese and Hindi, are taken as they are; Thai, which has none, is
-cut at spaces that stand between clauses. Whether a full stop ends a sentence is decided within the document first:
-a word that the document itself writes with a stop before a lower-case letter or a comma, and never without one, is
-an abbreviation there; one that it writes without a stop, and never so, is a plain word; and a word that it also writes
-in lower case is no proper name. Where the document is silent, counts over the whole corpus decide: one pass over all
-texts counts every word and notes those that each text leaves open, and a join gives each text the answers to its own.
-Only where both are silent do the lists below decide.
+cut at spaces that stand between clauses. Whether a full stop ends a sentence is decided within the document first, by
+occurrences of its words that are not ambiguous: one that stands with a stop before a lower-case letter or a comma is
+an abbreviation, one that stands with a stop at the very beginning of a text or paragraph is an abbreviation before
+what it belongs to, as a title; one that stands without a stop is a plain word; and one that also stands in lower case
+is no proper name. Where the document is silent, counts over the whole corpus decide: one pass over all texts counts
+every word and notes those that each text leaves open, and a join gives each text the answers to its own. Only where
+both are silent do the lists below decide.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 from functools import lru_cache
 from unicodedata import is_normalized, normalize
 
@@ -42,8 +44,7 @@ LEADING = frozenset(
 )
 #: Abbreviations that may also end a sentence: they do before a capital letter, an opening mark or a number.
 CLOSING = frozenset("etc ltd inc co corp jr sr. a.m p.m ff usw u.s.w sqq kg g km m cm mm l h min s إلخ الخ كغ كم कि.ग्रा อื่นๆ ฯลฯ กก กม".split())
-#: Units, after a number, end a sentence although they are listed above.
-UNITS = frozenset("m g l h s kg km cm mm min".split())
+#: Words that a number with a stop counts; as the lists above, only where there is no evidence.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 #: Words of saying that close a clause after a quotation, in scripts without capital letters.
 SAYING = regex.compile(r"(?:कहा|पूछा|बोला|बोली|बोले|बताया|चिल्लाया|चिल्लाई|言った|言う|尋ねた|叫んだ|聞いた|答えた|話した|述べた|つぶやいた|说|說|道|问|問|喊|叫|答|写)[^\p{L}\p{N}]*$")
@@ -60,16 +61,25 @@ PARAGRAPH = regex.compile(rf"{_BREAK}[^\S\n\r\v\x85  ]*(?:{_BREAK}[^\S\n\r\v
 EMOJI = r"(?:[\p{Emoji_Presentation}\p{Extended_Pictographic}][\p{Emoji_Modifier}️‍\p{Extended_Pictographic}]*)"
 AFTER = regex.compile(rf"(?:[^\S\n\r]*{EMOJI})*")
 MARK = regex.compile(rf"[.…．]+|[{_ENDS}][{_ENDS}.…]*")
-TOKEN = regex.compile(r"[^\s“”„«»‹›「」『』（）()\[\]【】\"。！？、，：；!?…，,;:—–]*$")
+BOUND = regex.compile(r"[\s“”„«»‹›「」『』（）()\[\]【】\"。！？、，：；!?…，,;:—–]").match
 THAI_GAP = regex.compile(r"(?<=\S)\s+(?=\S)")
-LIST_NUMBER = regex.compile(r"(?:[(（]\d{1,3}[)）]|\d{1,3}[.)．])$")
+LIST_NUMBER = regex.compile(r"(?:[(（]\d{1,3}[)）]|\d{1,3}[.)．])")
 LIST_START = regex.compile(r"(?:[(（]\p{Nd}{1,3}[)）]|\p{Nd}{1,3}[.)．])\s+\S")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNCASED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Devanagari}\p{Arabic}\p{Thai}]")
-DOTTED = regex.compile(r"(?<![\p{L}\p{M}\p{N}.])(\p{L}[\p{L}\p{M}]{0,7}(?:\.\p{L}{1,3})*)\.(?=[\s,)\d])[^\S\n]?(.?)")
-LOWER = regex.compile(r"(?<![\p{L}\p{M}])\p{Ll}[\p{Ll}\p{M}]+(?![\p{L}\p{M}.])")
-CAPITAL = regex.compile(r"(?<=[\p{Ll},][^\S\n\r])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])")
-STOPPED = regex.compile(r"\p{L}[\p{L}\p{M}]{0,7}(?:\.\p{L}{1,3})*")
+#: A letter with its marks, by what it is not, which the faster engine knows.
+_T = r"[^\s\d!-/:-@\[-`{-~…“”„«»‹›「」『』《》〈〉（）【】。！？、，：；｡．—–।॥؟۔،؛’‘·¿¡]"
+BARE = re.compile(rf"(?<!{_T})(?<![.\d]){_T}++(?!\.)")
+STOPPED = re.compile(rf"{_T}++(?:\.{_T}{{1,3}}(?!{_T}))*+")
+STOPS = re.compile(rf"(?<!{_T})(?<!\.)({STOPPED.pattern})\.(?=(\s*)(.?))", re.S)
+CAPITAL = re.compile(rf"[^\W\d_],? (?=({_T}++)(?!\.))")
+ORDINAL = re.compile(rf"\d\.[^\S\n]({_T}++)")
+
+
+#: A blank line right before a place.
+PARAGRAPH_BEFORE = re.compile(r"\n[^\S\n]*\n$")
+#: A word and the first letter of another.
+GOES_ON = re.compile(rf"{_T}++[^\S\n]([^\W\d_])")
 
 
 def folded(word: str) -> str:
@@ -78,29 +88,64 @@ def folded(word: str) -> str:
 
 
 def evidence(text: str) -> tuple[Counter, Counter]:
-    """Words with a stop, by what comes next: 'a' a lower-case letter or comma, 'd' a number, 'b' another; and the lower-case words."""
+    """Words with a stop by kind, and words without one by kind.
+
+    With a stop: 'z' at the end of a paragraph, 'a' before a lower-case letter or comma, 'd' before a number, 's' at the
+    beginning of a paragraph whose sentence goes on after the next word, 'b' elsewhere. Without: 'w' in lower case, 'u' in another, of these 'c' within a sentence,
+    and 'n' after a number with a stop.
+    """
+    if not is_normalized("NFC", text):
+        text = normalize("NFC", text)
     stops: Counter = Counter()
-    for m in DOTTED.finditer(text):
-        nxt = m[2]
-        stops[folded(m[1]), "d" if nxt.isdigit() else "a" if nxt and (nxt.islower() or nxt in ",;") else "b"] += 1
-    lower = LOWER.findall(text)
-    return stops, Counter(lower if is_normalized("NFC", text) else map(folded, lower))
+    if "." in text:
+        for m in STOPS.finditer(text):
+            token, gap, nxt = m.groups()
+            if not gap and nxt not in ",)" and not nxt.isdigit():
+                continue  # within a word
+            i = m.start() - 1
+            while i >= 0 and text[i] in " “\"«„(":
+                i -= 1
+            if not nxt or gap.count("\n") > 1:
+                kind = "z"
+            elif nxt.islower() or nxt in ",;":
+                kind = "a"
+            elif nxt.isdigit():
+                kind = "d"
+            else:
+                goes = GOES_ON.match(text, m.end() + len(gap))
+                kind = "s" if goes and not goes[1].isupper() and (i < 0 or PARAGRAPH_BEFORE.search(text, 0, i + 1)) else "b"
+            stops[token.lower(), kind] += 1
+    words: Counter = Counter()
+    for w in BARE.findall(text):
+        words[(w, "w") if w.islower() else (w.lower(), "u")] += 1
+    for w in CAPITAL.findall(text):
+        if not w.islower():
+            words[w.lower(), "c"] += 1
+    if "." in text:
+        for w in ORDINAL.findall(text):
+            words[w.lower(), "n"] += 1
+    return stops, words
+
+
+def own_answers(stops: Counter, words: Counter, asked: Iterable[str] | None = None) -> set[str]:
+    """What a document says of words by itself, as letter and word: 'T' and 'A' abbreviations, 'U' stands without a stop, 'W' also in lower case."""
+    out = {("A" if k == "a" else "T") + w for w, k in stops if k in "as"}
+    out |= {("W" if k == "w" else "U") + w for w, k in words if k in "wu"}
+    return out if asked is None else {x for x in out if x[1:] in asked}
 
 
 class Splitter:
     """Splits texts, with what the corpus knows of abbreviations and of common words."""
 
-    def __init__(self, abbreviations: frozenset[str] = frozenset(), common: frozenset[str] = frozenset(), plain: frozenset[str] = frozenset()) -> None:
-        self.abbreviations, self.common, self.plain = abbreviations, common, plain
+    def __init__(self, abbreviations: frozenset[str] = frozenset(), common: frozenset[str] = frozenset(), plain: frozenset[str] = frozenset(), titles: frozenset[str] = frozenset(), ordinals: frozenset[str] = frozenset()) -> None:
+        self.abbreviations, self.common, self.plain, self.titles, self.ordinals = abbreviations, common, plain, titles, ordinals
 
-    def spans(self, text: str | None) -> list[tuple[int, int]]:
-        """(start, end) of each unit in code points."""
+    def spans(self, text: str | None, own: Container[str] | None = None) -> list[tuple[int, int]]:
+        """(start, end) of each unit in code points; own: what the document says itself, if it is at hand."""
         if not text or text.isspace():
             return []
         out: list[tuple[int, int]] = []
-        stops, lower = evidence(text)
-        self.doc_held = {t for (t, k) in stops if k == "a"}
-        self.doc_words = lower
+        self.own = own_answers(*evidence(text)) if own is None else own
         at = 0
         for m in [*PARAGRAPH.finditer(text), None]:
             end = m.start() if m else len(text)
@@ -140,8 +185,11 @@ class Splitter:
         closed, opened = {p[1]: p for p in pairs}, {p[0]: p for p in pairs}
         cuts: list[int] = []
         start = a
+        while start < b and text[start].isspace():
+            start += 1
         k = 0
         thai = _re(r"\p{Thai}").search(text, pos=a, endpos=b) is not None
+        self.thai = -1
         events: list[tuple[int, int, str]] = []
         for m in MARK.finditer(text, a, b):
             events.append((m.start(), m.end(), "mark"))
@@ -190,23 +238,26 @@ class Splitter:
     def _name(self, word: str) -> bool:
         """Whether a capitalised word is a proper name: neither the document nor the corpus has it in lower case."""
         w = folded(word)
-        return w not in self.doc_words and w not in self.common
+        return len(w) == 1 or ("W" + w not in self.own and w not in self.common)
 
     def _kind(self, low: str) -> str:
-        """What evidence says of a word with a stop: 'a' an abbreviation, 'p' a plain word, '' nothing; the document first, then the corpus."""
-        held, bare = low in self.doc_held, low in self.doc_words
-        if held != bare:
-            return "a" if held else "p"
-        return "a" if low in self.abbreviations else "p" if low in self.plain else ""
+        """What evidence says of a word with a stop: 't' a title or the like, 'a' another abbreviation, 'p' a plain word, '' nothing; the document first, then the corpus."""
+        title, held = "T" + low in self.own, "A" + low in self.own
+        bare = "W" + low in self.own or "U" + low in self.own
+        if (title or held) != bare:
+            return "p" if bare else "a" if held else "t"
+        return "t" if low in self.titles else "a" if low in self.abbreviations else "p" if low in self.plain else ""
 
     def _holds(self, token: str, low: str, nxt: str, word: str, unit: bool = False) -> bool:
         """Whether the sentence goes on after a word with a stop: by evidence, and where that leaves it open, by the lists."""
         kind = self._kind(low)
         begins = bool(kind and word) and not self._name(word)
-        if kind == "a" and begins:
+        if kind in ("a", "t") and begins:
             return False
         if kind == "p" and not nxt.isdigit() and (begins or token.islower()):
             return False  # a capitalised one may be a title, and one before a number may count something
+        if kind == "t" and not unit:
+            return bool(nxt.isdigit() or word)
         if unit or (low in CLOSING and low not in LEADING):
             return False
         if low in LEADING or token in LEADING:
@@ -248,7 +299,7 @@ class Splitter:
     def _full_stop(self, text: str, start: int, s: int, tail: int, rest: int, b: int) -> bool:
         nxt, spaced = text[rest], rest > tail
         prev = text[s - 1]
-        token = TOKEN.search(text, max(start, s - 40), s)[0].lstrip("'’")
+        token = text[self._token(text, start, s) : s].lstrip("'’")
         if (latin := _re(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$").search(token)) is not None:
             token = latin[0]  # scripts without spaces
         low = folded(token)
@@ -256,7 +307,7 @@ class Splitter:
             return False
         if nxt in "—–" and self._lower_after(text, rest + 1, b):
             return False
-        if s - start < 9 and LIST_NUMBER.match(text[start : s + 1].strip()):
+        if LIST_NUMBER.fullmatch(text, start, s + 1):
             return False  # the number of a list item
         following = WORD.match(text, rest)
         word = following[0] if following else ""
@@ -266,7 +317,7 @@ class Splitter:
             if nxt in "“„«(¿¡" and _re(r"[\p{Lu}\p{Nd}¿¡“«]").match(text[rest + 1 : rest + 2]):
                 return len(token) != 1 and not self._holds(token, low, nxt, word) or prev in ")»”"
             if not nxt.isupper() or len(word) < 2 or not word[1:].islower():
-                return bool(UNCASED.match(nxt)) and not token[-1:].isascii() and len(token) > 1 and not self._holds(token, low, nxt, word)
+                return bool(UNCASED.match(nxt)) and not _re(r"\p{Devanagari}").match(nxt) and not token[-1:].isascii() and len(token) > 1 and not self._holds(token, low, nxt, word)
             return len(token) != 1 and not self._holds(token, low, nxt, word) or prev in ")»”"
         if token and UNCASED.match(token[-1]):
             if _re(r"\p{Devanagari}").match(token[-1]):
@@ -275,12 +326,10 @@ class Splitter:
                 return False  # Thai is cut at its spaces
             return (len(token) > 1 or not token.isalpha()) and not self._holds(token, low, nxt, word)
         if token.isdigit() and spaced:
-            if word.lower() in MONTHS:
-                return False
-            return True
+            return folded(word) not in self.ordinals and word.lower() not in MONTHS
         if not token or not token[-1].isalpha():
             return True
-        unit = low in UNITS and _re(r"[\d٠-٩०-९]\s*$").search(text[max(start, s - len(token) - 3) : s - len(token)]) is not None
+        unit = _re(r"[\d٠-٩०-९]\s*$").search(text, max(start, s - len(token) - 3), s - len(token)) is not None and not nxt.isdigit() and self._kind(low) != "t"
         if _re(r"(?:^|\s)(?:u\.\s?a\.\s?m|u\.\s?[äÄ])$").search(text[max(start, s - 9) : s]):
             return True
         if len(token) == 1 and not unit:
@@ -291,18 +340,32 @@ class Splitter:
             return False  # alone it is a plain word of Spanish
         return not self._holds(token, low, nxt, word, unit)
 
+    def _token(self, text: str, start: int, s: int) -> int:
+        """Where the word before a stop begins."""
+        i = s
+        while i > start and not BOUND(text[i - 1]):
+            i -= 1
+        return i
+
     def _initial_before(self, text: str, s: int, b: int) -> bool:
         """Whether another initial stands before this one."""
-        return _re(r"\p{Lu}\.\s*\p{Lu}$").search(text[max(0, s - 6) : s]) is not None
+        i = s - 2
+        while i >= 0 and text[i].isspace():
+            i -= 1
+        return i > 0 and text[i] == "." and text[i - 1].isupper()
 
     def _after_pair(self, text: str, start: int, pair: tuple[int, int, str], b: int) -> int:
         """Where the sentence ends after a closed pair, or -1."""
         p, q, c = pair
-        inner = text[max(p + 1, q - 40) : q].rstrip()
+        inner = text[p + 1 : q].rstrip()
         if not inner:
             return -1
-        closed = inner[-1] in ENDERS + ".…．" or bool(_re(rf"[{_ENDS}.]\s*{EMOJI}$").search(inner))
-        opens = p <= start or p - start < 12 and (not text[start:p].strip() or bool(LIST_START.match(text[start : p + 1].strip())))
+        i = len(inner)
+        while i and _re(rf"{EMOJI}|[\p{{Emoji_Modifier}}\uFE0F\u200D\s]").fullmatch(inner[i - 1]):
+            i -= 1
+        closed = inner[-1] in ENDERS + ".…．" or (0 < i < len(inner) and inner[i - 1] in ENDERS + ".")
+        listed = LIST_START.match(text, start)
+        opens = p <= start or (listed is not None and listed.end() == p + 1)
         thai = bool(_re(r"\p{Thai}").search(inner))
         tail = AFTER.match(text, q + 1, b).end()
         rest = tail
@@ -312,7 +375,7 @@ class Splitter:
             return -1  # the end of the stretch ends it anyway
         nxt = text[rest]
         if c in BRACKETS:
-            if not opens or (q - p < 6 and inner.isdigit()):
+            if not opens or inner.isdigit():
                 return -1
             if thai and not closed:
                 return -1  # left to the gap after it
@@ -329,8 +392,10 @@ class Splitter:
             stop = _re(rf"[{_ENDS}.\n“„«「\"]").search(text, pos=rest, endpos=b)
             clause = text[rest : stop.start() if stop else b]
             return -1 if SAYING.search(clause) else tail
-        lead = text[max(start, p - 8) : p].rstrip()
-        if lead[-1:] in ":：,，、" or _re(r"\p{Arabic}|\p{Thai}|\p{Devanagari}").match(nxt):
+        i = p
+        while i > start and text[i - 1].isspace():
+            i -= 1
+        if i == start or text[i - 1] in ":：,，、" or _re(r"\p{Arabic}|\p{Thai}|\p{Devanagari}").match(nxt):
             return tail
         return -1
 
@@ -345,12 +410,14 @@ class Splitter:
         """Whether a space ends a Thai clause."""
         if s <= start:
             return False
-        left = text[max(start, s - 200) : s]
         nxt = text[e]
         word = _re(r"\S+").match(text, pos=e, endpos=b)[0]
-        if len(left) < 9 and LIST_NUMBER.match(left.strip()):
+        if LIST_NUMBER.fullmatch(text, start, s):
             return False
-        if not _re(r"\p{Thai}").search(left) and not _re(r"\p{Thai}").match(nxt):
+        if self.thai < start:  # the first Thai letter of the unit, looked up once
+            found = _re(r"\p{Thai}").search(text, start)
+            self.thai = found.start() if found else len(text)
+        if self.thai >= s and not _re(r"\p{Thai}").match(nxt):
             return False
         if LIST_START.match(text, e, b):
             return True
@@ -358,9 +425,12 @@ class Splitter:
             return False
         if _re(r"\p{Latin}").match(nxt):
             return False
-        last = _re(r"\S+$").search(left)[0]
+        i = s
+        while i > start and not text[i - 1].isspace():
+            i -= 1
+        last = text[i:s]
         if nxt in "“\"«‘":
-            return not left.endswith("ว่า") and not left.endswith(":") and _re(r"\p{Thai}|[\d”»)]$").search(last) is not None
+            return not last.endswith(("ว่า", ":")) and _re(r"\p{Thai}|[\d”»)]$").search(last) is not None
         if nxt in "([":
             return bool(_re(r"[(\[]\p{Thai}").match(word)) and e in opened and opened[e][1] - e > 15
         if not _re(r"\p{Thai}").match(nxt):
@@ -377,10 +447,10 @@ class Splitter:
         return last not in THAI_ATTACHED or last in ("เมตร", "ฯลฯ")
 
 
-def open_words(text: str, stops: Counter, lower: Counter) -> set[str]:
-    """Words that a text asks the corpus about: those before a full stop, and after a stop or an ellipsis, that it does not decide itself.
+def asked_words(text: str) -> set[str]:
+    """Words whose evidence splitting may ask for: those before a full stop, and those after one, after an ellipsis or after a number.
 
-    A few may be among them that splitting does not come to ask about, as that depends on the answers.
+    A few may be among them that it does not come to ask about, as that depends on the answers.
     """
     out: set[str] = set()
     for m in MARK.finditer(text):
@@ -392,21 +462,21 @@ def open_words(text: str, stops: Counter, lower: Counter) -> set[str]:
             rest += 1
         if rest == len(text) or text[rest].islower():
             continue
-        token = ""
         if m[0] in ".．":
-            token = TOKEN.search(text, max(0, s - 40), s)[0]
-            if not token or not token[-1].isalpha() and not UNCASED.match(token[-1]):
+            i = s
+            while i > 0 and not BOUND(text[i - 1]):
+                i -= 1
+            token = text[i:s]
+            if not token or not (token[-1].isalnum() or UNCASED.match(token[-1])):
                 continue
             # a sentence may begin within it, after a mark without a space
-            for i in range(len(token)):
-                if (i == 0 or not token[i - 1].isalpha()) and STOPPED.fullmatch(token, i):
-                    low = folded(token[i:])
-                    if (low in lower) == ((low, "a") in stops):
-                        out.add(low)
+            for k in range(len(token)):
+                if (k == 0 or not token[k - 1].isalpha()) and STOPPED.fullmatch(token, k):
+                    out.add(folded(token[k:]))
             if (latin := _re(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$").search(token)) is not None:
                 out.add(folded(latin[0]))
         word = WORD.match(text, rest)
-        if word and not UNCASED.match(word[0]) and folded(word[0]) not in lower:
+        if word and not UNCASED.match(word[0]):
             out.add(folded(word[0]))
     return out
 
@@ -415,35 +485,44 @@ FACTS = "key bigint, token string, kind string, n bigint"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch the counts of words by kind ('c': capitalised within a sentence), and of each text, by key, the words it leaves open ('o')."""
+    """Of each batch the counts of words by kind; and of each text, by key, the words that it leaves open ('o') and its own answers ('k')."""
     for b in batches:
         total: Counter = Counter()
         rows = []
         for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            stops, lower = evidence(t)
+            stops, words = evidence(t)
             total.update(stops)
-            total.update({(w, "w"): n for w, n in lower.items()})
-            total.update((folded(w), "c") for w in CAPITAL.findall(t))
-            if asked := open_words(t, stops, lower):
-                rows.append((key, " ".join(asked), "o", 0))
+            total.update(words)
+            if asked := asked_words(t):
+                own = own_answers(stops, words, asked)
+                rows.append((key, " ".join(own), "k", 0))
+                held, bare = {x[1:] for x in own if x[0] in "AT"}, {x[1:] for x in own if x[0] in "UW"}
+                lower = {x[1:] for x in own if x[0] == "W"}
+                if left := {w for w in asked if (w in held) == (w in bare) or w not in lower}:
+                    rows.append((key, " ".join(left), "o", 0))
         rows += [(None, w, k, n) for (w, k), n in total.items()]
         kinds = pa.int64(), pa.string(), pa.string(), pa.int64()
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["key", "token", "kind", "n"])
 
 
-def corpus_verdicts(facts: DataFrame) -> DataFrame:
-    """(token, verdict) from the counts of all words: 'a' an abbreviation, 'c' a common word, 'p' a plain word of the lists.
+#: Verdict on a word from its counts. An abbreviation hardly stands without a stop and has one before a lower-case letter
+#: or number more often than elsewhere (of numbers the first does not count, as it may be the very stop in question); a
+#: title begins paragraphs with a stop; a plain word hardly has a stop; a common word stands more often in lower case
+#: than capitalised within a sentence; a word that mostly follows a number with a stop is counted by it, as a month.
+VERDICTS = {
+    "a": "a + greatest(d - 1, 0) > b + s AND (w + u) * 10 < a + d",
+    "t": "(s > 0 OR (z + 1) * 20 < b) AND (w + u) * 10 < a + b + d + s",
+    "p": "(a + b + d + s) * 10 < w AND listed",
+    "c": "w > c",
+    "o": "n * 2 > u + a + b + d + s + z",
+}
 
-    The rules compare counts of one word with each other, so they are the same for a corpus of any size. An abbreviation
-    has a stop before a lower-case letter or number more often than before anything else (of numbers the first does not
-    count, as it may be the very stop in question), and hardly stands without one; a plain word hardly stands with one;
-    a common word stands more often in lower case than capitalised within a sentence.
-    """
-    n = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in "abcdw"}
-    counts = facts.where("kind <> 'o'").groupBy("token").agg(*n.values())
-    abbr = F.expr("a + greatest(d - 1, 0) > b AND w * 10 < a + d")
-    plain = F.col("token").isin(*sorted(LEADING)) & F.expr("(a + b + d) * 10 < w")  # elsewhere it changes nothing
-    verdicts = F.array(F.when(abbr, "a"), F.when(F.expr("w > c"), "c"), F.when(plain, "p"))
+
+def corpus_verdicts(facts: DataFrame) -> DataFrame:
+    """(token, verdict) from the counts of all words, which compare counts of one word with each other and so are the same for a corpus of any size."""
+    n = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in "abdszwucn"}
+    counts = facts.where("kind NOT IN ('o', 'k')").groupBy("token").agg(*n.values()).withColumn("listed", F.col("token").isin(*sorted(LEADING)))
+    verdicts = F.array(*(F.when(F.expr(rule), v) for v, rule in VERDICTS.items()))
     return counts.select("token", F.explode(F.array_compact(verdicts)).alias("verdict"))
 
 
@@ -457,17 +536,20 @@ def sentence_units(documents: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("key", F.xxhash64("doc_id", "text"))
     facts = checkpoint(texts.select("key", "text").mapInArrow(_facts, FACTS))
     parts = max(1, facts.rdd.getNumPartitions())  # the splitting is spread as the texts came
-    asked = facts.where("kind = 'o'").select("key", F.explode(F.split("token", " ")).alias("token"))
+    word = F.explode(F.split("token", " ")).alias("token")
+    asked = facts.where("kind = 'o'").select("key", word).join(corpus_verdicts(facts), "token").select("key", F.concat("verdict", "token").alias("answer"))
+    own = facts.where("kind = 'k' AND token <> ''").select("key", word).withColumnRenamed("token", "answer")
     # equal keys share their answers, which are those of the words whatever text asks
-    answers = asked.join(corpus_verdicts(facts), "token").repartition(parts, "key").groupBy("key").agg(F.collect_set(F.concat("verdict", "token")).alias("answers"))
+    answers = asked.unionByName(own).repartition(parts, "key").groupBy("key").agg(F.collect_set("answer").alias("answers"))
     known = texts.repartition(parts, "key").join(answers, "key", "left").select("doc_id", "text", "answers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, ends = [], [], []
             for i, (t, given) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                splitter = Splitter(*(frozenset(x[1:] for x in given or () if x[0] == k) for k in "acp"))
-                for s, e in splitter.spans(t):
+                given = given or ()
+                splitter = Splitter(*(frozenset(x[1:] for x in given if x[0] == k) for k in "acpto"))
+                for s, e in splitter.spans(t, frozenset(given)):
                     ids.append(i)
                     starts.append(s)
                     ends.append(e)
