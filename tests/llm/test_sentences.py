@@ -130,6 +130,25 @@ def test_titles_and_months_from_evidence(monkeypatch):
     assert cut(s, "Then came Xr. Bell.") == ["Then came Xr.", "Bell."]
 
 
+def test_facts_of_a_batch():
+    """Counts of a batch and answers of its texts are those of the evidence of each text."""
+    import pyarrow as pa
+
+    texts = ["Dr. Bell saw the rope. No. 5 and no one, see no. 6.", "ﬁg. 7 É. Rell\n\nXr. Bell came e.g. late etc.", "ص. 47 وزن ص.", "K. K. K. rope", ""]
+    (out,) = S._facts(iter([pa.RecordBatch.from_pydict({"key": list(range(5)), "text": texts})]))
+    rows = out.to_pylist()
+    total = {}
+    for t in texts:
+        for c in S.evidence(t):
+            for k, n in c.items():
+                total[k] = total.get(k, 0) + n
+    assert {(r["token"], r["kind"]): r["n"] for r in rows if r["key"] is None} == total
+    for k, t in enumerate(texts):
+        asked = S.asked_words(t)
+        own = {x for r in rows if r["key"] == k and r["kind"] == "k" for x in r["token"].split()}
+        assert own == (S.own_answers(*S.evidence(t), asked) if asked else set())
+
+
 def test_switches(spark, data, monkeypatch):
     """What decides: without the lists of abbreviations hardly a unit changes; without them and the corpus, the document's own evidence still changes many."""
     larger = Path(data).parent / "sf0.01"  # a hundred documents say little of a corpus

@@ -55,29 +55,28 @@ THAI_ATTACHED = frozenset("ประมาณ ค่า ราว เกือ
 THAI_UNITS = ("เมตร", "กก.", "กม.", "ซม.", "ม.", "กิโล", "ใบ", "ตัว", "คน", "อัน", "ชิ้น", "ลูก", "เล่ม", "บาท", "นาที", "ชั่วโมง", "วัน", "เดือน", "ปี", "ครั้ง", "คัน", "แผ่น", "ขวด", "กล่อง", "ถัง", "ลิตร", "องศา", "เปอร์เซ็นต์", "น.", "หน่วย")
 
 _re = lru_cache(maxsize=None)(regex.compile)
-_ENDS = regex.escape(ENDERS)
+_ENDS = re.escape(ENDERS)
 _BREAK = r"(?:\r\n|[\n\r\v\x85  ])"
 PARAGRAPH = regex.compile(rf"{_BREAK}[^\S\n\r\v\x85  ]*(?:{_BREAK}[^\S\n\r\v\x85  ]*)+")
 EMOJI = r"(?:[\p{Emoji_Presentation}\p{Extended_Pictographic}][\p{Emoji_Modifier}️‍\p{Extended_Pictographic}]*)"
 AFTER = regex.compile(rf"(?:[^\S\n\r]*{EMOJI})*")
-MARK = regex.compile(rf"[.…．]+|[{_ENDS}][{_ENDS}.…]*")
-BOUND = regex.compile(r"[\s“”„«»‹›「」『』（）()\[\]【】\"。！？、，：；!?…，,;:—–]").match
+MARK = re.compile(rf"[.…．]+|[{_ENDS}][{_ENDS}.…]*")
+BOUND = re.compile(r"[\s“”„«»‹›「」『』（）()\[\]【】\"。！？、，：；!?…，,;:—–]").match
+QUOTES = re.compile(r"[“”„«»‹›「」『』《》〈〉()（）\[\]【】\"]")
+THAI_LETTER = re.compile("[\u0e01-\u0e5b]").search
 THAI_GAP = regex.compile(r"(?<=\S)\s+(?=\S)")
 LIST_NUMBER = regex.compile(r"(?:[(（]\d{1,3}[)）]|\d{1,3}[.)．])")
 LIST_START = regex.compile(r"(?:[(（]\p{Nd}{1,3}[)）]|\p{Nd}{1,3}[.)．])\s+\S")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNCASED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Devanagari}\p{Arabic}\p{Thai}]")
-#: A letter with its marks, by what it is not, which the faster engine knows.
-_T = r"[^\s\d!-/:-@\[-`{-~…“”„«»‹›「」『』《》〈〉（）【】。！？、，：；｡．—–।॥؟۔،؛’‘·¿¡]"
-BARE = re.compile(rf"(?<!{_T})(?<![.\d]){_T}++(?!\.)")
+#: Marks and white space around words, as the faster engine knows them, and a letter with its marks by what it is not.
+_AROUND = r"\s\d!-/:-@\[-`{-~…“”„«»‹›「」『』《》〈〉（）【】。！？、，：；｡．—–।॥؟۔،؛’‘·¿¡"
+_T = f"[^{_AROUND}]"
+AROUND = re.compile(f"[{_AROUND}]").match
+BARE = re.compile(rf"{_T}++")
 STOPPED = re.compile(rf"{_T}++(?:\.{_T}{{1,3}}(?!{_T}))*+")
-STOPS = re.compile(rf"(?<!{_T})(?<!\.)({STOPPED.pattern})\.(?=(\s*)(.?))", re.S)
-CAPITAL = re.compile(rf"[^\W\d_],? (?=({_T}++)(?!\.))")
-ORDINAL = re.compile(rf"\d\.[^\S\n]({_T}++)")
-
-
-#: A blank line right before a place.
-PARAGRAPH_BEFORE = re.compile(r"\n[^\S\n]*\n$")
+STOP = re.compile(r"\.(?=(\s*)(.?))", re.S)
+CAPITAL = re.compile(rf"[A-ZÀ-ÞĀ-ƏΑ-ΩА-Я]{_T}*+(?!\.)")
 #: A word and the first letter of another.
 GOES_ON = re.compile(rf"{_T}++[^\S\n]([^\W\d_])")
 
@@ -87,44 +86,81 @@ def folded(word: str) -> str:
     return normalize("NFC", word.lower())
 
 
-def evidence(text: str) -> tuple[Counter, Counter]:
-    """Words with a stop by kind, and words without one by kind.
+def _token(text: str, e: int) -> int:
+    """Where the word before a stop begins; stops within it stand before at most three letters, as in e.g."""
+    i = part = e
+    while i > 0:
+        if not AROUND(text[i - 1]):
+            i -= 1
+        elif text[i - 1] == "." and i < part and part - i <= 3 and i > 1 and not AROUND(text[i - 2]):
+            i -= 1
+            part = i
+        else:
+            break
+    return i
 
-    With a stop: 'z' at the end of a paragraph, 'a' before a lower-case letter or comma, 'd' before a number, 's' at the
-    beginning of a paragraph whose sentence goes on after the next word, 'b' elsewhere. Without: 'w' in lower case, 'u' in another, of these 'c' within a sentence,
-    and 'n' after a number with a stop.
-    """
+
+def _scan(text: str) -> tuple[Counter, Counter, Counter]:
+    """Words with a stop by kind, words without one as they are written, and capitalised words by their place."""
     if not is_normalized("NFC", text):
         text = normalize("NFC", text)
     stops: Counter = Counter()
-    if "." in text:
-        for m in STOPS.finditer(text):
-            token, gap, nxt = m.groups()
-            if not gap and nxt not in ",)" and not nxt.isdigit():
-                continue  # within a word
-            i = m.start() - 1
-            while i >= 0 and text[i] in " “\"«„(":
-                i -= 1
-            if not nxt or gap.count("\n") > 1:
-                kind = "z"
-            elif nxt.islower() or nxt in ",;":
-                kind = "a"
-            elif nxt.isdigit():
-                kind = "d"
-            else:
+    dotted: Counter = Counter()  # parts of words with a stop
+    for m in STOP.finditer(text) if "." in text else ():
+        gap, nxt = m.groups()
+        e = m.start()
+        if not gap and nxt and nxt not in ",)" and not nxt.isdigit():
+            continue  # within a word
+        i = _token(text, e)
+        if i == e or (i and text[i - 1] == "."):
+            continue
+        token = text[i:e]
+        dotted.update(token.split("."))
+        if not nxt or gap.count("\n") > 1:
+            kind = "z"
+        elif nxt.islower() or nxt in ",;":
+            kind = "a"
+        elif nxt.isdigit():
+            kind = "d"
+        else:
+            kind = "b"
+            k = i - 1
+            while k >= 0 and text[k] in " “\"«„(":
+                k -= 1
+            if k < 0 or (text[k] == "\n" and text[:k].rstrip(" \t\r")[-1:] in ("\n", "")):
                 goes = GOES_ON.match(text, m.end() + len(gap))
-                kind = "s" if goes and not goes[1].isupper() and (i < 0 or PARAGRAPH_BEFORE.search(text, 0, i + 1)) else "b"
-            stops[token.lower(), kind] += 1
+                kind = "s" if goes and not goes[1].isupper() else "b"
+        stops[token.lower(), kind] += 1
+    bare = Counter(BARE.findall(text))
+    bare.subtract(dotted)
+    places: Counter = Counter()
+    for m in CAPITAL.finditer(text):
+        i = m.start()
+        if i > 1 and text[i - 1].isspace():
+            if text[i - 2].isalpha() or text[i - 2] == ",":
+                places[m[0].lower(), "c"] += 1
+            elif text[i - 2] == "." and text[i - 3 : i - 2].isdigit():
+                places[m[0].lower(), "n"] += 1
+    return stops, bare, places
+
+
+def _by_case(bare: Counter) -> Counter:
     words: Counter = Counter()
-    for w in BARE.findall(text):
-        words[(w, "w") if w.islower() else (w.lower(), "u")] += 1
-    for w in CAPITAL.findall(text):
-        if not w.islower():
-            words[w.lower(), "c"] += 1
-    if "." in text:
-        for w in ORDINAL.findall(text):
-            words[w.lower(), "n"] += 1
-    return stops, words
+    for w, n in bare.items():
+        if n > 0:
+            words[(w, "w") if w.islower() else (w.lower(), "u")] += n
+    return words
+
+
+def evidence(text: str) -> tuple[Counter, Counter]:
+    """Words with a stop by kind, and words without one by kind.
+
+    With a stop: 'z' at the end of a paragraph, 'a' before a lower-case letter or comma, 'd' before a number, 's' at the
+    beginning of a paragraph whose sentence goes on after the next word, 'b' elsewhere. Without: 'w' in lower case, 'u'
+    in another; of words with a capital, 'c' those within a sentence and 'n' those after a number with a stop.
+    """
+    stops, bare, places = _scan(text)
+    return stops, _by_case(bare) + places
 
 
 def own_answers(stops: Counter, words: Counter, asked: Iterable[str] | None = None) -> set[str]:
@@ -158,7 +194,7 @@ class Splitter:
         stack: list[tuple[int, str]] = []
         waits: Counter = Counter()  # marks that would close something
         found: list[tuple[int, int, str]] = []
-        for m in _re(r"[“”„«»‹›「」『』《》〈〉()（）\[\]【】\"]").finditer(text, pos=a, endpos=b):
+        for m in QUOTES.finditer(text, a, b):
             i, c = m.start(), m[0]
             hit = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS[stack[k][1]]), None) if waits[c] else None
             if hit is not None:
@@ -188,7 +224,7 @@ class Splitter:
         while start < b and text[start].isspace():
             start += 1
         k = 0
-        thai = _re(r"\p{Thai}").search(text, pos=a, endpos=b) is not None
+        thai = THAI_LETTER(text, a, b) is not None
         self.thai = -1
         events: list[tuple[int, int, str]] = []
         for m in MARK.finditer(text, a, b):
@@ -231,6 +267,8 @@ class Splitter:
     @staticmethod
     def _tail(text: str, e: int, b: int) -> int:
         """End of what belongs to a sentence after its mark: closing marks that no mark opened, and emoji."""
+        if e < b and text[e] == " " and (e + 1 == b or text[e + 1] < "\xa9"):
+            return e  # what nearly always follows
         while e < b and text[e] in CLOSERS and not (text[e] in "\"“'’" and e + 1 < b and not text[e + 1].isspace()):
             e += 1
         return AFTER.match(text, e, b).end()
@@ -415,7 +453,7 @@ class Splitter:
         if LIST_NUMBER.fullmatch(text, start, s):
             return False
         if self.thai < start:  # the first Thai letter of the unit, looked up once
-            found = _re(r"\p{Thai}").search(text, start)
+            found = THAI_LETTER(text, start)
             self.thai = found.start() if found else len(text)
         if self.thai >= s and not _re(r"\p{Thai}").match(nxt):
             return False
@@ -469,14 +507,17 @@ def asked_words(text: str) -> set[str]:
             token = text[i:s]
             if not token or not (token[-1].isalnum() or UNCASED.match(token[-1])):
                 continue
+            if token.isascii() and token.isalpha():
+                out.add(token.lower())
             # a sentence may begin within it, after a mark without a space
-            for k in range(len(token)):
-                if (k == 0 or not token[k - 1].isalpha()) and STOPPED.fullmatch(token, k):
-                    out.add(folded(token[k:]))
-            if (latin := _re(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$").search(token)) is not None:
+            else:
+                for k in range(len(token)):
+                    if (k == 0 or not token[k - 1].isalpha()) and STOPPED.fullmatch(token, k):
+                        out.add(folded(token[k:]))
+            if not token.isascii() and (latin := _re(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])[\p{Latin}.]+$").search(token)) is not None:
                 out.add(folded(latin[0]))
         word = WORD.match(text, rest)
-        if word and not UNCASED.match(word[0]):
+        if word and (word[0].isascii() or not UNCASED.match(word[0])):
             out.add(folded(word[0]))
     return out
 
@@ -488,19 +529,24 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each batch the counts of words by kind; and of each text, by key, the words that it leaves open ('o') and its own answers ('k')."""
     for b in batches:
         total: Counter = Counter()
+        plain: Counter = Counter()
         rows = []
         for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            stops, words = evidence(t)
+            stops, bare, places = _scan(t)
             total.update(stops)
-            total.update(words)
+            total.update(places)
+            plain.update(bare)
             if asked := asked_words(t):
+                words = {(w, "w") for w in asked if bare[w] > 0 and w.islower()}
+                if rest := asked - {w for w, _ in words}:
+                    words |= {(w, "u") for w in rest.intersection(w.lower() for w, n in bare.items() if n > 0)}
                 own = own_answers(stops, words, asked)
                 rows.append((key, " ".join(own), "k", 0))
                 held, bare = {x[1:] for x in own if x[0] in "AT"}, {x[1:] for x in own if x[0] in "UW"}
                 lower = {x[1:] for x in own if x[0] == "W"}
                 if left := {w for w in asked if (w in held) == (w in bare) or w not in lower}:
                     rows.append((key, " ".join(left), "o", 0))
-        rows += [(None, w, k, n) for (w, k), n in total.items()]
+        rows += [(None, w, k, n) for (w, k), n in (total + _by_case(plain)).items()]
         kinds = pa.int64(), pa.string(), pa.string(), pa.int64()
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["key", "token", "kind", "n"])
 
