@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wordstream.config import Timing, Windows
 from wordstream.functions import payload
-from wordstream.operators import audits, epochs, geometry, playback, state, timing, triggers
+from wordstream.operators import audits, epochs, geometry, state, timing, triggers
 from wordstream.sources import stream as wire
 from wordstream.sources import synthetic
 
@@ -168,17 +168,110 @@ def test_matching_brute_force(spark):
     assert sorted((r.lo, r.hi, r.n) for r in merged.collect()) == [(-100, 6100, 2), (8900, 12000, 1), (12001, 15101, 1)]
 
 
-def test_playback(spark):
-    cfg = Timing(delay=0.2)
-    fronts = [1.0, 1.1, 1.3, 1.3, 1.35, 1.35, 1.8, 2.5, 2.6]
-    nows = [0.0, 0.1, 0.2, 0.3, 0.4, 0.8, 1.0, 1.1, 2.0]
-    steps = spark.createDataFrame([(1, k, n, round(f * R), R) for k, (n, f) in enumerate(zip(nows, fronts))], "iog int, step bigint, now double, frontier_tick bigint, initial_tick bigint")
-    got = [(None if r.cursor_tick is None else r.cursor_tick / R, r.running, r.stalls, r.underruns) for r in playback.playback(steps, cfg).orderBy("step").collect()]
-    assert got == [(None, False, 0, 0), (None, False, 0, 0), (1.0, True, 0, 0), (1.1, True, 0, 0), (1.2, True, 0, 0), (1.35, False, 0, 1), (1.35, True, 0, 1), (1.45, True, 0, 1), (1.45, True, 1, 1)]
+def router_oracle(obs, triggers, targets):
+    """Targets of each trigger by a machine that walks all events in time: (second, iog, tick, usable) and (second, source, tick)."""
+    from wordstream.operators.epochs import FRESH
+
+    state, out, lost = {}, [], []
+    events = sorted([(o[0], 0, o) for o in obs] + [(t[0], 1, t) for t in triggers], key=lambda e: (e[0], e[1]))
+    for now, kind, e in events:
+        for i, s in state.items():
+            if s["status"] == "aligned" and now - s["fresh"] > FRESH:
+                s["status"], s["conf"] = "stale", 0
+                lost.append(s["fresh"] + 3)
+        if kind == 0:
+            second, iog, tick, usable = e
+            s = state.setdefault(iog, {"status": "warming", "fresh": None, "conf": 0, "cand": None, "pin": None, "last": None})
+            good = usable and (s["last"] is None or (tick > s["last"][0] and second > s["last"][1]))
+            if usable:
+                s["last"] = (tick, second)
+            c = second * R - tick
+            if not good or (s["pin"] is not None and c != s["pin"]):
+                if s["status"] == "aligned":
+                    lost.append(now)
+                s["status"], s["conf"] = "suspect", 0
+                if good:
+                    s["fresh"], s["cand"] = second, c
+                continue
+            if s["fresh"] is not None and second - s["fresh"] > FRESH:
+                s["conf"] = 0
+            s["fresh"] = second
+            s["conf"] = s["conf"] + 1 if c == s["cand"] else 1
+            s["cand"] = c
+            s["status"] = "aligned" if s["conf"] >= 2 else "warming"
+            if s["conf"] >= 2:
+                s["pin"] = c
+        else:
+            second, source, tick = e
+            ready = {i: s["pin"] for i, s in state.items() if s["status"] == "aligned" and 0 <= second - s["fresh"] <= FRESH}
+            if source in ready:
+                out += [(source, second, i, tick + ready[source] - ready[i]) for i in targets if i in ready and tick + ready[source] - ready[i] >= 0]
+    return sorted(out), sorted(lost)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_at_the_time_of_the_trigger(spark, seed):
+    """A target that is stale, suspect or not yet aligned when a trigger comes gets no window, also if it was or will be aligned; revocations come at the same times."""
+    rng = random.Random(seed)
+    base, obs, trig = 1_790_000_000, [], []
+    for iog in (1, 5, 6):
+        second, tick = base + iog % 3, 0
+        for _ in range(70):
+            step = rng.choice([1, 1, 1, 1, 1, 1, 1, 2, 4])
+            second, tick = second + step, tick + step * R
+            if rng.random() < 0.06:
+                tick += R  # a changed offset
+                obs.append((second, iog, tick, True))
+                tick -= R
+                second += 1
+                tick += R
+            obs.append((second, iog, tick, True))
+    for _ in range(150):
+        source = rng.choice([5, 6])
+        second = base + rng.randrange(90)
+        trig.append((second, source, (second - base) * R + rng.randrange(R)))
+    want, lost = router_oracle(obs, trig, (1, 5, 6))
+    o = spark.createDataFrame([(i, 10 * s, 0, t, s, u) for s, i, t, u in obs], "iog int, seq bigint, word_idx int, tick bigint, second bigint, usable boolean")
+    a = epochs.align(o)
+    t = spark.createDataFrame([(i, 10 * s + 5, k, 0, t, s) for k, (s, i, t) in enumerate(trig)], "iog int, seq bigint, word_idx int, subtype int, tick bigint, second bigint")
+    config = spark.createDataFrame([(i, i != 4, 2.5, 120.5, 2.0, []) for i in (1, 4, 5, 6)], "iog int, trigger_view boolean, pre_us double, post_us double, history_seconds double, trigger_types array<int>")
+    r = triggers.route(epochs.qualified(t, a), epochs.target_offsets(a), config).where("tick >= 0").cache()
+    assert sorted((x.source_iog, x.second, x.iog, x.tick) for x in r.collect()) == want and len(want) > 50
+    assert {(x.pre, x.post, x.history) for x in r.collect()} == {(25, 1205, 2 * R)}
+    revoked = epochs.revocations(a).collect()
+    lost = [x for x in lost if x <= max(o[0] for o in obs)]  # later ones are seen by triggers only
+    assert sorted(x.time for x in revoked) == lost and len(lost) > 3
+    g = {x.second: (x.since, x.until) for x in epochs.generations(t.select("second").distinct(), epochs.revocations(a)).collect()}
+    for s, _, _ in trig:
+        assert g[s] == (max([x for x in lost if x <= s], default=-1), min([x for x in lost if x > s], default=1 << 62))
+
+
+def test_hits_of_another_generation_or_beyond_the_history(spark):
+    windows = spark.createDataFrame([(1, "beam", 100, 200, 0, 3 * R, 2 * R, 10, 1 << 62), (1, "light", 100, 150, 0, 3 * R, 2 * R, -1, 1 << 62)], "iog int, source string, lo bigint, hi bigint, n int, theirs bigint, history bigint, since bigint, until bigint")
+    at = lambda seq, tick, second: (1, seq, 0, 7, tick, second * R - 3 * R)
+    hits = spark.createDataFrame([at(1, 120, 9), at(2, 120, 4), at(3, 150, 3), at(4, 199, 5)], "iog int, seq bigint, word_idx int, pixel_id int, tick bigint, receipt_tick bigint")
+    got = sorted((r.seq, r.source) for r in triggers.match_generations(hits, windows, 1000).collect())
+    assert got == [(2, "light")]  # the first is later than the history, 3 and 4 outside of light's window, all before beam's generation
+    early = windows.withColumn("since", F.lit(3)).withColumn("until", F.lit(5))
+    assert sorted((r.seq, r.source) for r in triggers.match_generations(hits, early, 1000).collect()) == [(2, "beam"), (2, "light"), (3, "beam")]
+    old = spark.createDataFrame([(10 * R, 1500, 20, 0, 9 * R), (10 * R, 1500, 12, 0, 9 * R)], "tick bigint, post bigint, second bigint, theirs bigint, history bigint")
+    assert [r.second for r in triggers.in_history(old).collect()] == [12]
+
+
+def test_frontier_ahead_revokes(spark):
+    """A hit whose receipt runs more than 2.5 s ahead of the last sync takes the alignment away until two more syncs."""
+    base = 1_790_000_000
+    rows = [(1, k, 0, "S", 83, base + k, None, R, None) for k in range(3)] + [(1, 2, 1, "D", 1, base + 2, 26_000_000, None, 5), (1, 2, 2, "T", 0, base + 2, None, 9, None), (1, 3, 0, "S", 83, base + 3, None, R, None), (1, 4, 0, "S", 83, base + 4, None, R, None)]
+    w = spark.createDataFrame(rows, "iog int, seq bigint, word_idx int, kind string, io int, header_second bigint, receipt bigint, aux bigint, raw bigint")
+    a = epochs.align(epochs.pps_observations(w)).orderBy("seq", "word_idx").collect()
+    assert [(r.ahead, r.status) for r in a] == [(False, "warming"), (False, "aligned"), (False, "aligned"), (True, "suspect"), (False, "warming"), (False, "aligned")]
+    lost = epochs.revocations(epochs.align(epochs.pps_observations(w))).collect()
+    assert [(r.seq, r.word_idx, r.time, r.paused) for r in lost] == [(2, 1, base + 2, False)]
 
 
 def test_geometry(spark):
-    px = geometry.number_pixels(geometry.demo_pixels(spark, iogs=2, chips=2))
+    places = [(i, t, c, ch, ((c - 11) * 8 + ch % 8) * 3.8, (ch // 8) * 3.8, 3.8) for i in (1, 2) for t in range(1, 9) for c in (11, 12) for ch in range(64)]
+    px = geometry.number_pixels(spark.createDataFrame(places, "iog int, tile int, chip int, channel int, x double, y double, pitch double"))
     assert px.count() == 2 * 8 * 2 * 64 and px.agg(F.max("pixel_id"), F.count_distinct("pixel_id")).first() == (2047, 2048)
     at = geometry.address_table(px)
     hits = spark.createDataFrame([(1, 1, 11, 0), (1, 4, 11, 0), (1, 5, 11, 0), (1, 33, 11, 0), (2, 32, 12, 63), (None, 1, 11, 0)], "iog int, io_channel int, chip int, channel int")
@@ -188,7 +281,10 @@ def test_geometry(spark):
     assert {r.problem for r in geometry.geometry_errors(twice).collect()} >= {"overlap"}
     e = geometry.tile_extents(px).where("iog = 1 AND tile = 1").first()
     assert (e.n_pixels, e.width, e.height) == (128, 16, 8)
-    assert synthetic.demo_track(px, 1, 1).count() > 0 and synthetic.demo_hits(spark, px, 50).count() == 50
+    double = px.withColumns({c: F.col(c) * 2 for c in ("x", "y", "pitch")})
+    assert geometry.tile_extents(double).where("iog = 1 AND tile = 1").first().width == 16
+    whole, twice = (geometry.geometry_identity(x).first() for x in (px, px.unionByName(px.limit(1)).unionByName(px.limit(1))))
+    assert whole.geometry_id == geometry.geometry_identity(px.orderBy(F.desc("pixel_id"))).first().geometry_id != twice.geometry_id
 
 
 def test_histogram_bins(spark):

@@ -40,3 +40,26 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], inclusive: boo
 
     out = joined.withColumns({n: value(n, k) for n, (k, _) in values.items()})
     return out.drop("__block", "__b", "__key", *src.values(), *(f"__carry_{n}" for n in names))
+
+
+def as_of(rows: DataFrame, marks: DataFrame, block: int = BLOCK, key: str = "iog", distinct: bool = False) -> DataFrame:
+    """Rows with ``seen``: the last ``value`` of marks (key, seq, word_idx, value) strictly before each, null without one.
+
+    Marks are rare against rows. The rows are shuffled once, by key and block of arrival, together with the marks of the
+    block and the last mark before it. Rows without key or seq are left out; ``distinct`` drops repeated ones on the way.
+    """
+    at = div(F.col("seq").cast("bigint"), block)
+    rows = rows.where(F.col(key).isNotNull() & F.col("seq").isNotNull()).withColumn("__block", at)
+    marks = marks.select(key, "seq", "word_idx", F.struct("value").alias("__mark"))
+    ends = rows.groupBy(key).agg(F.max("__block").alias("top"))
+    # the last mark of each block is what later blocks start from, up to the block of the next one
+    last = marks.groupBy(key, at.alias("b")).agg(F.max_by("__mark", F.struct("seq", "word_idx")).alias("__mark"))
+    nxt = last.join(ends, key).withColumn("upto", F.coalesce(F.lead("b").over(Window.partitionBy(key).orderBy("b")), F.col("top")))
+    carried = nxt.where("upto > b").select(key, F.explode(F.sequence(F.col("b") + 1, F.col("upto"))).alias("__block"), "__mark")
+    known = carried.select(key, "__block", (F.col("__block") * block - 1).alias("seq"), F.lit(-(1 << 31)).alias("word_idx"), "__mark")
+    known = known.unionByName(marks.select(key, at.alias("__block"), "seq", "word_idx", "__mark"))
+    left = rows.repartition(key, "__block")
+    both = (left.dropDuplicates() if distinct else left).unionByName(known.repartition(key, "__block"), allowMissingColumns=True)
+    before = Window.partitionBy(key, "__block").orderBy("seq", "word_idx", F.col("__mark").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("__last", F.last("__mark", ignorenulls=True).over(before)).where("__mark IS NULL")
+    return out.withColumn("seen", F.col("__last")["value"]).drop("__last", "__mark", "__block")

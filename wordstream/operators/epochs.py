@@ -6,29 +6,33 @@ sequence is expressed with running values in blocks instead of a fold over a who
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Timing
-from ..functions.prefix import running
+from ..functions.prefix import as_of, running
 from ..session import checkpoint
-from .timing import sync_steps, with_epochs
+from .timing import sync_epochs, unroll
 
 #: Seconds after which an alignment without observations is stale; a fixed value.
 FRESH = 2.5
+#: First whole second at which it is.
+STALE = 3
 
 
 def pps_observations(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None = None) -> DataFrame:
     """Selected S words as observations: tick after the word, header second, and whether each is usable at all.
 
-    A word is unusable if its step is implausible, it has no positive second, or its frame holds another one.
+    A word is unusable if its step is implausible, it has no positive second, or its frame holds another one. The first
+    hit of an epoch that runs more than FRESH seconds ahead of the last sync is an unusable observation too (``ahead``).
     """
-    s = with_epochs(stream.where(F.col("io") == cfg.sync_type), cfg, "S", epochs)
-    s = sync_steps(s, cfg)
-    many = F.count(F.lit(1)).over(Window.partitionBy("iog", "seq")) > 1
-    tick = F.col("offset") + F.col("step")
-    usable = F.coalesce(tick.isNotNull() & ~many & (F.col("header_second") > 0) & (tick % cfg.period == 0), F.lit(False))
-    return s.select("iog", "seq", "word_idx", tick.alias("tick"), F.col("header_second").alias("second"), usable.alias("usable"))
+    epochs = sync_epochs(stream, cfg) if epochs is None else epochs
+    usable = F.coalesce(F.col("step").isNotNull() & F.col("alone") & (F.col("second") > 0), F.lit(False))
+    words = epochs.select("iog", "seq", "word_idx", F.when(F.col("step").isNotNull(), F.col("after")).alias("tick"), "second", usable.alias("usable"), F.lit(False).alias("ahead"))
+    far = stream.where((F.col("kind") == "D") & (F.col("receipt") > int(FRESH * cfg.period)))
+    first = unroll(far, cfg, epochs).where("valid").groupBy("iog", "offset").agg(F.min_by(F.struct("seq", "word_idx", "header_second"), F.struct("seq", "word_idx")).alias("f"))
+    hits = first.select("iog", "f.seq", "f.word_idx", F.lit(None).cast("bigint").alias("tick"), F.col("f.header_second").alias("second"), F.lit(False).alias("usable"), F.lit(True).alias("ahead"))
+    return checkpoint(words.unionByName(hits))  # one row a sync word; running values read it several times
 
 
 def align(observations: DataFrame, now: Column | None = None, cfg: Timing = Timing()) -> DataFrame:
@@ -40,16 +44,16 @@ def align(observations: DataFrame, now: Column | None = None, cfg: Timing = Timi
     offset. Any other observation revokes.
     """
     at = F.coalesce(now if now is not None else F.col("second").cast("double"), F.lit(0.0))
-    o = observations.withColumn("now", at).withColumn("candidate", F.when(F.col("usable"), F.col("second") * cfg.period - F.col("tick")))
-    o = checkpoint(o)  # one row a sync word; each running value reads its input twice
+    o = observations if "ahead" in observations.columns else observations.withColumn("ahead", F.lit(False))
+    o = o.withColumn("now", at).withColumn("candidate", F.when(F.col("usable"), F.col("second") * cfg.period - F.col("tick")))
     label = F.when(F.col("usable"), F.struct("tick", "second"))
     o = running(o, {"last": ("last", label)})
     ordered = F.col("usable") & (F.col("last").isNull() | ((F.col("tick") > F.col("last")["tick"]) & (F.col("second") > F.col("last")["second"])))
-    o = checkpoint(o.withColumn("ordered", ordered))
+    o = o.withColumn("ordered", ordered).drop("last")
     # the observation before, whatever it was, and the last one that refreshed the clock
     o = running(o, {"before": ("last", F.struct("ordered", "candidate")), "fresh": ("last", F.when(F.col("ordered"), F.col("now"))), "stored": ("last", F.when(F.col("ordered"), F.col("candidate")))})
     follows = F.col("ordered") & F.coalesce(F.col("before")["ordered"] & (F.col("before")["candidate"] == F.col("candidate")), F.lit(False)) & F.coalesce(F.col("now") - F.col("fresh") <= FRESH, F.lit(False))
-    o = checkpoint(o.withColumn("follows", follows))
+    o = checkpoint(o.withColumn("follows", follows))  # one row a sync word
     first = F.min_by("candidate", F.struct("seq", "word_idx"))
     pinned = o.where("follows").groupBy("iog").agg(first.alias("pinned"), F.min(F.struct("seq", "word_idx")).alias("since"))
     o = o.join(pinned, "iog", "left")
@@ -61,45 +65,65 @@ def align(observations: DataFrame, now: Column | None = None, cfg: Timing = Timi
     # a change of the candidate counts as inconsistent, also where the new one may be confirmed
     changed = F.col("usable") & (~fits | F.coalesce(F.col("stored") != F.col("candidate"), F.lit(False)))
     fresh = F.when(F.col("ordered"), F.col("now")).otherwise(F.col("fresh"))
-    return o.select("iog", "seq", "word_idx", "tick", "second", "now", fresh.alias("fresh_at"), "candidate", "usable", fits.alias("consistent"), changed.alias("inconsistent"), status.alias("status"), F.when(aligned, F.col("pinned")).alias("offset_ticks"))
+    # one that refreshes the clock arrives in its second; another is taken to come a second after the last that did
+    arrived = F.when(F.col("ordered"), F.col("now")).when(F.col("ahead"), F.when(F.col("now") > 0, F.col("now")).otherwise(F.col("fresh") + STALE)).otherwise(F.col("fresh") + 1)
+    return o.select(
+        "iog", "seq", "word_idx", "tick", "second", "now", "ahead", F.col("fresh").alias("fresh_before"), fresh.alias("fresh_at"), arrived.cast("bigint").alias("arrived"), "candidate", "usable", fits.alias("consistent"), changed.alias("inconsistent"), status.alias("status"),
+        F.when(aligned, F.col("pinned")).alias("offset_ticks"),
+    )
 
 
 def alignment_counters(aligned: DataFrame) -> DataFrame:
-    """Of each iog: observations, consistent, inconsistent and invalid ones, pinned offset, last status."""
+    """Of each iog: observations, consistent, inconsistent and invalid ones, hits ahead of the syncs, pinned offset, last status."""
     last = F.max_by("status", F.struct("seq", "word_idx"))
-    return aligned.groupBy("iog").agg(F.count(F.lit(1)).alias("observations"), F.count_if("consistent").alias("consistent"), F.count_if("inconsistent").alias("inconsistent"), F.count_if(~F.col("usable")).alias("invalid"), F.max("offset_ticks").alias("offset_ticks"), last.alias("last_status"))
+    return aligned.groupBy("iog").agg(F.count_if(~F.col("ahead")).alias("observations"), F.count_if("consistent").alias("consistent"), F.count_if("inconsistent").alias("inconsistent"), F.count_if(~F.col("usable") & ~F.col("ahead")).alias("invalid"), F.count_if("ahead").alias("ahead"), F.max("offset_ticks").alias("offset_ticks"), last.alias("last_status"))
 
 
-def qualified(triggers: DataFrame, aligned: DataFrame, seconds: DataFrame) -> DataFrame:
-    """Triggers with the offset of their own source at their place in the stream, null unless aligned and fresh.
+def qualified(triggers: DataFrame, aligned: DataFrame) -> DataFrame:
+    """Triggers (with ``second``, that of their frame) with ``own``, the offset of their own source at their place in the stream; null unless aligned and fresh."""
+    marks = aligned.select("iog", "seq", "word_idx", F.struct("offset_ticks", "fresh_at").alias("value"))
+    age = F.col("second").cast("double") - F.col("seen")["fresh_at"]
+    return as_of(triggers, marks).withColumn("own", F.when(age.between(0, FRESH), F.col("seen")["offset_ticks"])).drop("seen")
 
-    seconds: (iog, seq, word_idx, header_second) of the triggers' words, the time at which they were seen.
-    """
-    t = triggers.join(seconds.select("iog", "seq", "word_idx", "header_second"), ["iog", "seq", "word_idx"])
-    o = aligned.select("iog", "seq", "word_idx", F.struct("offset_ticks", "fresh_at").alias("seen"))
-    both = t.withColumn("seen", F.lit(None).cast(o.schema["seen"].dataType)).unionByName(o, allowMissingColumns=True)
-    r = running(both, {"state": ("last", F.col("seen"))}).where("seen IS NULL").drop("seen")
-    age = F.col("header_second").cast("double") - F.col("state")["fresh_at"]
-    return r.withColumn("offset_at_word", F.when(age.between(0, FRESH), F.col("state")["offset_ticks"])).drop("state")
+
+def target_offsets(aligned: DataFrame) -> DataFrame:
+    """(iog, second, theirs): offset of each source in each second in which it is aligned and fresh, by its last observation up to then."""
+    last = aligned.where("arrived IS NOT NULL").groupBy("iog", "arrived").agg(F.max_by(F.struct("status", "offset_ticks", "fresh_at"), F.struct("seq", "word_idx")).alias("state"))
+    # beyond FRESH seconds none is fresh
+    each = last.select("iog", F.explode(F.sequence(F.col("arrived"), F.col("arrived") + STALE - 1)).alias("second"), "arrived", "state")
+    state = each.groupBy("iog", "second").agg(F.max_by("state", "arrived").alias("s")).select("iog", "second", "s.*")
+    return state.where((F.col("status") == "aligned") & (F.col("second") - F.col("fresh_at")).between(0, FRESH)).select("iog", "second", F.col("offset_ticks").alias("theirs"))
 
 
 def revocations(aligned: DataFrame) -> DataFrame:
-    """Observations that took a usable alignment away, with the generation that begins there.
+    """Observations that took a usable alignment away: (iog, seq, word_idx, time, status, paused); without a word where none came any more.
 
-    The generation counts revocations of all sources in the order in which they were observed; one row each.
+    time: the second of the revocation, which is when the alignment went stale (``paused``) or the observation arrived.
     """
     before = running(aligned, {"was": ("last", F.col("status"))})
-    lost = before.where("was = 'aligned' AND status <> 'aligned'").select("iog", "seq", "word_idx", "now", "status")
-    return lost.withColumn("generation", F.row_number().over(Window.orderBy("now", "iog", "seq", "word_idx")))  # rare events, not rows of data
+    stale = (F.col("fresh_before") + STALE).cast("bigint")
+    lost = before.where("was = 'aligned' AND status <> 'aligned'")
+    seen = lost.select("iog", "seq", "word_idx", F.least("arrived", stale).alias("time"), "status", (F.col("arrived") >= stale).alias("paused"))
+    # a source without further observations goes stale while others go on
+    ends = aligned.groupBy("iog").agg(F.max_by(F.struct("status", "fresh_at"), F.struct("seq", "word_idx")).alias("l"))
+    top = aligned.agg(F.max("arrived")).scalar()
+    late = ends.where("l.status = 'aligned'").select("iog", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("int").alias("word_idx"), (F.col("l.fresh_at") + STALE).cast("bigint").alias("time"), F.lit("stale").alias("status"), F.lit(True).alias("paused"))
+    return seen.unionByName(late.where(F.col("time") <= top))
+
+
+def generations(seconds: DataFrame, revoked: DataFrame) -> DataFrame:
+    """(second, since, until): for each second the last revocation of any source up to it and the first after it; -1 and 2^62 without one."""
+    times = revoked.select(F.col("time").alias("second"), F.lit(1).alias("rev"))
+    points = seconds.select(F.col("second").cast("bigint").alias("second"), F.lit(0).alias("rev")).unionByName(times).groupBy("second").agg(F.max("rev").alias("rev"))
+    rows = points.select(F.lit(0).alias("all"), F.col("second").alias("seq"), F.lit(0).alias("word_idx"), "rev")
+    g = running(rows, {"gen": ("sum", F.col("rev"))}, inclusive=True, key="all").select(F.col("seq").alias("second"), "rev", "gen")
+    starts = g.where("rev = 1").select("gen", F.col("second").alias("since"))
+    ends = starts.select((F.col("gen") - 1).alias("gen"), F.col("since").alias("until"))
+    out = g.join(starts, "gen", "left").join(ends, "gen", "left")
+    return out.select("second", F.coalesce("since", F.lit(-1)).alias("since"), F.coalesce("until", F.lit(1 << 62)).alias("until"))
 
 
 def since_last_revocation(rows: DataFrame, revoked: DataFrame, seen: Column) -> DataFrame:
     """Rows of the current generation: seen after the last revocation of any source, all of them if there was none."""
-    last = revoked.agg(F.max("now").alias("last")).scalar()
+    last = revoked.agg(F.max("time").alias("last")).scalar()
     return rows.where(F.coalesce(seen > last, F.lit(True)))
-
-
-def qualified_sources(aligned: DataFrame, now: Column) -> DataFrame:
-    """Sources whose last observation left them aligned and fresh at ``now``."""
-    last = aligned.groupBy("iog").agg(F.max_by(F.struct("status", "fresh_at", "offset_ticks"), F.struct("seq", "word_idx")).alias("l")).select("iog", "l.*")
-    return last.where((F.col("status") == "aligned") & (now - F.col("fresh_at")).between(0, FRESH)).select("iog", "offset_ticks")

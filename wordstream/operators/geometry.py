@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ADDRESS = ("iog", "io_channel", "chip", "channel")
-#: Largest table of addresses that is sent to every executor; 8 sources x 32 links x 256 chips x 64 channels cannot exceed it.
-MOST_ADDRESSES = 8 * 32 * 256 * 64
 
 
 def tile_of(io_channel: Column) -> Column:
@@ -36,16 +34,6 @@ def raw_veto(mapped: DataFrame, min_raw: int = 10) -> DataFrame:
     return mapped.where(F.col("pixel_id").isNotNull() & (F.col("timestamp") >= min_raw))
 
 
-def demo_pixels(spark: SparkSession, iogs: int = 8, chips: int = 100, pitch: float = 3.8) -> DataFrame:
-    """Synthetic geometry in closed form: (iog, tile, chip, channel, x, y) of every pixel."""
-    n = spark.range(iogs * 8 * chips * 64)
-    i = F.col("id")
-    c, ch = F.call_function("div", i, F.lit(64).cast("bigint")) % chips, i % 64
-    tile = F.call_function("div", i, F.lit(64 * chips).cast("bigint")) % 8
-    col, row = (c % 10) * 8 + ch % 8, F.floor(c / 10) * 8 + F.floor(ch / 8)
-    return n.select((F.floor(i / (64 * chips * 8)) + 1).cast("int").alias("iog"), (tile + 1).cast("int").alias("tile"), (c + 11).cast("int").alias("chip"), ch.cast("int").alias("channel"), (col * pitch).alias("x"), (row * pitch).alias("y"))
-
-
 def read_geometry(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of geometry files {"pixel_pitch": p, "geometry": {"side-tile-chip-channel": [x, y]}}, with the hash of each file."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
@@ -81,9 +69,9 @@ def address_table(numbered: DataFrame) -> DataFrame:
     return numbered.select("iog", F.explode(F.sequence((F.col("tile") - 1) * 4 + 1, F.col("tile") * 4)).alias("io_channel"), "chip", "channel", "pixel_id")
 
 
-def tile_extents(pixels: DataFrame, pitch: float = 3.8) -> DataFrame:
-    """Corner and raster size of each tile."""
-    size = lambda c: (F.rint((F.max(c) - F.min(c)) / pitch) + 1).cast("int")
+def tile_extents(pixels: DataFrame) -> DataFrame:
+    """Corner and raster size of each tile; pixels have the pitch of their tile."""
+    size = lambda c: (F.rint((F.max(c) - F.min(c)) / F.max("pitch")) + 1).cast("int")
     return pixels.groupBy("iog", "tile").agg(F.count(F.lit(1)).alias("n_pixels"), F.round(F.min("x"), 6).alias("x_min"), F.round(F.min("y"), 6).alias("y_min"), size("x").alias("width"), size("y").alias("height"))
 
 
@@ -96,5 +84,6 @@ def hover_lookup(points: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def geometry_identity(numbered: DataFrame) -> DataFrame:
-    """Identity of a geometry: number of pixels and a hash of all of them that does not depend on their order."""
-    return numbered.agg(F.count(F.lit(1)).alias("n_pixels"), F.hex(F.bit_xor(F.xxhash64("iog", "tile", "chip", "channel", "pixel_id"))).alias("geometry_id"))
+    """Identity of a geometry: number of pixels and a hash of all of them that does not depend on their order; rows given twice change it too."""
+    one = F.xxhash64("iog", "tile", "chip", "channel", "pixel_id").cast("decimal(20,0)")
+    return numbered.agg(F.count(F.lit(1)).alias("n_pixels"), F.sha2(F.concat_ws(" ", F.count(F.lit(1)), F.sum(one), F.bit_xor(F.xxhash64("iog", "tile", "chip", "channel", "pixel_id"))), 256).alias("geometry_id"))

@@ -1,85 +1,10 @@
-"""Playback of each source at its own pace, and what is visible at a cursor."""
+"""What is visible at a playback cursor."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import floor
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Timing
-from ..session import ship
-
-STEPS = "iog int, step bigint, now double, frontier_tick bigint, initial_tick bigint"
-OUT = "iog int, step bigint, cursor_tick bigint, running boolean, stalls bigint, underruns bigint"
-
-
-class Cursor:
-    """Playback position of one source: starts ``delay`` behind the frontier, follows the wall clock, waits when it catches up."""
-
-    def __init__(self, cfg: Timing) -> None:
-        self.cfg, self.at, self.running, self.wall, self.stalls, self.underruns = cfg, None, False, None, 0, 0
-
-    def step(self, now: float, frontier: float, origin: float) -> None:
-        passed = 0.0 if self.wall is None else max(0.0, now - self.wall)
-        self.wall = now
-        if not self.running:
-            base = origin if self.at is None else self.at
-            if frontier - base < self.cfg.delay:
-                return
-            self.at, self.running, passed = base, True, 0.0
-        if passed > 0.5:  # a pause of the host is not made up for
-            self.stalls, passed = self.stalls + 1, 0.0
-        if self.at + passed > frontier + 1e-9:
-            self.at, self.running, self.underruns = frontier, False, self.underruns + 1
-        else:
-            self.at = min(self.at + passed, frontier)
-
-    @property
-    def tick(self) -> int | None:
-        return None if self.at is None else floor(self.at / self.cfg.tick_seconds + 1e-5)
-
-
-def playback(steps: DataFrame, cfg: Timing = Timing()) -> DataFrame:
-    """Cursor of each iog after each step (iog, step, now, frontier_tick, initial_tick), in the order of step.
-
-    Each position depends on the one before, so one pass walks the sorted steps of an iog holding only its cursor.
-    Steps without a frontier leave the cursor as it is; it is null until playback starts.
-    """
-    ship(steps.sparkSession)
-    dt = cfg.tick_seconds
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, c = None, None
-        for b in batches:
-            out = []
-            for iog, step, now, frontier, initial in zip(*(x.to_pylist() for x in b.columns)):
-                if iog != key:
-                    key, c = iog, Cursor(cfg)
-                if frontier is not None and initial is not None:
-                    c.step(now, frontier * dt, initial * dt)
-                else:
-                    c.wall = now
-                out.append((iog, step, c.tick, c.running, c.stalls, c.underruns))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in OUT.split(", ")])
-
-    rows = steps.select(*(F.col(x.split()[0]).cast(x.split()[1]).alias(x.split()[0]) for x in STEPS.split(", ")))
-    return rows.repartition("iog").sortWithinPartitions("iog", "step").mapInArrow(run, OUT)
-
-
-def arrival_steps(unrolled: DataFrame, frontier: DataFrame, parts: int = 4) -> DataFrame:
-    """Steps of a stream: for each fraction of a second of arrival the frontier that was reached."""
-    from ..functions.prefix import running
-    from ..functions.ticks import R, div
-
-    step = div(F.col("header_second") * R + F.col("receipt") % R, R // parts)
-    reached = unrolled.where("valid AND header_second > 0").select("iog", step.alias("seq"), F.lit(0).alias("word_idx"), "receipt_tick").groupBy("iog", "seq", "word_idx").agg(F.max("receipt_tick").alias("top"))
-    run = running(reached, {"frontier_tick": ("max", F.col("top"))}, inclusive=True)
-    return run.join(frontier.select("iog", "initial_tick"), "iog").select("iog", F.col("seq").alias("step"), (F.col("seq") / parts).cast("double").alias("now"), "frontier_tick", "initial_tick")
-
 
 def seen_at(hits: DataFrame, cursors: DataFrame) -> DataFrame:
     """Latest tick of each pixel at a cursor of its iog: hits not later than the cursor, however late they came."""

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Timing
-from ..functions.prefix import BLOCK, running
-from ..functions.ticks import div
+from ..functions.prefix import BLOCK, as_of, running
 from ..session import checkpoint
 
 
@@ -21,33 +20,25 @@ def sync_steps(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
 
 
 def sync_epochs(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
-    """(iog, seq, word_idx, step, after): plausible syncs with the sum of steps up to each; about one row a second and source."""
-    s = sync_steps(stream.where("kind = 'S'").dropDuplicates(), cfg).where("step IS NOT NULL").select("iog", "seq", "word_idx", "step")
+    """(iog, seq, word_idx, second, step, after, alone): S words of the sync type with the sum of steps up to each, and whether each is alone in its frame.
+
+    About one row a second and source, written once for all that reads it.
+    """
+    alone = F.count(F.lit(1)).over(Window.partitionBy("iog", "seq")) == 1
+    words = stream.where((F.col("kind") == "S") & (F.col("io") == cfg.sync_type)).where("iog IS NOT NULL AND seq IS NOT NULL").dropDuplicates()
+    s = sync_steps(words, cfg).select("iog", "seq", "word_idx", F.col("header_second").alias("second"), "step", alone.alias("alone"))
     return checkpoint(running(s, {"after": ("sum", F.col("step"))}, inclusive=True))
 
 
 def with_epochs(stream: DataFrame, cfg: Timing = Timing(), kinds: str = "D", epochs: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Words of ``kinds`` with, from the syncs strictly before them, ``offset`` (sum of steps) and ``prev`` (last step).
 
-    Syncs are rare, so their running sums are made first. The words are then shuffled once, by source and block of
-    arrival, together with the syncs of the block and the last sync before it; repeated rows count once. epochs: the
-    ``sync_epochs`` of the stream, where they are at hand.
+    Repeated rows count once. epochs: the ``sync_epochs`` of the stream, where they are at hand.
     """
-    at = div(F.col("seq").cast("bigint"), block)
     epochs = sync_epochs(stream, cfg) if epochs is None else epochs
-    rows = stream.where(F.col("kind").isin(*kinds)).where("iog IS NOT NULL AND seq IS NOT NULL").withColumn("__block", at)
-    ends = rows.groupBy("iog").agg(F.max("__block").alias("top"))
-    # the last sync of each block is what later blocks start from, up to the block of the next one
-    last = epochs.groupBy("iog", at.alias("b")).agg(F.max_by(F.struct("after", "step"), F.struct("seq", "word_idx")).alias("v"))
-    nxt = last.join(ends, "iog").withColumn("upto", F.coalesce(F.lead("b").over(Window.partitionBy("iog").orderBy("b")), F.col("top")))
-    carried = nxt.where("upto > b").select("iog", F.explode(F.sequence(F.col("b") + 1, F.col("upto"))).alias("__block"), "v")
-    known = carried.select("iog", "__block", (F.col("__block") * block - 1).alias("seq"), F.lit(-1).alias("word_idx"), "v")
-    known = known.unionByName(epochs.select("iog", at.alias("__block"), "seq", "word_idx", F.struct("after", "step").alias("v")))
-    words = rows.repartition("iog", "__block").dropDuplicates()
-    both = words.unionByName(known.repartition("iog", "__block"), allowMissingColumns=True)
-    before = Window.partitionBy("iog", "__block").orderBy("seq", "word_idx", F.col("v").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    out = both.withColumn("__seen", F.last("v", ignorenulls=True).over(before)).where("v IS NULL")
-    return out.withColumn("offset", F.coalesce(F.col("__seen")["after"], F.lit(0).cast("bigint"))).withColumn("prev", F.col("__seen")["step"]).drop("__seen", "v", "__block")
+    marks = epochs.where("step IS NOT NULL").select("iog", "seq", "word_idx", F.struct("after", "step").alias("value"))
+    out = as_of(stream.where(F.col("kind").isin(*kinds)), marks, block, distinct=True)
+    return out.withColumn("offset", F.coalesce(F.col("seen")["after"], F.lit(0).cast("bigint"))).withColumn("prev", F.col("seen")["step"]).drop("seen")
 
 
 def unroll(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None = None) -> DataFrame:
@@ -71,19 +62,19 @@ def out_of_order(unrolled: DataFrame) -> DataFrame:
     return v.withColumn("out_of_order", F.coalesce(F.col("tick") < F.col("top"), F.lit(False))).drop("top")
 
 
-def unroll_counters(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+def unroll_counters(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None = None) -> DataFrame:
     """Counters of the clock of each iog."""
     s = sync_steps(stream.where("kind = 'S'").dropDuplicates(), cfg).groupBy("iog").agg(F.count("step").alias("pps_syncs"), F.count_if(~F.col("selected")).alias("ignored_syncs"), F.count_if(F.col("selected") & F.col("step").isNull()).alias("invalid_syncs"), F.coalesce(F.sum(F.call_function("div", F.col("step"), F.lit(cfg.period).cast("bigint")) - 1), F.lit(0)).alias("missed_periods"))
-    u = unroll(stream, cfg)
+    u = unroll(stream, cfg, epochs)
     h = u.groupBy("iog").agg(F.count_if(F.col("valid") & F.col("crossed")).alias("boundary_corrected"), F.count_if("warmup").alias("warmup_hits"), F.count_if("invalid_time").alias("invalid_times"))
     o = out_of_order(u).groupBy("iog").agg(F.count_if("out_of_order").alias("out_of_order_hits"))
     return s.join(h, "iog", "full").join(o, "iog", "full").fillna(0)
 
 
-def frontiers(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+def frontiers(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None = None) -> DataFrame:
     """initial_tick (after the first plausible sync), frontier_tick (greatest valid receipt or epoch) of each iog."""
-    e = sync_epochs(stream, cfg)
-    first = e.groupBy("iog").agg(F.min_by("step", F.struct("seq", "word_idx")).alias("initial_tick"), F.max("after").alias("end"))
+    e = sync_epochs(stream, cfg) if epochs is None else epochs
+    first = e.where("step IS NOT NULL").groupBy("iog").agg(F.min_by("step", F.struct("seq", "word_idx")).alias("initial_tick"), F.max("after").alias("end"))
     top = unroll(stream, cfg, e).where("valid").groupBy("iog").agg(F.max("receipt_tick").alias("top"), F.max("tick").alias("last_hit_tick"))
     return first.join(top, "iog", "left").select("iog", "initial_tick", F.greatest("end", "top").alias("frontier_tick"), "last_hit_tick")
 

@@ -22,7 +22,8 @@ t AS (SELECT iog, seq, word_idx, io AS subtype, off + aux AS tick, coalesce(off
 
 # alignment of clocks, by the same rules over windows
 _A = _W + """,
-o0 AS (SELECT iog, seq, word_idx, off + step AS tick, header_second AS second, coalesce(step IS NOT NULL AND header_second > 0 AND count(*) OVER (PARTITION BY iog, seq) = 1, FALSE) AS usable FROM e WHERE kind = 'S' AND io = 83),
+o0 AS (SELECT iog, seq, word_idx, off + step AS tick, header_second AS second, coalesce(step IS NOT NULL AND header_second > 0 AND count(*) OVER (PARTITION BY iog, seq) = 1, FALSE) AS usable, FALSE AS ahead FROM e WHERE kind = 'S' AND io = 83
+  UNION ALL SELECT iog, f.q, f.w, NULL, f.s, FALSE, TRUE FROM (SELECT iog, arg_min(struct_pack(q := seq, w := word_idx, s := header_second), seq * 100000 + word_idx) AS f FROM d WHERE valid AND receipt > 25000000 GROUP BY iog, off)),
 o1 AS (SELECT *, coalesce(CAST(second AS DOUBLE), 0) AS now, CASE WHEN usable THEN second * 10000000 - tick END AS candidate,
   last_value(CASE WHEN usable THEN struct_pack(tick := tick, second := second) END IGNORE NULLS) OVER p AS lst FROM o0 WINDOW p AS (PARTITION BY iog ORDER BY seq, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 o2 AS (SELECT *, usable AND (lst IS NULL OR (tick > lst.tick AND second > lst.second)) AS ordered FROM o1),
@@ -32,35 +33,49 @@ o3 AS (SELECT *, lag(ordered) OVER (PARTITION BY iog ORDER BY seq, word_idx) AS
 o4 AS (SELECT *, ordered AND coalesce(b_ordered AND b_candidate = candidate, FALSE) AND coalesce(now - fresh <= 2.5, FALSE) AS follows FROM o3),
 pin AS (SELECT iog, arg_min(candidate, seq * 100000 + word_idx) AS pinned, min(seq * 100000 + word_idx) AS since FROM o4 WHERE follows GROUP BY iog),
 o5 AS (SELECT o4.*, pin.pinned, coalesce(o4.seq * 100000 + o4.word_idx >= pin.since, FALSE) AS after FROM o4 LEFT JOIN pin ON o4.iog = pin.iog),
-al AS (SELECT *, ordered AND (NOT after OR candidate = pinned) AS consistent, after AND follows AND candidate = pinned AS ok, CASE WHEN ordered THEN now ELSE fresh END AS fresh_at FROM o5),
+al AS (SELECT *, ordered AND (NOT after OR candidate = pinned) AS consistent, after AND follows AND candidate = pinned AS ok, CASE WHEN ordered THEN now ELSE fresh END AS fresh_at,
+  CAST(CASE WHEN ordered THEN now WHEN ahead THEN CASE WHEN now > 0 THEN now ELSE fresh + 3 END ELSE fresh + 1 END AS BIGINT) AS arrived FROM o5),
 al2 AS (SELECT *, usable AND (NOT consistent OR coalesce(stored <> candidate, FALSE)) AS inconsistent, CASE WHEN NOT consistent THEN 'suspect' WHEN ok THEN 'aligned' ELSE 'warming' END AS status, CASE WHEN ok THEN pinned END AS offset_ticks FROM al),
-ac AS (SELECT iog, count(*) AS observations, count(*) FILTER (consistent) AS consistent, count(*) FILTER (inconsistent) AS inconsistent, count(*) FILTER (NOT usable) AS invalid,
+ac AS (SELECT iog, count(*) FILTER (NOT ahead) AS observations, count(*) FILTER (consistent) AS consistent, count(*) FILTER (inconsistent) AS inconsistent, count(*) FILTER (NOT usable AND NOT ahead) AS invalid, count(*) FILTER (ahead) AS ahead,
   max(offset_ticks) AS offset_ticks, arg_max(status, seq * 100000 + word_idx) AS last_status FROM al2 GROUP BY iog),
-offs AS (SELECT iog, offset_ticks FROM ac WHERE offset_ticks IS NOT NULL)
+rv AS (SELECT iog, seq, word_idx, CAST(least(arrived, fresh + 3) AS BIGINT) AS time, status, arrived >= fresh + 3 AS paused FROM (SELECT *, lag(status) OVER (PARTITION BY iog ORDER BY seq, word_idx) AS was FROM al2) WHERE was = 'aligned' AND status <> 'aligned'
+  UNION ALL SELECT iog, NULL, NULL, CAST(l.f + 3 AS BIGINT), 'stale', TRUE FROM (SELECT iog, arg_max(struct_pack(s := status, f := fresh_at), seq * 100000 + word_idx) AS l FROM al2 GROUP BY iog) WHERE l.s = 'aligned' AND l.f + 3 <= (SELECT max(arrived) FROM al2))
 """
 
-# detector-wide triggers; the last observation before a trigger decides whether its source is aligned
-_R = _A + """,
-q0 AS (SELECT iog, seq, word_idx, subtype, tick, header_second, NULL AS seen FROM t WHERE valid
+# settings in ticks
+_SETTINGS = """cf AS (SELECT iog, trigger_view, CAST(round_even(pre_us * 10, 0) AS BIGINT) AS pre, greatest(1, CAST(round_even(post_us * 10, 0) AS BIGINT)) AS post, CAST(history_seconds * 10000000 AS BIGINT) AS history, coalesce(trigger_types, []) AS types FROM observer_config)"""
+# detector-wide triggers; the last observation before a trigger decides whether its source is aligned, the last up to its second whether a target is
+_R = _A + f""",
+{_SETTINGS},
+q0 AS (SELECT iog, seq, word_idx, subtype, tick, valid, header_second, NULL AS seen FROM t
   UNION ALL BY NAME SELECT iog, seq, word_idx, struct_pack(o := offset_ticks, f := fresh_at) AS seen FROM al2),
 q1 AS (SELECT *, last_value(seen IGNORE NULLS) OVER (PARTITION BY iog ORDER BY seq, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM q0),
-q AS (SELECT * FROM q1 WHERE seen IS NULL AND state.o IS NOT NULL AND header_second - state.f BETWEEN 0 AND 2.5),
-r AS (SELECT CASE q.iog WHEN 5 THEN 'beam' ELSE 'light' END AS source, q.iog AS source_iog, q.seq, q.word_idx, q.subtype, g.iog, q.tick + (own.offset_ticks - g.offset_ticks) AS tick
-  FROM q JOIN offs own ON q.iog = own.iog CROSS JOIN offs g WHERE q.iog IN (5, 6) AND q.tick + (own.offset_ticks - g.offset_ticks) >= 0)
+tj AS (SELECT q1.*, CASE WHEN header_second - state.f BETWEEN 0 AND 2.5 THEN state.o END AS own, len(types) = 0 OR list_contains(types, subtype) AS wanted, u.iog IS NOT NULL AS uncertain
+  FROM q1 LEFT JOIN cf ON q1.iog = cf.iog LEFT JOIN (SELECT DISTINCT iog, seq FROM rv WHERE NOT paused) u ON q1.iog = u.iog AND q1.seq = u.seq WHERE seen IS NULL),
+q AS (SELECT * FROM tj WHERE valid AND wanted AND NOT uncertain AND own IS NOT NULL AND iog IN (5, 6)),
+tg AS (SELECT iog, arrived, arg_max(struct_pack(s := status, o := offset_ticks, f := fresh_at), seq * 100000 + word_idx) AS st FROM al2 WHERE arrived IS NOT NULL GROUP BY iog, arrived),
+r0 AS (SELECT q.*, cf.iog AS target, pre, post, history FROM q CROSS JOIN cf WHERE trigger_view),
+ra AS (SELECT CASE r0.iog WHEN 5 THEN 'beam' ELSE 'light' END AS source, r0.iog AS source_iog, seq, word_idx, subtype, header_second, target AS iog, tick + (own - st.o) AS tick, st.o AS theirs, pre, post, history
+  FROM r0 ASOF JOIN tg ON r0.target = tg.iog AND r0.header_second >= tg.arrived WHERE st.s = 'aligned' AND header_second - st.f BETWEEN 0 AND 2.5),
+r AS (SELECT source, source_iog, seq, word_idx, subtype, iog, tick FROM ra WHERE tick >= 0),
+rt AS (SELECT DISTINCT time FROM rv),
+rg AS (SELECT ra.*, coalesce(x.time, -1) AS since, coalesce(y.time, 4611686018427387904) AS until FROM ra ASOF LEFT JOIN rt x ON ra.header_second >= x.time ASOF LEFT JOIN rt y ON ra.header_second < y.time
+  WHERE tick >= 0 AND tick + post > header_second * 10000000 - theirs - history)
 """
 
 
 def _windows(name: str, source: str, keys: str) -> str:
     return f""",
-{name}0 AS (SELECT {keys}, tick - 200 AS lo, tick + 6000 AS hi FROM {source}),
+{name}0 AS (SELECT {keys}, tick - pre AS lo, tick + post AS hi FROM {source}),
 {name}1 AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY {keys} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {name}0),
 {name}2 AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isle FROM {name}1),
 {name} AS (SELECT {keys}, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM {name}2 GROUP BY {keys}, isle)
 """
 
 
-_OWN = _W + _windows("win", "(SELECT * FROM t WHERE valid)", "iog") + ", om AS (SELECT sel.*, win.lo FROM sel JOIN win ON sel.iog = win.iog AND sel.tick >= win.lo AND sel.tick < win.hi)\n"
-_WIDE = _R + _windows("win", "r", "iog, source") + """, wm AS (SELECT sel.iog, sel.seq, sel.word_idx, sel.pixel_id, sel.tick, win.source FROM sel JOIN win ON sel.iog = win.iog AND sel.tick >= win.lo AND sel.tick < win.hi),
+_OWN = _W + f", {_SETTINGS}" + _windows("win", "(SELECT t.*, pre, post FROM t JOIN cf ON t.iog = cf.iog WHERE valid AND trigger_view AND (len(types) = 0 OR list_contains(types, subtype)))", "iog") + ", om AS (SELECT sel.*, win.lo FROM sel JOIN win ON sel.iog = win.iog AND sel.tick >= win.lo AND sel.tick < win.hi)\n"
+_WIDE = _R + _windows("win", "rg", "iog, source, since, until, theirs, history") + """, wm AS (SELECT DISTINCT sel.iog, sel.seq, sel.word_idx, sel.pixel_id, sel.tick, win.source FROM sel JOIN win ON sel.iog = win.iog AND sel.tick >= win.lo AND sel.tick < win.hi
+ WHERE (sel.receipt_tick + theirs) // 10000000 >= since AND (sel.receipt_tick + theirs) // 10000000 < until AND sel.receipt_tick - sel.tick <= history),
 wl AS (SELECT source, iog, pixel_id, max(tick) AS tick, count(*) AS hits FROM wm GROUP BY ALL)
 """
 _AUDIT = _W + """,
@@ -90,9 +105,10 @@ _WORDS = """SELECT iog, seq, CAST(k AS INT) AS word_idx, second AS header_second
  CASE WHEN kind = 'D' THEN receipt ELSE (aux % 65536) * 65536 END AS receipt, CASE WHEN kind = 'D' THEN receipt // 65536 ELSE aux END AS aux FROM fr"""
 _SEEN = lambda behind, name: f"{name} AS (SELECT sel.iog, f.frontier_tick - {behind} AS cursor_tick, sel.pixel_id, max(sel.tick) AS tick FROM sel JOIN f ON sel.iog = f.iog WHERE sel.tick <= f.frontier_tick - {behind} GROUP BY ALL)"
 _CLOCKS = _A + """,
-ck AS (SELECT f.iog, CASE WHEN (f.frontier_tick - 12500000) // 10000 < 0 THEN -1 ELSE (f.frontier_tick - 12500000) // 10000 + least(100, 250, greatest(f.frontier_tick // 10000 - (f.frontier_tick - 12500000) // 10000, 0)) END AS shown_ms, ac.last_status, ac.offset_ticks
-  FROM f LEFT JOIN ac ON f.iog = ac.iog),
-cl AS (SELECT iog, shown_ms, CASE WHEN last_status = 'aligned' AND offset_ticks IS NOT NULL THEN offset_ticks // 10000 + shown_ms END AS unix_ms, TRUE AS running FROM ck)
+lf AS (SELECT iog, max(header_second) AS lf, max(max(header_second)) OVER () AS now FROM w WHERE header_second > 0 GROUP BY iog),
+ck AS (SELECT f.iog, (f.frontier_tick - 12500000) // 10000 AS base, f.frontier_tick // 10000 AS front, f.frontier_tick - f.initial_tick >= 12500000 AS running, (now - lf) * 1000 AS since, ac.last_status, ac.offset_ticks FROM f JOIN lf ON f.iog = lf.iog LEFT JOIN ac ON f.iog = ac.iog),
+cs AS (SELECT *, CASE WHEN base < 0 THEN -1 ELSE base + CASE WHEN running THEN least(greatest(since, 0), 250, greatest(front - base, 0)) ELSE 0 END END AS shown_ms FROM ck),
+cl AS (SELECT iog, shown_ms, CASE WHEN last_status = 'aligned' AND offset_ticks IS NOT NULL THEN offset_ticks // 10000 + shown_ms END AS unix_ms, running FROM cs)
 """
 _CUMULATIVE = _W + """,
 c0 AS (SELECT iog, header_second // 10 AS interval, count(*) AS words, count(*) FILTER (kind = 'D') AS data_hits, count(*) FILTER (kind = 'S') AS sync, count(*) FILTER (kind = 'T') AS triggers FROM w WHERE header_second > 0 GROUP BY ALL)
@@ -105,16 +121,6 @@ bs AS (SELECT iog, syncs, CASE WHEN ls IS NOT NULL THEN sa END AS sync_age, trig
  CASE WHEN fa > 3.5 THEN 'unknown' WHEN ls IS NULL OR syncs = 0 THEN 'waiting' WHEN sa > 2.5 THEN 'stale' WHEN sa < 0.6 THEN 'pulse' ELSE 'live' END AS sync_badge,
  CASE WHEN fa > 3.5 THEN 'unknown' WHEN lt IS NOT NULL AND ta < 0.6 THEN 'pulse' ELSE 'idle' END AS trigger_badge FROM b2)
 """
-_PLAYBACK = _W.replace("WITH h", "WITH RECURSIVE h", 1) + """,
-p0 AS (SELECT iog, (header_second * 10000000 + receipt % 10000000) // 2500000 AS step, max(receipt_tick) AS top FROM d WHERE valid AND header_second > 0 GROUP BY ALL),
-p1 AS MATERIALIZED (SELECT p0.iog, step, step / 4.0::DOUBLE AS now, max(top) OVER (PARTITION BY p0.iog ORDER BY step) * 1e-7::DOUBLE AS front, f.initial_tick * 1e-7::DOUBLE AS origin, row_number() OVER (PARTITION BY p0.iog ORDER BY step) AS k FROM p0 JOIN f ON p0.iog = f.iog),
-c AS (SELECT DISTINCT iog, 0::BIGINT AS k, NULL::BIGINT AS step, NULL::DOUBLE AS pos, FALSE AS running, NULL::DOUBLE AS wall, 0::BIGINT AS stalls, 0::BIGINT AS underruns FROM p1
- UNION ALL SELECT iog, k, step, CASE WHEN idle THEN pos WHEN base + moved > front + 1e-9::DOUBLE THEN front ELSE least(base + moved, front) END, NOT idle AND NOT base + moved > front + 1e-9::DOUBLE,
-  now, stalls + CASE WHEN NOT idle AND passed > 0.5 THEN 1 ELSE 0 END, underruns + CASE WHEN NOT idle AND base + moved > front + 1e-9::DOUBLE THEN 1 ELSE 0 END
-  FROM (SELECT *, CASE WHEN passed > 0.5 THEN 0 ELSE passed END AS moved FROM
-   (SELECT p1.*, c.pos, c.stalls, c.underruns, coalesce(c.pos, p1.origin) AS base, NOT c.running AND p1.front - coalesce(c.pos, p1.origin) < 1.25 AS idle,
-     CASE WHEN NOT c.running OR c.wall IS NULL THEN 0::DOUBLE ELSE greatest(0::DOUBLE, p1.now - c.wall) END AS passed FROM c JOIN p1 ON c.iog = p1.iog AND p1.k = c.k + 1)))
-"""
 _LEVEL = lambda a: f"CASE WHEN {a} IS NULL OR {a} < 0 OR floor({a} / 16) >= 250 THEN 0 ELSE CAST(floor(255 * exp(-16 * floor({a} / 16) / 500) + 0.5) AS INT) END"
 
 
@@ -149,7 +155,6 @@ SELECT s.*, coalesce(h.boundary_corrected, 0) AS boundary_corrected, coalesce(h.
         "q_last_hit_per_pixel": _W + "SELECT iog, pixel_id, max(tick) AS tick, count(*) AS hits FROM sel GROUP BY ALL",
         "q_last_arrival_per_pixel": _MAPPED + "SELECT iog, pixel_id, max(arrival) AS arrival FROM ar GROUP BY ALL",
         "q_seen_at_cursor": _W + ", " + _SEEN(50000000, "x") + " SELECT * FROM x",
-        "q_playback_steps": _PLAYBACK + "SELECT iog, step, CAST(floor(pos / 1e-7::DOUBLE + 1e-5::DOUBLE) AS BIGINT) AS cursor_tick, running, stalls, underruns FROM c WHERE k > 0",
         "q_trigger_projection": _W + "SELECT iog, seq, word_idx, subtype, tick, valid FROM t",
         "q_subtype_histogram": _W + "SELECT iog, subtype, count(*) AS n, count(*) FILTER (NOT valid) AS invalid_times FROM t GROUP BY ALL",
         "q_windows_merged": _OWN + "SELECT iog, lo, hi, n FROM win",
@@ -158,8 +163,10 @@ SELECT s.*, coalesce(h.boundary_corrected, 0) AS boundary_corrected, coalesce(h.
         "q_pps_alignment": _A + "SELECT iog, seq, word_idx, tick, usable, consistent, status, offset_ticks FROM al2",
         "q_alignment_counters": _A + "SELECT * FROM ac",
         "q_route_triggers": _R + "SELECT * FROM r",
-        "q_router_counters": _A + """SELECT t.iog, count(*) FILTER (t.iog NOT IN (5, 6)) AS unexpected_source, count(*) FILTER (t.iog IN (5, 6) AND NOT valid) AS invalid_trigger_times, 0 AS filtered_subtype,
- count(*) FILTER (t.iog IN (5, 6) AND valid AND offset_ticks IS NULL) AS source_unaligned, count(*) FILTER (t.iog IN (5, 6) AND valid AND offset_ticks IS NOT NULL) AS accepted FROM t LEFT JOIN offs ON t.iog = offs.iog GROUP BY t.iog""",
+        "q_router_counters": _R + """SELECT iog, count(*) FILTER (iog NOT IN (5, 6)) AS unexpected_source, count(*) FILTER (iog IN (5, 6) AND NOT wanted) AS filtered_subtype, count(*) FILTER (iog IN (5, 6) AND wanted AND NOT valid) AS invalid_trigger_times,
+ count(*) FILTER (iog IN (5, 6) AND wanted AND valid AND uncertain) AS uncertain_batch, count(*) FILTER (iog IN (5, 6) AND wanted AND valid AND NOT uncertain AND own IS NULL) AS source_unaligned, count(*) FILTER (iog IN (5, 6) AND wanted AND valid AND NOT uncertain AND own IS NOT NULL) AS accepted FROM tj GROUP BY iog""",
+        "q_target_counters": _R + """SELECT cf.iog, count(*) FILTER (tick >= 0 AND source = 'beam') AS routed_beam, count(*) FILTER (tick >= 0 AND source = 'light') AS routed_light, (SELECT count(*) FROM q) - count(ra.iog) AS unaligned_target_skips,
+ count(*) FILTER (tick < 0) AS invalid_projected_ticks, count(*) FILTER (tick >= 0 AND tick + ra.post <= header_second * 10000000 - theirs - ra.history) AS outside_history FROM cf LEFT JOIN ra ON cf.iog = ra.iog WHERE trigger_view GROUP BY cf.iog""",
         "q_match_counters": _WIDE + ", ph AS (SELECT iog, seq, word_idx, max(CAST(source = 'beam' AS INT)) AS b, max(CAST(source = 'light' AS INT)) AS l FROM wm GROUP BY ALL) SELECT iog, count(*) AS matched, CAST(sum(b) AS BIGINT) AS beam, CAST(sum(l) AS BIGINT) AS light FROM ph GROUP BY iog",
         "q_layer_union": _WIDE + "SELECT pixel_id, max(tick) AS tick FROM wl GROUP BY pixel_id",
         "q_layer_delta": _W + ", " + _SEEN(80000000, "x") + ", " + _SEEN(50000000, "y") + " SELECT coalesce(x.iog, y.iog) AS iog, coalesce(x.pixel_id, y.pixel_id) AS pixel_id, coalesce(y.tick, -1) AS tick FROM x FULL JOIN y ON x.iog = y.iog AND x.pixel_id = y.pixel_id WHERE x.tick IS DISTINCT FROM y.tick",
@@ -185,11 +192,14 @@ e AS (SELECT *, min(seq) OVER (PARTITION BY boot_id) AS oldest, max(seq) OVER (P
         "q_snapshot_deltas": _CUMULATIVE + """, p AS (SELECT *, percent_rank() OVER (PARTITION BY iog ORDER BY interval) AS p FROM c0),
 z AS (SELECT iog, counter, CAST(sum(v) FILTER (p <= 0.5) AS BIGINT) AS "before", CAST(sum(v) AS BIGINT) AS "after" FROM (SELECT iog, p, unnest(['words', 'data_hits', 'sync', 'triggers']) AS counter, unnest([words, data_hits, sync, triggers]) AS v FROM p) GROUP BY iog, counter)
 SELECT *, "after" - "before" AS delta, NULL::VARCHAR AS problem FROM z""",
-        "q_verifier_issues": _A + """, x AS (SELECT second // 600 AS session, iog, status, offset_ticks, lag(offset_ticks) OVER (PARTITION BY second // 600, iog ORDER BY seq, word_idx) AS lo FROM al2),
-i AS (SELECT session, iog, 'epoch not freshly qualified' AS issue FROM x WHERE status <> 'aligned' UNION ALL SELECT session, iog, 'no epoch offset' FROM x WHERE offset_ticks IS NULL UNION ALL SELECT session, iog, 'offset changed' FROM x WHERE lo <> offset_ticks)
+        "q_verifier_issues": _A + """, y AS (SELECT *, sum(CASE WHEN usable THEN 0 ELSE 1 END) OVER (PARTITION BY iog ORDER BY seq, word_idx ROWS UNBOUNDED PRECEDING) AS counter FROM al2),
+x AS (SELECT second // 600 AS session, iog, status, now, fresh, fresh_at, second, offset_ticks, counter, lag(offset_ticks) OVER s AS lo, lag(counter) OVER s AS lc FROM y WINDOW s AS (PARTITION BY second // 600, iog ORDER BY seq, word_idx)),
+i AS (SELECT session, iog, 'collector unhealthy' AS issue FROM x WHERE NOT coalesce(now - fresh < 3, FALSE) UNION ALL SELECT session, iog, 'period unsupported' FROM x WHERE NOT coalesce(second > 0, FALSE)
+ UNION ALL SELECT session, iog, 'epoch not freshly qualified' FROM x WHERE NOT coalesce(status = 'aligned' AND now - fresh_at BETWEEN 0 AND 2.5, FALSE) UNION ALL SELECT session, iog, 'no epoch offset' FROM x WHERE offset_ticks IS NULL
+ UNION ALL SELECT session, iog, 'offset changed' FROM x WHERE lo <> offset_ticks UNION ALL SELECT session, iog, 'counter changed' FROM x WHERE lc <> counter)
 SELECT session, iog, issue, count(*) AS samples FROM i GROUP BY ALL""",
-        "q_revocations": _A + ", rv AS (SELECT *, lag(status) OVER (PARTITION BY iog ORDER BY seq, word_idx) AS was FROM al2) SELECT iog, seq, word_idx, now, status FROM rv WHERE was = 'aligned' AND status <> 'aligned'",
-        "q_current_generation": _A + ", rv AS (SELECT *, lag(status) OVER (PARTITION BY iog ORDER BY seq, word_idx) AS was FROM al2), z AS (SELECT max(now) AS last FROM rv WHERE was = 'aligned' AND status <> 'aligned') SELECT iog, count(*) AS triggers FROM (SELECT DISTINCT * FROM words) w, z WHERE kind = 'T' AND coalesce(CAST(header_second AS DOUBLE) > last, TRUE) GROUP BY iog",
+        "q_revocations": _A + "SELECT * FROM rv",
+        "q_current_generation": _A + ", z AS (SELECT max(time) AS last FROM rv) SELECT iog, count(*) AS triggers FROM (SELECT DISTINCT * FROM words) w, z WHERE kind = 'T' AND coalesce(header_second > last, TRUE) GROUP BY iog",
         "q_batch_cap": _W + "SELECT iog, seq, word_idx, subtype, tick, count(*) OVER (PARTITION BY iog, seq // 256) AS of FROM t WHERE valid QUALIFY row_number() OVER (PARTITION BY iog, seq // 256 ORDER BY seq DESC, word_idx DESC) <= 3",
         "q_playback_counters": _W + """, el AS (SELECT d.*, max(receipt_tick) OVER (PARTITION BY d.iog ORDER BY seq, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS front FROM d JOIN dim_address a ON d.iog = a.iog AND d.io = a.io_channel AND d.chip = a.chip AND d.channel = a.channel WHERE d.valid),
 l AS (SELECT *, coalesce(front >= 12500000 AND tick <= front - 12500000, FALSE) AS late FROM el)
@@ -204,8 +214,6 @@ SELECT *, newest_ms - oldest_ms AS spread_ms, CASE WHEN labelled = 0 THEN 'warmi
 y AS (SELECT x.iog, x.pixel_id, (cursor_tick - tick) // 10000 AS a, CASE WHEN tagged <= cursor_tick THEN (cursor_tick - tagged) // 10000 END AS b FROM x LEFT JOIN tg ON x.pixel_id = tg.pixel_id),
 lv AS (SELECT iog, pixel_id, {_LEVEL("a")} AS level, {_LEVEL("b")} AS "only" FROM y)
 SELECT *, greatest("only", level // 4) AS highlight FROM lv""",
-        "q_hover_lookup": """WITH p AS (SELECT DISTINCT iog, (io_channel - 1) // 4 + 1 AS tile, chip, channel FROM hits WHERE iog BETWEEN 1 AND 8 AND io_channel BETWEEN 1 AND 32 AND chip IS NOT NULL AND channel IS NOT NULL),
-x AS (SELECT p.*, floor(((x_min + chip * 0.7::DOUBLE) - x_min) / pitch + 0.5) AS c, floor(((y_min + channel * 1.3::DOUBLE) - y_min) / pitch + 0.5) AS r, width, height FROM p JOIN dim_tile g ON p.iog = g.iog AND p.tile = g.tile),
-z AS (SELECT *, c BETWEEN 0 AND width - 1 AND r BETWEEN 0 AND height - 1 AS inside FROM x)
-SELECT iog, tile, chip, channel, CASE WHEN inside THEN CAST(c AS INT) END AS col, CASE WHEN inside THEN CAST(r AS INT) END AS row, CASE WHEN inside THEN CAST(height - 1 - r AS INT) END AS screen_row FROM z""",
+        "q_hover_lookup": _MAPPED + """, p AS (SELECT DISTINCT m.iog, g.tile, pixel_id, (pixel_id - first_pixel) % width AS col, (pixel_id - first_pixel) // width AS row, height FROM m JOIN dim_tile g ON m.iog = g.iog AND g.tile = (m.io_channel - 1) // 4 + 1 WHERE pixel_id IS NOT NULL)
+SELECT iog, tile, pixel_id, CAST(col AS INT) AS col, CAST(row AS INT) AS row, CAST(height - 1 - row AS INT) AS screen_row FROM p""",
     }

@@ -9,18 +9,6 @@ from pyspark.sql import functions as F
 FAMILIES = ("2", "2a", "2b", "2d", "lightpix-1")
 
 
-def demo_hits(spark: SparkSession, pixels: DataFrame, rows: int, seed: int = 730) -> DataFrame:
-    """Random hits over numbered pixels: (hit, pixel_id)."""
-    n = pixels.agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(rows).join(F.broadcast(n)).select(F.col("id").alias("hit"), F.floor(F.rand(seed) * F.col("n")).cast("int").alias("pixel_id"))
-
-
-def demo_track(pixels: DataFrame, iog: int, tile: int, pitch: float = 3.8) -> DataFrame:
-    """Pixels of a tile next to its diagonal."""
-    own = pixels.where((F.col("iog") == iog) & (F.col("tile") == tile))
-    return own.where(F.abs(F.rint(F.col("y") / pitch) - F.rint(F.col("x") / pitch)) <= 1)
-
-
 def read_capture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(metadata, samples) of a JSON-lines rate capture; ValueError unless there is one metadata line and a sample."""
     rows = spark.read.schema("type string, boot_id string, iogs array<int>, scalars array<string>, source_fields array<string>, values array<double>").json(path)
