@@ -148,8 +148,9 @@ def test_alignment(spark, seed):
             second += rng.choice([-1, 1])
         obs.append((tick, second, rng.random() < 0.9))
     df = spark.createDataFrame([(1, k, 0, *o) for k, o in enumerate(obs)], "iog int, seq bigint, word_idx int, tick bigint, second bigint, usable boolean")
-    got = [(r.status, r.offset_ticks) for r in epochs.align(df).orderBy("seq").collect()]
-    assert got == align_oracle(obs)
+    for block in (1 << 14, 16):  # blocks see the one before them
+        got = [(r.status, r.offset_ticks) for r in epochs.align(df, block=block).orderBy("seq").collect()]
+        assert got == align_oracle(obs)
 
 
 def test_matching_brute_force(spark):
@@ -232,10 +233,12 @@ def test_targets_at_the_time_of_the_trigger(spark, seed):
         trig.append((second, source, (second - base) * R + rng.randrange(R)))
     want, lost = router_oracle(obs, trig, (1, 5, 6))
     o = spark.createDataFrame([(i, 10 * s, 0, t, s, u) for s, i, t, u in obs], "iog int, seq bigint, word_idx int, tick bigint, second bigint, usable boolean")
-    a = epochs.align(o)
+    a = epochs.align(o).withColumn("after", F.lit(R))
     t = spark.createDataFrame([(i, 10 * s + 5, k, 0, t, s) for k, (s, i, t) in enumerate(trig)], "iog int, seq bigint, word_idx int, subtype int, tick bigint, second bigint")
     config = spark.createDataFrame([(i, i != 4, 2.5, 120.5, 2.0, []) for i in (1, 4, 5, 6)], "iog int, trigger_view boolean, pre_us double, post_us double, history_seconds double, trigger_types array<int>")
-    r = triggers.route(epochs.qualified(t, a), epochs.target_offsets(a), config).where("tick >= 0").cache()
+    w = t.select("iog", "seq", "word_idx", F.lit("T").alias("kind"), F.lit(0).alias("io"), F.col("second").alias("header_second"), F.lit(5).cast("bigint").alias("aux"))
+    own = epochs.qualified(w, a).select("iog", "seq", "word_idx", "own").join(t, ["iog", "seq", "word_idx"])
+    r = triggers.route(own, epochs.target_offsets(a), config).where("tick >= 0").cache()
     assert sorted((x.source_iog, x.second, x.iog, x.tick) for x in r.collect()) == want and len(want) > 50
     assert {(x.pre, x.post, x.history) for x in r.collect()} == {(25, 1205, 2 * R)}
     revoked = epochs.revocations(a).collect()

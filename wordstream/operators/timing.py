@@ -12,22 +12,28 @@ from ..session import checkpoint
 
 def sync_steps(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     """S words with ``selected`` (of the sync type) and ``step``: whole periods of a plausible one, null else."""
+    selected = F.col("io") == cfg.sync_type
+    return stream.where("kind = 'S'").withColumn("selected", F.coalesce(selected, F.lit(False))).withColumn("step", sync_step(cfg))
+
+
+def sync_step(cfg: Timing) -> Column:
+    """Whole periods of a plausible S word of the sync type, null else."""
     p = cfg.period
     step = F.rint(F.col("aux") / p).cast("bigint") * p
-    plausible = (step > 0) & (F.abs(F.col("aux") - step) <= max(1, p // 20))
-    selected = F.col("io") == cfg.sync_type
-    return stream.where("kind = 'S'").withColumn("selected", F.coalesce(selected, F.lit(False))).withColumn("step", F.when(selected & plausible, step))
+    return F.when((F.col("kind") == "S") & (F.col("io") == cfg.sync_type) & (step > 0) & (F.abs(F.col("aux") - step) <= max(1, p // 20)), step)
 
 
-def sync_epochs(stream: DataFrame, cfg: Timing = Timing()) -> DataFrame:
-    """(iog, seq, word_idx, second, step, after, alone): S words of the sync type with the sum of steps up to each, and whether each is alone in its frame.
+def sync_epochs(stream: DataFrame, cfg: Timing = Timing(), ahead: float = 2.5) -> DataFrame:
+    """(iog, seq, word_idx, kind, second, step, after, prev): S words of the sync type with the sum of steps up to each and the last step.
 
-    About one row a second and source, written once for all that reads it.
+    About one row a second and source, written once for all that reads it. Hits whose receipt runs more than ``ahead``
+    periods on are among them (kind D), with their ``raw`` and ``receipt``; they have no step.
     """
-    alone = F.count(F.lit(1)).over(Window.partitionBy("iog", "seq")) == 1
-    words = stream.where((F.col("kind") == "S") & (F.col("io") == cfg.sync_type)).where("iog IS NOT NULL AND seq IS NOT NULL").dropDuplicates()
-    s = sync_steps(words, cfg).select("iog", "seq", "word_idx", F.col("header_second").alias("second"), "step", alone.alias("alone"))
-    return checkpoint(running(s, {"after": ("sum", F.col("step"))}, inclusive=True))
+    far = (F.col("kind") == "D") & (F.col("receipt") > int(ahead * cfg.period))
+    words = stream.where(((F.col("kind") == "S") & (F.col("io") == cfg.sync_type)) | far).where("iog IS NOT NULL AND seq IS NOT NULL")
+    words = words.select("iog", "seq", "word_idx", "kind", F.col("header_second").alias("second"), "io", "aux", "raw", "receipt").dropDuplicates()
+    s = words.withColumn("step", sync_step(cfg)).drop("io", "aux")
+    return checkpoint(running(s, {"after": ("sum", F.col("step")), "prev": ("last", F.col("step"))}, inclusive=True))
 
 
 def with_epochs(stream: DataFrame, cfg: Timing = Timing(), kinds: str = "D", epochs: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -47,13 +53,17 @@ def unroll(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None =
     A hit whose receipt counter is below its raw time was taken before the last sync and belongs to the period before
     it. Hits before the first plausible sync are warm-up. Nothing is dropped.
     """
+    return unrolled(with_epochs(stream, cfg, "D", epochs), cfg).drop("aux")
+
+
+def unrolled(d: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+    """The same for words that have ``offset`` and ``prev``."""
     p = cfg.period
     crossed = F.col("receipt") < F.col("raw")
     tick = F.col("raw") % p + F.col("offset") - F.when(crossed, F.coalesce("prev", F.lit(p))).otherwise(0)
-    receipt = F.col("offset") + F.col("receipt")
-    d = with_epochs(stream, cfg, "D", epochs).withColumn("crossed", crossed).withColumn("ready", F.col("offset") > 0).withColumn("tick", tick).withColumn("receipt_tick", receipt)
+    d = d.withColumns({"crossed": crossed, "ready": F.col("offset") > 0, "tick": tick, "receipt_tick": F.col("offset") + F.col("receipt")})
     valid = F.col("ready") & (F.col("tick") >= 0) & (F.col("receipt_tick") >= F.col("tick")) & (F.col("receipt") < 32 * p)
-    return d.withColumn("valid", valid).withColumn("warmup", ~F.col("ready")).withColumn("invalid_time", F.col("ready") & ~valid).drop("aux")
+    return d.withColumns({"valid": valid, "warmup": ~F.col("ready"), "invalid_time": F.col("ready") & ~valid})
 
 
 def out_of_order(unrolled: DataFrame) -> DataFrame:

@@ -15,9 +15,13 @@ SOURCES = {5: "beam", 6: "light"}
 
 def project_triggers(stream: DataFrame, cfg: Timing = Timing(), epochs: DataFrame | None = None) -> DataFrame:
     """T words with subtype, tick on the clock of their iog, valid (epoch known, counter within a period), and the second of their frame."""
-    t = with_epochs(stream, cfg, "T", epochs)
+    return projected(with_epochs(stream, cfg, "T", epochs), cfg)
+
+
+def projected(t: DataFrame, cfg: Timing = Timing(), *more: str) -> DataFrame:
+    """The same for words that have their ``offset``."""
     valid = F.coalesce((F.col("offset") > 0) & F.col("aux").between(0, cfg.period - 1), F.lit(False))
-    return t.select("iog", "seq", "word_idx", F.col("io").alias("subtype"), (F.col("offset") + F.col("aux")).alias("tick"), valid.alias("valid"), F.col("header_second").alias("second"))
+    return t.select("iog", "seq", "word_idx", F.col("io").alias("subtype"), (F.col("offset") + F.col("aux")).alias("tick"), valid.alias("valid"), F.col("header_second").alias("second"), *more)
 
 
 def subtype_histogram(triggers: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ class Feed:
 
     @cached_property
     def lost(self) -> DataFrame:
-        return checkpoint(epochs.revocations(self.aligned))  # rare
+        return epochs.revocations(self.aligned)
 
 
 def stream(x: Feed) -> DataFrame:
@@ -68,8 +68,8 @@ def selected(x: Feed) -> DataFrame:
 def judged(x: Feed) -> DataFrame:
     """T words with valid, wanted, uncertain (their frame revoked the alignment of its source) and own offset."""
     frames = x.lost.where("NOT paused").select("iog", "seq", F.lit(True).alias("__lost")).distinct()
-    t = triggers.wanted(triggers.project_triggers(x.words, CFG, x.syncs), x.table("observer_config"))
-    return epochs.qualified(t, x.aligned).join(frames, ["iog", "seq"], "left").withColumn("uncertain", F.coalesce("__lost", F.lit(False))).drop("__lost")
+    t = triggers.wanted(epochs.qualified(x.words, x.aligned, CFG), x.table("observer_config"))
+    return t.join(frames, ["iog", "seq"], "left").withColumn("uncertain", F.coalesce("__lost", F.lit(False))).drop("__lost")
 
 
 def routed(x: Feed) -> tuple[DataFrame, DataFrame]:

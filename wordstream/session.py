@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def _folder(spark: SparkSession) -> str:
+    """Folder of this application's tables in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and cut its lineage; partitioning and row order within partitions stay."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table to the shared checkpoint folder and read it from there, which cuts its lineage.
+
+    Unlike an RDD checkpoint this computes df once, keeps columns apart and tells Spark the size of the result.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Delete the tables that this application has written, once no result is needed that reads them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
