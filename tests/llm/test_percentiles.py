@@ -40,6 +40,16 @@ def test_queries_propose_several_medians(spark, data, monkeypatch):
     assert len(seen) == 4 and min(seen) > 1
 
 
+def test_values_that_doubles_cannot_tell_apart(spark, monkeypatch):
+    """Nanosecond times: many different values between two doubles; a hot group among them."""
+    monkeypatch.setattr(P, "SHORT", 4)
+    base = 1_790_000_000_000_000_000
+    rows = [("hot", base + k) for k in range(90)] + [("a", base + 7 * k) for k in range(10)]
+    state = P.value_state(spark.createDataFrame(rows, "g string, v bigint"), ["g"], "v")
+    got = {r.g: [r[f"p{p:02d}"] for p in P.PERCENTS] for r in P.percentiles(state, ["g"], buckets=3).collect()}
+    assert got == {g: [disc([v for h, v in rows if h == g], p) for p in P.PERCENTS] for g in ("hot", "a")}
+
+
 def test_combined_states(spark):
     rng = random.Random(6)
     rows = [(rng.choice("xy"), rng.randint(1, 20), int(rng.gauss(100, 30))) for _ in range(3000)]

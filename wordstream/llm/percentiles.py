@@ -15,16 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..session import checkpoint
 
 #: Percentiles of the queries, and the names of their columns.
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
-#: Entries of a range that are few enough to be read off directly, and most rounds before the rest is read off so.
-SHORT, ROUNDS = 48, 40
+#: Entries of a range that are few enough to be read off directly.
+SHORT = 48
 
 
 def value_state(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -50,16 +52,19 @@ def multi_select(state: DataFrame, keys: Sequence[str], ranks: Column, buckets:
     whole = left.groupBy("k").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("entries"))
     ranges = checkpoint(whole.select("k", "n", F.lit(1).cast("bigint").alias("range"), F.lit(0).cast("bigint").alias("below"), "entries", F.array_distinct(ranks).alias("ranks")))
     done: list[DataFrame] = []
-    for depth in range(ROUNDS + 1):
-        short = ranges.where(F.col("entries") <= SHORT) if depth < ROUNDS else ranges
-        done.append(_read_off(left, short))
+    whole_numbers = isinstance(state.schema["value"].dataType, IntegralType)
+    for depth in count():
+        done.append(_read_off(left, ranges.where(F.col("entries") <= SHORT)))
         ranges = ranges.where(F.col("entries") > SHORT)
-        if depth == ROUNDS or ranges.isEmpty():
+        if ranges.isEmpty():
             break
         # every partition proposes the median of its entries of a range; the weighted median of these is the pivot
         rows = left.where("open") if depth else left.join(ranges.select(*at), at, "left_semi")
-        proposals = rows.groupBy(*at, "bucket").agg(F.percentile_approx("value", 0.5, 200).alias("m"), F.count(F.lit(1)).alias("c"))
-        pivots = proposals.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("m", "c"))).alias("p"), F.sum("c").alias("all")).select(*at, _weighted_median().alias("pivot"))
+        proposals = rows.groupBy(*at, "bucket").agg(F.percentile_approx("value", 0.5, 200).alias("m"), F.count(F.lit(1)).alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        # medians are rounded to a double; where that leaves the range, the middle of the range in its own type splits it
+        m = _weighted_median()
+        between = F.when((m > F.col("lo")) & (m < F.col("hi")), m).otherwise(_half(F.col("lo"), whole_numbers) + _half(F.col("hi"), whole_numbers))
+        pivots = proposals.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("m", "c"))).alias("p"), F.sum("c").alias("all"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*at, between.alias("pivot"))
         split = rows.join(_each_bucket(pivots, buckets), [*at, "bucket"])
         below, equal = F.col("value") < F.col("pivot"), F.col("value") == F.col("pivot")
         weigh = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0))
@@ -82,6 +87,10 @@ def _each_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
 
 
+def _half(c: Column, whole_numbers: bool) -> Column:
+    return F.call_function("div", c.cast("bigint"), F.lit(2).cast("bigint")) if whole_numbers else c / 2
+
+
 def _weighted_median() -> Column:
     """First proposal at which half of the entries are reached."""
     start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.element_at("p", 1)["m"].alias("m"), F.lit(False).alias("over"))

@@ -581,7 +581,7 @@ def sentence_units(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("key", F.xxhash64("doc_id", "text"))
     facts = checkpoint(texts.select("key", "text").mapInArrow(_facts, FACTS))
-    parts = max(1, facts.rdd.getNumPartitions())  # the splitting is spread as the texts came
+    parts = max(1, texts.rdd.getNumPartitions())  # the splitting is spread as the texts came
     word = F.explode(F.split("token", " ")).alias("token")
     asked = facts.where("kind = 'o'").select("key", word).join(corpus_verdicts(facts), "token").select("key", F.concat("verdict", "token").alias("answer"))
     own = facts.where("kind = 'k' AND token <> ''").select("key", word).withColumnRenamed("token", "answer")
