@@ -32,6 +32,16 @@ def pack_payload(chip: Column, channel: Column, timestamp: Column, adc: Column,
     return F.when(fits, body.bitwiseOR(F.shiftleft(((F.bit_count(body) + 1) % 2).cast("bigint"), 63)))
 
 
+def pack_damaged(chip: Column, channel: Column, timestamp: Column, adc: Column, ptype: Column, downstream: Column, odd: Column) -> Column:
+    """Payload of any data word: fields are cut to their bits, nulls are 0, and the parity is odd only where asked."""
+    parts = {"ptype": ptype, "chip": chip, "channel": channel, "timestamp": timestamp, "adc": adc, "downstream": downstream}
+    body = F.lit(0).cast("bigint")
+    for name, c in parts.items():
+        first, width = FIELDS[name]
+        body = body.bitwiseOR(F.shiftleft(F.coalesce(c.cast("bigint"), F.lit(0)).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")), first))
+    return body.bitwiseOR(F.shiftleft(((F.bit_count(body) + odd.cast("int")) % 2).cast("bigint"), 63))
+
+
 def le_hex(value: Column, size: int) -> Column:
     """Hex digits of an unsigned little-endian number of ``size`` bytes."""
     digits = F.right(F.lpad(F.hex(value.cast("bigint")), 16, "0"), F.lit(2 * size))

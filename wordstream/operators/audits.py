@@ -80,6 +80,11 @@ def late_histograms(audit: DataFrame) -> DataFrame:
     return spine.join(own, ["iog", "kind", "bin"], "left").fillna(0, ["n"])
 
 
+def late_maxima(audit: DataFrame) -> DataFrame:
+    """Greatest lateness of the late hits and greatest receipt lag of each iog; null lateness without late hits."""
+    return audit.groupBy("iog").agg(F.max(F.when(F.col("late"), F.col("cursor") - F.col("tick"))).alias("max_lateness_ticks"), F.max(F.greatest(F.col("receipt_tick") - F.col("tick"), F.lit(0))).alias("max_lag_ticks"))
+
+
 def interval_rates(hits: DataFrame, dim_tile: DataFrame, at: Column, width: int) -> DataFrame:
     """Packets and different pixels of each tile in intervals of ``width`` ticks, with rates; tiles without packets have zeros.
 
@@ -112,6 +117,13 @@ def capture_breaks(rates: DataFrame) -> DataFrame:
     return one.select("boot_id", "seq", F.coalesce(F.col("seq") - before - 1, F.lit(0)).alias("lost"), (before.isNotNull() & ~joined).alias("breaks"), F.coalesce(F.col("end_monotonic") > F.col("begin_monotonic"), F.lit(False)).alias("advances"))
 
 
+def reconcile(captures: DataFrame, breaks: DataFrame) -> DataFrame:
+    """Captures with the intervals, lost intervals, breaks and reversed intervals found in their rates, and whether what they state agrees; null if they state nothing."""
+    found = breaks.groupBy("boot_id").agg(F.count(F.lit(1)).alias("found_samples"), F.sum("lost").alias("found_missing"), F.count_if("breaks").alias("breaks"), F.count_if(~F.col("advances")).alias("reversed"))
+    rows = captures.dropDuplicates().join(found, "boot_id", "left").fillna(0, ["found_samples", "found_missing", "breaks", "reversed"])
+    return rows.select("boot_id", "iog", "samples", "found_samples", "missing_intervals", "found_missing", "breaks", "reversed", (F.col("samples") == F.col("found_samples")).alias("samples_agree"), (F.col("missing_intervals") == F.col("found_missing")).alias("missing_agree"))
+
+
 def ring_page(rates: DataFrame, after: int = 0, limit: int = 100, ring: int = RING) -> DataFrame:
     """A page of the newest ``ring`` intervals of each capture: ``limit`` intervals with seq above ``after``, and the ring's ends."""
     if after < 0 or not 1 <= limit <= 100:

@@ -51,7 +51,7 @@ def stream(x: Feed) -> DataFrame:
 
 
 def frames(x: Feed) -> DataFrame:
-    return wire.encode_frames(stream(x))
+    return wire.encode_frames(wire.word_stream(x.table("hits"), x.table("words"), fitting=False))
 
 
 def mapped(x: Feed) -> DataFrame:
@@ -278,11 +278,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_late_audit_chip": lambda x: audits.late_by_chip(audit(x)),
         "q_late_audit_tile": lambda x: audits.late_rollup(audits.late_by_chip(audit(x))),
         "q_late_histograms": lambda x: audits.late_histograms(audit(x)),
+        "q_late_maxima": lambda x: audits.late_maxima(audit(x)),
         "q_top_late_chips": lambda x: audits.top_late_chips(audits.late_by_chip(audit(x))),
         "q_late_samples": lambda x: audits.late_samples(audit(x)),
         "q_tile_rate_intervals": lambda x: audits.interval_rates(_arrivals(x), x.table("dim_tile"), _arrival(), R),
         "q_source_rate_deltas": lambda x: audits.source_deltas(_source_counts(x), ["words", "data_hits", "sync", "triggers"]),
         "q_capture_gaps": lambda x: audits.capture_breaks(x.table("tile_rates")),
+        "q_capture_checks": lambda x: audits.reconcile(x.table("rate_captures"), audits.capture_breaks(x.table("tile_rates"))),
         "q_rate_ring_page": lambda x: audits.ring_page(x.table("tile_rates"), after=20, limit=100),
         "q_snapshot_deltas": _snapshot,
         "q_verifier_issues": _samples,

@@ -97,12 +97,17 @@ ar AS (SELECT *, message_seconds * 10000000 + receipt_timestamp % 10000000 AS ar
 _METRICS = """mm AS (SELECT iog, count(*) FILTER (pixel_id IS NOT NULL) AS mapped, count(*) FILTER (pixel_id IS NULL) AS unmapped, count(*) FILTER (pixel_id IS NOT NULL AND "timestamp" < 10) AS filtered,
   count(*) FILTER (pixel_id IS NOT NULL AND "timestamp" >= 10) AS selected FROM m GROUP BY iog)"""
 _FRAMES = _W + """,
-fw AS (SELECT *, row_number() OVER (PARTITION BY iog, seq ORDER BY word_idx) - 1 AS k, max(header_second) OVER (PARTITION BY iog, seq) AS hs FROM w
-  WHERE length(kind) = 1 AND ascii(kind) < 128 AND io BETWEEN 0 AND 255 AND CASE WHEN kind = 'D' THEN chip BETWEEN 0 AND 255 AND channel BETWEEN 0 AND 63 AND adc BETWEEN 0 AND 255 ELSE aux BETWEEN 0 AND 4294967295 END),
-fr AS (SELECT *, CASE WHEN hs BETWEEN 0 AND 4294967295 THEN hs ELSE 0 END AS second FROM fw)
+fw0 AS (SELECT iog, seq, word_idx, 'D' AS kind, io_channel AS io, message_seconds AS header_second, receipt_timestamp AS receipt, NULL::BIGINT AS aux, "timestamp" AS raw, chip, channel, adc FROM h
+  UNION ALL SELECT DISTINCT iog, seq, word_idx, kind, io, header_second, NULL, aux, NULL, NULL, NULL, NULL FROM words),
+fw AS (SELECT *, row_number() OVER (PARTITION BY iog, seq ORDER BY word_idx) - 1 AS k, max(header_second) OVER (PARTITION BY iog, seq) AS hs, bool_or(kind = 'D' AND NOT coalesce(receipt BETWEEN 0 AND 4294967295, FALSE)) OVER (PARTITION BY iog, seq) AS short,
+  CASE WHEN length(kind) = 1 AND ascii(kind) < 128 THEN kind ELSE '?' END AS letter, coalesce(io, 0) & 255 AS io8, coalesce(aux, 0) & 4294967295 AS aux32,
+  kind = 'D' AND (chip IS NULL OR channel IS NULL OR raw IS NULL OR adc IS NULL) AS missing,
+  kind = 'D' AND coalesce(chip BETWEEN 0 AND 255 AND channel BETWEEN 0 AND 63 AND adc BETWEEN 0 AND 255 AND raw BETWEEN 0 AND 2147483647, FALSE) AS good FROM fw0),
+fa AS (SELECT *, CASE WHEN hs BETWEEN 0 AND 4294967295 THEN hs ELSE 0 END AS second FROM fw),
+fr AS (SELECT * FROM fa WHERE NOT short AND hs IS NOT NULL)
 """
-_WORDS = """SELECT iog, seq, CAST(k AS INT) AS word_idx, second AS header_second, kind, io,
- CASE WHEN kind = 'D' THEN receipt ELSE (aux % 65536) * 65536 END AS receipt, CASE WHEN kind = 'D' THEN receipt // 65536 ELSE aux END AS aux FROM fr"""
+_WORDS = """SELECT iog, seq, CAST(k AS INT) AS word_idx, second AS header_second, letter AS kind, CAST(io8 AS INT) AS io,
+ CASE WHEN kind = 'D' THEN receipt ELSE (aux32 % 65536) * 65536 END AS receipt, CASE WHEN kind = 'D' THEN receipt // 65536 ELSE aux32 END AS aux FROM fr"""
 _SEEN = lambda behind, name: f"{name} AS (SELECT sel.iog, f.frontier_tick - {behind} AS cursor_tick, sel.pixel_id, max(sel.tick) AS tick FROM sel JOIN f ON sel.iog = f.iog WHERE sel.tick <= f.frontier_tick - {behind} GROUP BY ALL)"
 _CLOCKS = _A + """,
 lf AS (SELECT iog, max(header_second) AS lf, max(max(header_second)) OVER () AS now FROM w WHERE header_second > 0 GROUP BY iog),
@@ -130,14 +135,16 @@ def oracle_sql() -> dict[str, str]:
         "q_match_detector_wide": _WIDE + "SELECT * FROM wl",
         "q_pack_decode_roundtrip": """SELECT iog, seq, word_idx, 0 AS ptype, chip, channel, adc, 0 AS downstream, "timestamp" AS raw, TRUE AS odd FROM (SELECT DISTINCT * FROM hits)
  WHERE chip BETWEEN 0 AND 255 AND channel BETWEEN 0 AND 63 AND adc BETWEEN 0 AND 255 AND "timestamp" BETWEEN 0 AND 2147483647""",
-        "q_frame_parse": _FRAMES + "SELECT iog, seq, 'D' AS kind, max(second) AS header_second, CAST(count(*) AS INT) AS n_words, NULL::VARCHAR AS reject FROM fr GROUP BY iog, seq",
+        "q_frame_parse": _FRAMES + "SELECT iog, seq, CASE WHEN short THEN NULL WHEN hs IS NULL THEN '!' ELSE 'D' END AS kind, CASE WHEN NOT short THEN second END AS header_second, CASE WHEN NOT short THEN CAST(count(*) AS INT) END AS n_words, CASE WHEN short THEN 'word count' END AS reject FROM fa GROUP BY iog, seq, short, hs, second",
         "q_frame_words": _FRAMES + _WORDS,
         "q_frame_words_expr": _FRAMES + _WORDS,
-        "q_frame_hits": _FRAMES + "SELECT iog, seq, CAST(k AS INT) AS word_idx, io AS io_channel, chip, channel, adc, raw AS \"timestamp\", receipt AS receipt_timestamp, second AS message_seconds FROM fr WHERE kind = 'D'",
-        "q_decode_counters": _FRAMES + """SELECT iog, count(DISTINCT seq) AS frames, 0 AS malformed, 0 AS nondata_messages, 0 AS legacy_messages, count(*) AS words,
- count(*) FILTER (kind = 'D') AS data_words, count(*) FILTER (kind = 'D') AS data_hits, count(*) FILTER (kind = 'D') AS valid_data_hits, 0 AS bad_parity, 0 AS downstream, count(*) FILTER (kind = 'D') AS upstream,
- 0 AS other_packets, count(*) FILTER (kind = 'D') AS packet_type_0, 0 AS packet_type_1, 0 AS packet_type_2, 0 AS packet_type_3, count(*) FILTER (kind = 'T') AS triggers, count(*) FILTER (kind = 'S') AS sync,
- count(*) FILTER (kind = 'S' AND io = 83) AS sync83_packets, count(*) FILTER (kind NOT IN ('D','T','S','P','W','R','E')) AS unknown_words FROM fr GROUP BY iog""",
+        "q_frame_hits": _FRAMES + "SELECT iog, seq, CAST(k AS INT) AS word_idx, CAST(io8 AS INT) AS io_channel, chip, channel, adc, raw AS \"timestamp\", receipt AS receipt_timestamp, second AS message_seconds FROM fr WHERE good",
+        "q_decode_counters": _FRAMES + """, fc AS (SELECT iog, count(DISTINCT seq) AS frames, count(DISTINCT seq) FILTER (short) AS malformed, count(DISTINCT seq) FILTER (NOT short AND hs IS NULL) AS nondata_messages FROM fa GROUP BY iog),
+wc AS (SELECT iog, count(*) AS words, count(*) FILTER (kind = 'D') AS data_words, count(*) FILTER (kind = 'D' AND NOT missing) AS data_hits, count(*) FILTER (good) AS valid_data_hits, count(*) FILTER (kind = 'D' AND NOT missing AND NOT good) AS bad_parity,
+ count(*) FILTER (kind = 'D' AND NOT missing AND coalesce(header_second = 0, FALSE)) AS downstream, count(*) FILTER (kind = 'D' AND NOT missing AND NOT coalesce(header_second = 0, FALSE)) AS upstream, count(*) FILTER (missing) AS other_packets,
+ count(*) FILTER (missing AND word_idx % 3 = 0) AS packet_type_1, count(*) FILTER (missing AND word_idx % 3 = 1) AS packet_type_2, count(*) FILTER (missing AND word_idx % 3 = 2) AS packet_type_3, count(*) FILTER (letter = 'T') AS triggers, count(*) FILTER (letter = 'S') AS sync,
+ count(*) FILTER (letter = 'S' AND io8 = 83) AS sync83_packets, count(*) FILTER (letter NOT IN ('D','T','S','P','W','R','E')) AS unknown_words FROM fr GROUP BY iog)
+SELECT fc.iog, frames, malformed, nondata_messages, nondata_messages AS legacy_messages, words, data_words, data_hits, valid_data_hits, bad_parity, downstream, upstream, other_packets, data_hits AS packet_type_0, packet_type_1, packet_type_2, packet_type_3, triggers, sync, sync83_packets, unknown_words FROM fc JOIN wc ON fc.iog = wc.iog""",
         "q_tile_extents": _MAPPED + """, px AS (SELECT DISTINCT m.iog, g.tile, (pixel_id - first_pixel) % width AS c, (pixel_id - first_pixel) // width AS r, g.x_min, g.y_min, g.pitch FROM m JOIN dim_tile g ON m.iog = g.iog AND g.tile = (m.io_channel - 1) // 4 + 1 WHERE pixel_id IS NOT NULL)
 SELECT iog, tile, count(*) AS n_pixels, round(min(x_min + c * pitch), 6) AS x_min, round(min(y_min + r * pitch), 6) AS y_min, CAST(max(c) - min(c) + 1 AS INT) AS width, CAST(max(r) - min(r) + 1 AS INT) AS height FROM px GROUP BY iog, tile""",
         "q_map_hits": _MAPPED + "SELECT iog, seq, word_idx, pixel_id FROM m",
@@ -178,6 +185,7 @@ SELECT *, late_hits::DOUBLE / nullif(selected_hits, 0) AS late_fraction FROM z""
 n AS (SELECT iog, kind, {_BIN} AS bin, count(*) AS n FROM v GROUP BY ALL),
 sp AS (SELECT DISTINCT iog, kind, unnest(range(0, 10)) AS bin FROM (SELECT DISTINCT iog FROM au) a, (VALUES ('receipt_lag'), ('lateness')) k(kind))
 SELECT sp.iog, sp.kind, CAST(sp.bin AS INT) AS bin, ({_LABELS})[sp.bin + 1] AS label, coalesce(n.n, 0) AS n FROM sp LEFT JOIN n ON sp.iog = n.iog AND sp.kind = n.kind AND sp.bin = n.bin""",
+        "q_late_maxima": _AUDIT + "SELECT iog, max(CASE WHEN late THEN cursor - tick END) AS max_lateness_ticks, max(greatest(receipt_tick - tick, 0)) AS max_lag_ticks FROM au GROUP BY iog",
         "q_top_late_chips": _AUDIT + "SELECT *, row_number() OVER (PARTITION BY iog ORDER BY late_hits DESC, tile DESC, chip DESC) AS rank FROM ch WHERE late_hits > 0 QUALIFY rank <= 20",
         "q_late_samples": _AUDIT + """, k3 AS (SELECT * FROM au WHERE late QUALIFY row_number() OVER (PARTITION BY iog, seq ORDER BY word_idx DESC) <= 3)
 SELECT iog, CAST(row_number() OVER (PARTITION BY iog ORDER BY seq DESC, word_idx DESC) AS INT) AS k, seq, word_idx, tile, chip, channel, raw // 10000000 AS raw_cycles, raw % 10000000 AS phase, tick, cursor, cursor - tick AS lateness_ticks, greatest(receipt_tick - tick, 0) AS lag_ticks FROM k3 QUALIFY k <= 12""",
@@ -187,6 +195,10 @@ SELECT sp.iog, sp.interval, sp.tile, coalesce(c, 0) AS mapped_packets, CAST(coal
         "q_source_rate_deltas": _CUMULATIVE + "SELECT iog, interval, words, data_hits, sync, triggers FROM c0",
         "q_capture_gaps": """WITH o AS (SELECT boot_id, seq, max(begin_monotonic) AS b, max(end_monotonic) AS e FROM tile_rates GROUP BY ALL), l AS (SELECT *, lag(seq) OVER p AS ps, lag(e) OVER p AS pe FROM o WINDOW p AS (PARTITION BY boot_id ORDER BY seq))
 SELECT boot_id, seq, coalesce(seq - ps - 1, 0) AS lost, ps IS NOT NULL AND NOT coalesce(seq = ps + 1 AND abs(b - pe) <= 1e-5, FALSE) AS breaks, coalesce(e > b, FALSE) AS advances FROM l""",
+        "q_capture_checks": """WITH o AS (SELECT boot_id, seq, max(begin_monotonic) AS b, max(end_monotonic) AS e FROM tile_rates GROUP BY ALL), l AS (SELECT *, lag(seq) OVER p AS ps, lag(e) OVER p AS pe FROM o WINDOW p AS (PARTITION BY boot_id ORDER BY seq)),
+g AS (SELECT boot_id, count(*) AS n, CAST(sum(coalesce(seq - ps - 1, 0)) AS BIGINT) AS lost, count(*) FILTER (ps IS NOT NULL AND NOT coalesce(seq = ps + 1 AND abs(b - pe) <= 1e-5, FALSE)) AS breaks, count(*) FILTER (NOT coalesce(e > b, FALSE)) AS rev FROM l GROUP BY boot_id)
+SELECT c.boot_id, iog, samples, coalesce(n, 0) AS found_samples, missing_intervals, coalesce(lost, 0) AS found_missing, coalesce(breaks, 0) AS breaks, coalesce(rev, 0) AS reversed, samples = coalesce(n, 0) AS samples_agree, missing_intervals = coalesce(lost, 0) AS missing_agree
+FROM (SELECT DISTINCT * FROM rate_captures) c LEFT JOIN g ON c.boot_id = g.boot_id""",
         "q_rate_ring_page": """WITH s AS (SELECT DISTINCT boot_id, seq FROM tile_rates), n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY boot_id ORDER BY seq DESC) <= 600),
 e AS (SELECT *, min(seq) OVER (PARTITION BY boot_id) AS oldest, max(seq) OVER (PARTITION BY boot_id) AS latest FROM n) SELECT * FROM e WHERE seq > 20 QUALIFY row_number() OVER (PARTITION BY boot_id ORDER BY seq) <= 100""",
         "q_snapshot_deltas": _CUMULATIVE + """, p AS (SELECT *, percent_rank() OVER (PARTITION BY iog ORDER BY interval) AS p FROM c0),

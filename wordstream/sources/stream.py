@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import HEADER, WORD, field, le_hex, le_number, odd_parity, pack_payload
+from ..functions.payload import HEADER, WORD, field, le_hex, le_number, odd_parity, pack_damaged, pack_payload
 from ..session import ship
 
 #: Most words of a frame, and word kinds that are known; fixed values of the format.
@@ -18,13 +19,14 @@ MOST_WORDS, KINDS = 65535, "DTSPWRE"
 WORDS = "iog int, seq bigint, word_idx int, header_second bigint, kind string, io int, receipt bigint, aux bigint, payload bigint"
 
 
-def word_stream(hits: DataFrame, words: DataFrame, distinct: bool = True) -> DataFrame:
+def word_stream(hits: DataFrame, words: DataFrame, distinct: bool = True, fitting: bool = True) -> DataFrame:
     """D words from hits and all others from words, repeated rows once; hits whose times do not fit a word are left out.
 
-    Without ``distinct`` repeated rows stay, for operators that drop them after their own shuffle.
+    Without ``distinct`` repeated rows stay, for operators that drop them after their own shuffle; without ``fitting`` all hits.
     """
     d = hits.select("iog", "seq", "word_idx", F.lit("D").alias("kind"), F.col("io_channel").alias("io"), F.col("message_seconds").alias("header_second"), F.col("receipt_timestamp").alias("receipt"), F.lit(None).cast("bigint").alias("aux"), F.col("timestamp").alias("raw"), "chip", "channel", "adc")
-    d = d.where("raw BETWEEN 0 AND 2147483647 AND receipt BETWEEN 0 AND 4294967295")
+    if fitting:
+        d = d.where("raw BETWEEN 0 AND 2147483647 AND receipt BETWEEN 0 AND 4294967295")
     none = F.lit(None).cast("int")
     o = words.select("iog", "seq", "word_idx", "kind", "io", "header_second", F.lit(None).cast("bigint").alias("receipt"), "aux", F.lit(None).cast("bigint").alias("raw"), none.alias("chip"), none.alias("channel"), none.alias("adc"))
     rows = d.unionByName(o)
@@ -32,18 +34,28 @@ def word_stream(hits: DataFrame, words: DataFrame, distinct: bool = True) -> Dat
 
 
 def encode_frames(stream: DataFrame) -> DataFrame:
-    """Binary frames (iog, seq, header_second, value) of a word stream; words that do not fit their bits are left out.
+    """Binary frames (iog, seq, value) of a word stream, in the order of word_idx; every word is kept, a faulty one as the fault it would be on the wire.
 
-    Words of a frame are put in the order of word_idx; a frame without a header second gets 0.
+    A data word with a missing field has another packet type, one with a value outside of its bits a bad parity, one of a
+    frame second 0 the direction bit. A frame with a receipt that does not fit is cut short by a byte, and one without
+    any second is no data frame. Other values are cut to their bits, nulls are 0.
     """
-    pay = F.when(F.col("kind") == "D", pack_payload(F.col("chip"), F.col("channel"), F.col("raw"), F.col("adc"))).otherwise(F.lit(0).cast("bigint"))
-    fits = (F.length("kind") == 1) & (F.ascii("kind") < 128) & F.col("io").between(0, 255) & pay.isNotNull() & F.when(F.col("kind") == "D", F.col("receipt").between(0, (1 << 32) - 1)).otherwise(F.col("aux").between(0, (1 << 32) - 1))
-    data = F.concat(F.hex("kind"), le_hex(F.col("io"), 1), F.when(F.col("kind") == "D", F.concat(le_hex(F.col("receipt"), 4), F.lit("0000"))).otherwise(F.concat(F.lit("0000"), le_hex(F.col("aux"), 4))), le_hex(pay, 8))
-    body = stream.where(fits).select("iog", "seq", "word_idx", "header_second", data.alias("data"))
-    frames = body.groupBy("iog", "seq").agg(F.max("header_second").alias("s"), F.array_sort(F.collect_list(F.struct("word_idx", "data"))).alias("w"))
-    second = F.when(F.col("s").between(0, (1 << 32) - 1), F.col("s")).otherwise(F.lit(0))
-    head = F.concat(F.lit("44"), le_hex(second, 4), F.lit("00"), le_hex(F.size("w"), 2))
-    return frames.select("iog", "seq", F.unhex(F.concat(head, F.array_join(F.transform("w", lambda x: x["data"]), ""))).alias("value"))
+    top = (1 << 32) - 1
+    is_d = F.col("kind") == "D"
+    parts = [F.col(c) for c in ("chip", "channel", "raw", "adc")]
+    missing = reduce(lambda a, b: a | b, (c.isNull() for c in parts))
+    good = pack_payload(*parts).isNotNull()
+    pay = pack_damaged(*parts, F.when(missing, 1 + F.pmod(F.col("word_idx"), F.lit(3))).otherwise(0), F.coalesce(F.col("header_second") == 0, F.lit(False)).cast("int"), good | missing)
+    low = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)).bitwiseAND(F.lit(top).cast("bigint"))
+    letter = F.when((F.length("kind") == 1) & (F.ascii("kind") < 128), F.col("kind")).otherwise("?")
+    data = F.concat(F.hex(letter), le_hex(low("io").bitwiseAND(F.lit(255).cast("bigint")), 1), F.when(is_d, F.concat(le_hex(low("receipt"), 4), F.lit("0000"))).otherwise(F.concat(F.lit("0000"), le_hex(low("aux"), 4))), le_hex(F.when(is_d, pay).otherwise(F.lit(0).cast("bigint")), 8))
+    short = is_d & ~F.coalesce(F.col("receipt").between(0, top), F.lit(False))
+    body = stream.select("iog", "seq", "word_idx", "header_second", data.alias("data"), short.alias("short"))
+    frames = body.groupBy("iog", "seq").agg(F.max("header_second").alias("s"), F.array_sort(F.collect_list(F.struct("word_idx", "data"))).alias("w"), F.bool_or("short").alias("short"))
+    second = F.when(F.col("s").between(0, top), F.col("s")).otherwise(F.lit(0))
+    head = F.concat(F.when(F.col("s").isNull(), "21").otherwise("44"), le_hex(second, 4), F.lit("00"), le_hex(F.size("w"), 2))
+    text = F.concat(head, F.array_join(F.transform("w", lambda x: x["data"]), ""))
+    return frames.select("iog", "seq", F.unhex(F.when(F.col("short"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)).alias("value"))
 
 
 def reject_reason(value: Column) -> Column:
