@@ -238,6 +238,21 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[a:b], p / p.sum(1, keepdims=True), atol=1e-12)
 
 
+def test_written_tables(spark):
+    """Cutting lineage keeps the rows and their types, and clearing removes the tables."""
+    from pathlib import Path
+
+    from wordstream import session
+
+    df = spark.range(10).select("id", F.struct(F.lit(1).alias("a"), F.lit(None).cast("double").alias("b")).alias("s"))
+    out = session.checkpoint(df)
+    assert out.schema.simpleString() == df.schema.simpleString() and sorted(out.collect()) == sorted(df.collect())
+    folder = Path(session._folder(spark).removeprefix("file:"))
+    assert any(folder.iterdir())
+    session.clear_checkpoints(spark)
+    assert not folder.exists() and session.checkpoint(df).count() == 10
+
+
 def test_empty_and_null_tables(spark, make_hits):
     for rows in ([], [(None,) * 10], [(1, 1, 1) + (None,) * 7]):
         df = make_hits(rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_detector import STREAM, R, unroll_oracle
 
 from wordstream.config import Windows
-from wordstream.operators import late
+from wordstream.operators import epochs, late
 from wordstream.streaming import stateful
 
 
@@ -35,6 +35,24 @@ def test_unroll_stream(spark, tmp_path, parts):
     assert [(r.tick, r.valid) for r in got.orderBy("seq", "word_idx").collect()] == unroll_oracle(items)[0]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_align_stream(spark, tmp_path, parts):
+    rng = random.Random(7)
+    rows, second = [], [1_790_000_000, 1_790_000_000]
+    for k in range(120):
+        i = k % 2
+        second[i] += rng.choice([1, 1, 1, 1, 1, 2, 4])
+        label = rng.choice([second[i]] * 9 + [0, None, second[i] - 1])
+        aux = rng.choice([R] * 8 + [R + 11, 2 * R, R // 2, None])
+        rows += [(1 + i, k, w, "S", 83, label, None, aux, None, None, None, None) for w in range(2 if rng.random() < 0.05 else 1)]
+    rows.append(rows[-1])
+    got = drain(stateful.align_stream(split(spark, rows, STREAM, tmp_path / "in", parts)), f"al{parts}", "append")
+    want = epochs.align(epochs.pps_observations(spark.createDataFrame(rows, STREAM)))
+    cols = ("iog", "seq", "word_idx", "tick", "second", "usable", "status", "offset_ticks")
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    assert {r.status for r in got.collect()} == {"warming", "aligned", "suspect"}
+
+
 def test_late_stream(spark, tmp_path):
     from conftest import HITS
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Timing, Windows
 from ..functions.ticks import R, div, hit_time
+from ..operators.epochs import FRESH
 from ..operators.late import PeriodLog
 from ..session import ship
 
@@ -67,6 +68,59 @@ def unroll_stream(words: DataFrame, cfg: Timing = Timing()) -> DataFrame:
     return rows.groupBy("iog").transformWithStateInPandas(Unroller(cfg.period, cfg.sync_type), UNROLLED, "append", "none")
 
 
+ALIGNED = "iog int, seq bigint, word_idx int, tick bigint, second bigint, usable boolean, status string, offset_ticks bigint"
+
+
+class Aligner(StatefulProcessor):
+    """Alignment of a source by its PPS labels, one row a sync word: the last label, the last good observation and the pinned offset are carried."""
+
+    FIELDS = ("after", "last_tick", "last_second", "fresh", "stored", "b_good", "b_candidate", "pinned")
+
+    def __init__(self, period: int, sync_type: int) -> None:
+        self.period, self.sync_type = period, sync_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("alignment", "after bigint, last_tick bigint, last_second bigint, fresh bigint, stored bigint, b_good boolean, b_candidate bigint, pinned bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        s = dict(zip(self.FIELDS, self.state.get())) if self.state.exists() else dict.fromkeys(self.FIELDS) | {"after": 0, "b_good": False}
+        w = pd.concat(list(rows)).drop_duplicates().sort_values(["seq", "word_idx"], kind="stable")
+        alone = w.groupby("seq")["seq"].transform("size").to_numpy() == 1
+        p, out = self.period, []
+        for seq, word, second, aux, single in zip(w["seq"].tolist(), w["word_idx"].tolist(), w["second"].astype("Int64").tolist(), w["aux"].astype("Int64").tolist(), alone.tolist()):
+            step = None if aux is pd.NA else round(aux / p) * p
+            plausible = step is not None and step > 0 and abs(aux - step) <= max(1, p // 20)
+            s["after"] += step if plausible else 0
+            usable = plausible and single and second is not pd.NA and second > 0
+            tick = s["after"] if plausible else None
+            good = usable and (s["last_tick"] is None or (tick > s["last_tick"] and second > s["last_second"]))
+            candidate = second * p - tick if usable else None
+            follows = good and s["b_good"] and s["b_candidate"] == candidate and second - s["fresh"] <= FRESH
+            if follows and s["pinned"] is None:
+                s["pinned"] = candidate
+            fits = good and (s["pinned"] is None or candidate == s["pinned"])
+            status = "suspect" if not fits else "aligned" if follows else "warming"
+            out.append((key[0], seq, word, tick, None if second is pd.NA else second, usable, status, s["pinned"] if status == "aligned" else None))
+            if usable:
+                s["last_tick"], s["last_second"] = tick, second
+            if good:
+                s["fresh"], s["stored"] = second, candidate
+            s["b_good"], s["b_candidate"] = good, candidate
+        self.state.update(tuple(s[f] for f in self.FIELDS))
+        kinds = {"iog": "int32", "seq": "int64", "word_idx": "int32", "tick": "Int64", "second": "Int64", "offset_ticks": "Int64"}
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in ALIGNED.split(", ")]).astype(kinds)
+
+    def close(self) -> None:
+        pass
+
+
+def align_stream(words: DataFrame, cfg: Timing = Timing()) -> DataFrame:
+    """Status and offset of each source after each of its selected S words, from a streaming word stream; the rows are those of ``epochs.align``."""
+    ship(words.sparkSession)
+    rows = words.where((F.col("kind") == "S") & (F.col("io") == cfg.sync_type)).select("iog", "seq", "word_idx", F.col("header_second").alias("second"), "aux")
+    return rows.groupBy("iog").transformWithStateInPandas(Aligner(cfg.period, cfg.sync_type), ALIGNED, "append", "none")
+
+
 def match_stream(hits: DataFrame, triggers: DataFrame, win: Windows) -> DataFrame:
     """Hits (iog, seq, word_idx, tick, ...) inside a window of a trigger (iog, source, tick), once for each source.
 
