@@ -10,11 +10,13 @@ from __future__ import annotations
 import heapq
 import importlib
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,9 +134,16 @@ def pair_index(path: str) -> PairIndex:
     return PairIndex(path)
 
 
-def _encoder(path: str, count_only: bool):
+def _here(path: str | None) -> str:
+    """Place of the vocabulary on the machine of a task: that of the installed tokenizers, a path that it can open, or a file sent by addFile."""
+    if path is None:
+        return vocabulary_path()
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+def _encoder(path: str | None, count_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pair_index(path)
+        index = pair_index(_here(path))
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
@@ -154,7 +163,7 @@ def encode_texts(documents: DataFrame, path: str | None = None) -> DataFrame:
     """
     ship(documents.sparkSession)
     rows = documents.select("doc_id", F.col("text").cast("string"))
-    return rows.mapInArrow(_encoder(path or vocabulary_path(), False), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(_encoder(path, False), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
@@ -162,4 +171,4 @@ def count_tokens(documents: DataFrame, keep: list[str], path: str | None = None)
     ship(documents.sparkSession)
     rows = documents.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_encoder(path or vocabulary_path(), True), f"{schema}, tokens bigint")
+    return rows.mapInArrow(_encoder(path, True), f"{schema}, tokens bigint")
