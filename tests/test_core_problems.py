@@ -133,6 +133,9 @@ def test_grid(spark):
     b = grid.regular_grid(df).where("boot_id = 'b'").collect()
     assert [(r["iog"], r["cell"], r["mark"]) for r in b] == [(None, 2, "missing")]
     assert grid.regular_grid(df.limit(0)).count() == 0
+    far = spark.createDataFrame([("c", 1, 3e15, 3e15 + 1.0, 1, 1, 2.0, 0), ("c", 2, 3e15 + 1.5, 3e15 + 2.0, 1, 1, 4.0, 0), ("d", 1, 0.0, 5000.0, 1, 1, 1.0, 0)], TILES)
+    got = {(r.boot_id, r.cell): r.readings for r in grid.regular_grid(far).collect()}
+    assert [got["c", 6 * 10**15 + k] for k in range(4)] == [1, 1, 0, 1] and sum(k == "d" for k, _ in got) == 10_000
 
 
 def fault_oracle(rows):

@@ -20,13 +20,16 @@ CELLS = 4096
 def covered_cells(readings: DataFrame, cell_s: float = CELL_S) -> DataFrame:
     """One row for each cell with a reading: number of readings, shared seconds with a rate, and rate times seconds.
 
-    A reading counts if both bounds are finite and end > begin. Null and NaN rates cover their cells without a rate.
+    A reading counts if both bounds are finite, so that their cells are BIGINTs, and end > begin. Null and NaN rates
+    cover their cells without a rate. A long reading is spread in blocks of cells.
     """
     b, e = F.col("begin_monotonic").cast("double"), F.col("end_monotonic").cast("double")
-    finite = F.abs(b) < F.lit(1e15)
-    finite = finite & (F.abs(e) < F.lit(1e15))  # also false for NaN, which is greater than all
+    most = F.lit(float(1 << 62) * cell_s)
+    finite = (F.abs(b) < most) & (F.abs(e) < most)  # also false for NaN, which is greater than all
     rows = readings.where(finite & (e > b)).select(*SOURCE, F.col("seq"), b.alias("b"), e.alias("e"), F.col("mapped_packets_per_s").cast("double").alias("rate")).dropDuplicates()
-    spread = rows.select(*SOURCE, "b", "e", "rate", F.explode(F.sequence(F.floor(F.col("b") / cell_s), F.ceil(F.col("e") / cell_s) - 1)).alias("cell"))
+    lo, hi = F.floor(F.col("b") / cell_s), F.ceil(F.col("e") / cell_s) - 1
+    part = rows.select(*SOURCE, "b", "e", "rate", F.explode(F.sequence(F.floor(lo / CELLS), F.floor(hi / CELLS))).alias("block"))
+    spread = part.select(*SOURCE, "b", "e", "rate", F.explode(F.sequence(F.greatest(lo, F.col("block") * CELLS), F.least(hi, (F.col("block") + 1) * CELLS - 1))).alias("cell"))
     shared = F.least(F.col("e"), (F.col("cell") + 1) * F.lit(cell_s)) - F.greatest(F.col("b"), F.col("cell") * F.lit(cell_s))
     known = F.col("rate").isNotNull() & ~F.isnan("rate")
     return spread.groupBy(*SOURCE, "cell").agg(F.count(F.lit(1)).alias("readings"), F.sum(F.when(known, shared)).alias("seconds"), F.sum(F.when(known, F.col("rate") * shared)).alias("amount"))
