@@ -31,7 +31,8 @@ def sync_epochs(stream: DataFrame, cfg: Timing = Timing(), ahead: float = 2.5) -
     """
     far = (F.col("kind") == "D") & (F.col("receipt") > int(ahead * cfg.period))
     words = stream.where(((F.col("kind") == "S") & (F.col("io") == cfg.sync_type)) | far).where("iog IS NOT NULL AND seq IS NOT NULL")
-    words = words.select("iog", "seq", "word_idx", "kind", F.col("header_second").alias("second"), "io", "aux", "raw", "receipt").dropDuplicates()
+    second = F.col("header_second") if "header_second" in stream.columns else F.lit(None).cast("bigint")
+    words = words.select("iog", "seq", "word_idx", "kind", second.alias("second"), "io", "aux", "raw", "receipt").dropDuplicates()
     s = words.withColumn("step", sync_step(cfg)).drop("io", "aux")
     return checkpoint(running(s, {"after": ("sum", F.col("step")), "prev": ("last", F.col("step"))}, inclusive=True))
 
